@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchstats.llm import bpe, decontaminate, fingerprints, licenses, substring_dedup, token_files, url_filter, warc
+from matchstats.llm import bpe, decontaminate, fingerprints, licenses, ngram_join, substring_dedup, token_files, url_filter, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -36,6 +36,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(read(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op4_fingerprints, op5_substring_dedup, op6_token_files, op8_decontamination, op9_licenses, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op8_decontamination, op9_licenses, op10_url_filter)}
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {shift}) & 31)::BIGINT + 1, 1)"
@@ -77,6 +81,15 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS pay
   CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
 FROM m""",
+    "op3_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE m >= 0.8 * (x.n + y.n - m)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, root FROM r JOIN p ON a = r.doc_id),
+k AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id)
+SELECT doc_id, class_id, (SELECT count(*) FROM p WHERE a = k.doc_id) AS n_links FROM k""",
     "op5_substring_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS s FROM d, unnest(range(1, len(w) - 11)) AS t(i)),

@@ -182,7 +182,7 @@ def hot_places(segments: DataFrame, kind: str) -> DataFrame:
     phrases = table(phrases, "hot-phrases").select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "phrase", "low")
     rows = segments.select("anchor", F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).cast("int").alias("salt"), "doc_id", "sig", "at", "words")
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         found = _words(right, "phrase")
         phrases = np.array(found) if found else np.zeros((0, WINDOW), np.int32)
         return _located(left, _words(left), np.asarray(left.column("doc_id")), phrases, np.asarray(right.column("low")))
