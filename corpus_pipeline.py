@@ -1,12 +1,56 @@
-"""A corpus pipeline of the operators; each stage's rows are written as Parquet and read again by the next."""
+"""A corpus pipeline of the operators; each stage's rows are written as Parquet and read again by the next.
+
+All stages but the last return the columns of documents; a changed text has its n_chars counted anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchstats.llm import bpe, decontaminate, ngram_join, shared, substring_dedup, toxicity
+from matchstats.llm.queries import tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not predicted toxic; the labels only train."""
+    return toxicity.clean(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id; rows without a doc_id stay."""
+    dropped = ngram_join.join(docs).where("doc_id > class_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; those that share passages with an earlier one keep their other words, joined by one blank."""
+    changed = substring_dedup.dedup(docs).where("n_removed > 0").select("doc_id", F.col("sig").alias("_sig"), "kept").dropDuplicates(["doc_id", "_sig"])
+    rows = docs.withColumn("_sig", substring_dedup.signature()).join(changed, ["doc_id", "_sig"], "left")
+    rows = rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")))
+    return rows.withColumn("text", F.coalesce("kept", "text")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that benchmark windows do not contaminate."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and n_tokens of every remaining text."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
-from matchstats.llm import shared
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-copies", drop_near_copies),
+    ("substring-dedup", drop_passages),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 
 #: No SQL: a trained tagger and a tokenizer are among the stages.
 ORACLE_SQL = None

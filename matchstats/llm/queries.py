@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchstats.llm import bpe, decontaminate, fingerprints, licenses, ngram_join, substring_dedup, token_files, url_filter, warc
+from matchstats.llm import bpe, decontaminate, fingerprints, licenses, ngram_join, substring_dedup, token_files, toxicity, url_filter, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -44,6 +44,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -64,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op8_decontamination, op9_licenses, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op7_toxicity, op8_decontamination, op9_licenses, op10_url_filter)}
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {shift}) & 31)::BIGINT + 1, 1)"
