@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchstats.llm.shared import WORD_BYTES, binaries, words_of
+from matchstats.llm.shared import WORD_BYTES, WordHashes, binaries, gram_hashes, mix, words_of
 
 #: The model is fitted on at most so many labelled documents that are not and that are toxic (those of smallest hashed
 #: doc_id) of at most so many characters; scoring has no such bounds.
@@ -136,10 +136,21 @@ def toxic_words(texts: list[list[bytes]], labels: np.ndarray) -> set[bytes]:
     return {w for w in set().union(*map(set, texts)) if w in strong or len(w) > 4 and start(w) in strong} if texts else set()
 
 
-def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
-    """A model of a sample of (text, toxic) rows; `share` is the share of toxic documents among all labelled ones."""
+def first_of_copies(texts: list[bytes]) -> list[bool]:
+    """False for texts that share one of three min-hashes of five-word runs with an earlier text: copies and near
+    copies of a toxic document would make its ordinary words look toxic."""
+    cache, seen, out = WordHashes(), set(), []
+    for t in texts:
+        h = gram_hashes(cache.array(words_of(t)), 5)
+        names = {(k, int(mix(h + np.uint64(k)).min())) for k in (1, 2, 3)} if len(h) else {bytes(t)}
+        out.append(not names & seen)
+        seen |= names
+    return out
+
+
+def fit_field(texts: list[list[bytes]], labels: np.ndarray) -> Model:
+    """The field's weights by full-batch gradient ascent (AdaGrad) on the token labels of some texts."""
     model = Model()
-    texts, labels = [words_of(t) for t, _ in rows], np.array([y for _, y in rows], np.int64)
     if not len(labels) or labels.min() == labels.max():
         return model
     sizes = np.array([*map(len, texts)])
@@ -157,8 +168,7 @@ def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
     weights, bias, moves, start = np.zeros(len(names)), model.bias, model.moves, 0.0
     squares, own = np.zeros(len(names)), np.zeros(6)
     for _ in range(ROUNDS):
-        kind_score = bias + np.bincount(row, weights[col], len(kinds))
-        e = kind_score[token]
+        e = (bias + np.bincount(row, weights[col], len(kinds)))[token]
         ahead, back, p = forward_backward(e, sizes, moves, start)
         gap = np.bincount(token, y - p, len(kinds))
         grad = np.bincount(col, gap[row], len(names)) - L2 * weights
@@ -173,16 +183,39 @@ def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
         weights += STEP * grad / np.sqrt(squares + 1e-8)
         small = STEP * 0.5 * small / np.sqrt(own + 1e-8)
         moves, bias, start = moves + small[:4].reshape(2, 2), bias + small[4], start + small[5]
-    names_of = list(names)
-    model = Model({names_of[i]: float(weights[i]) for i in np.flatnonzero(np.abs(weights) > 1e-3)}, float(bias), moves, float(start))
-    x = summaries(forward_backward((bias + np.bincount(row, weights[col], len(kinds)))[token], sizes, moves, start)[2], sizes)
+    all_names = list(names)
+    kept = {all_names[i]: float(weights[i]) for i in np.flatnonzero(np.abs(weights) > 1e-3)}
+    return Model(kept, float(bias), moves, float(start))
+
+
+def marginals(model: Model, emissions: Emissions, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of all words of some texts, one after another, and the texts' numbers of words."""
+    parts = [np.fromiter(map(emissions.__getitem__, words), float, len(words)) for words in texts]
+    sizes = np.array([*map(len, parts)], np.int64)
+    return forward_backward(np.concatenate([np.zeros(0), *parts]), sizes, model.moves, model.start)[2], sizes
+
+
+def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
+    """A model of a sample of (text, toxic) rows; `share` is the share of toxic documents among all labelled ones.
+
+    The document score learns from marginals of fields that did not see the document (two halves of the sample).
+    """
+    rows = [r for r, k in zip(rows, first_of_copies([t for t, _ in rows])) if k]
+    texts, labels = [words_of(t) for t, _ in rows], np.array([y for _, y in rows], np.int64)
+    model = fit_field(texts, labels)
+    if not model.weights:
+        return model
+    x, half = np.zeros((len(texts), 4)), np.arange(len(texts)) % 2
+    for k in (0, 1):
+        field = fit_field([t for t, h in zip(texts, half) if h != k], labels[half != k])
+        x[half == k] = summaries(*marginals(field, Emissions(field), [t for t, h in zip(texts, half) if h == k]))
     part = labels.mean()
     weight = np.where(labels == 1, share / part, (1 - share) / (1 - part))
     d = np.zeros(4)
     for _ in range(40):  # Newton's method with a weak prior
         q = 1 / (1 + np.exp(-np.clip(x @ d, -30, 30)))
-        grad = x.T @ (weight * (labels - q)) - 0.002 * d
-        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.002 * np.eye(4)
+        grad = x.T @ (weight * (labels - q)) - 0.02 * d
+        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.02 * np.eye(4)
         d = d + np.linalg.solve(hess, grad)
     model.document = d
     return model
@@ -231,13 +264,10 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts, at = binaries(batch, "text"), 0
             while at < len(texts):
-                parts, total, to = [], 0, at
-                while to < len(texts) and total < 1_000_000:
-                    words = words_of(texts[to])
-                    parts.append(np.fromiter(map(emissions.__getitem__, words), float, len(words)))
-                    total, to = total + len(words), to + 1
-                sizes = np.array([*map(len, parts)])
-                p = forward_backward(np.concatenate(parts), sizes, model.moves, model.start)[2]
+                size, to = 0, at
+                while to < len(texts) and size < 5_000_000:
+                    size, to = size + len(texts[to] or b""), to + 1
+                p, sizes = marginals(model, emissions, [words_of(t) for t in texts[at:to]])
                 z = summaries(p, sizes) @ model.document
                 ends = np.cumsum(sizes)
                 found = []
