@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from matchstats.plans import core
+from matchstats.plans import analysis, core
 
+# The modules add to the tables of core.
+assert analysis
 QUERIES = {**core.QUERIES}
 SQL = {**core.SQL}

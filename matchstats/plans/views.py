@@ -39,7 +39,7 @@ FROM (SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS game_date, CAST
   CASE WHEN game_id%5 = 0 THEN NULL ELSE 1.2E0 + (game_id%40)/20.0E0 END AS home_odds, CASE WHEN game_id%7 = 0 THEN NULL ELSE 1.2E0 + (game_id%30)/20.0E0 END AS away_odds,
   CASE WHEN game_id%3 = 0 OR home_score IS NULL THEN NULL WHEN (home_score > away_score) <> (game_id%11 = 0) THEN 'home' ELSE 'away' END AS actual_winner FROM games""",
     "quotes": """SELECT l_orderkey AS game_id, concat('book', CAST(l_suppkey%7 AS VARCHAR(20))) AS bookmaker, max(1.05E0 + l_quantity/20) AS home, max(1.05E0 + (51 - l_quantity)/20) AS away FROM lineitem GROUP BY l_orderkey, l_suppkey%7""",
-    "player_logs": """SELECT l_partkey AS player_id, l_suppkey AS team_id, l_orderkey AS game_id, CAST(l_shipdate AS DATE) AS game_date, l_linenumber AS line, l_quantity AS points, l_discount*100 AS rebounds, l_tax*100 AS assists, l_discount AS fg_pct, l_extendedprice AS minutes FROM lineitem""",
+    "player_logs": """SELECT l_partkey AS player_id, l_suppkey AS team_id, l_orderkey AS game_id, CAST(l_shipdate AS DATE) AS game_date, l_linenumber AS line, l_quantity AS points, l_discount*100 AS rebounds, l_tax*100 AS assists, l_discount AS fg_pct, floor(l_extendedprice/1000.0) AS minutes FROM lineitem""",
     "posts": "SELECT event_id AS post_id, user_id AS account, ts AS posted_at FROM events",
     "injuries": """SELECT user_id%30 AS team_id, concat('P', CAST(event_id%200 AS VARCHAR(20))) AS player_name, CASE event_type WHEN 'error' THEN 'Out' WHEN 'click' THEN 'DNP - rest' WHEN 'view' THEN 'Day-To-Day' ELSE 'Questionable' END AS status,
   event_id%3 = 0 AS is_starter, event_id%10 = 0 AS is_star, ts AS fetched_at FROM events""",
