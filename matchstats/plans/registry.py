@@ -1,10 +1,7 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library with their SQL: importing a module of queries adds them to the tables of core."""
 
 from __future__ import annotations
 
-from matchstats.plans import analysis, core
+from matchstats.plans import analysis, core, wide  # noqa: F401
 
-# The modules add to the tables of core.
-assert analysis
-QUERIES = {**core.QUERIES}
-SQL = {**core.SQL}
+QUERIES, SQL = core.QUERIES, core.SQL
