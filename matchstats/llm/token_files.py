@@ -33,12 +33,16 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """The ids' lowest `bits` bits one after another, lowest bit first; the last byte is padded with zeros."""
+    if bits in (8, 16, 32):  # the same bytes as below
+        return ids.astype(f"<u{bits // 8}").tobytes()
     planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
     return np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes | memoryview, n: int, bits: int, first: int = 0) -> np.ndarray:
     """n ids from number `first` on of one block: four or five bytes around each are shifted and masked."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n, first * bits // 8).astype(np.uint32)
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)])
     at = (np.arange(first, first + n, dtype=np.int64)) * bits
     byte, shift = at >> 3, (at & 7).astype(np.uint64)
@@ -185,6 +189,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder; what it knows serves all its tasks."""
+    return Encoder(path)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, rows_each: int = ROWS_EACH) -> DataFrame:
     """Encodes every whole text (null: empty), ends each with end_id, and writes the ids in ascending doc_id order.
 
@@ -198,7 +208,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, r
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def encode(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 500):
