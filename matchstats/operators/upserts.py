@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def upsert_games(games: DataFrame, updates: DataFrame) -> DataFrame:
     """Updates with scores set an existing game's scores and teams (its box score stays) or add a game; updates without a
     score are left out.  Of several updates of a game the one with the largest scores counts."""
-    keys = ["home_team_id", "away_team_id", "home_score", "away_score"]
+    keys = [c for c in ("home_team_id", "away_team_id", "home_score", "away_score") if c in updates.columns]
     new = updates.where("home_score is not null and away_score is not null")
     new = new.groupBy("game_id").agg(F.max(F.struct("home_score", "away_score", *[c for c in updates.columns if c not in ("game_id", "home_score", "away_score")])).alias("u"))
     both = games.join(new, "game_id", "full_outer")

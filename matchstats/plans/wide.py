@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchstats.operators import elo, features, model, picks
+from matchstats.operators import elo, features, matches, model, picks, windows
 from matchstats.plans.core import elo_sql, games, history, query
 from matchstats.plans.views import r6, view, with_views
 from matchstats.sources import documents, tables
@@ -195,12 +195,18 @@ def elo_freshness(spark, sf_dir):
 
 
 #: Features of the trained queries.
-TRAINED = ["elo_diff", "elo_win_prob", "home_last10_win_pct", "away_last10_win_pct", "home_last10_net_rating", "away_last10_net_rating", "home_streak", "away_streak", "rest_advantage", "h2h_home_win_pct"]
+TRAINED = ["elo_diff", "elo_win_prob", "home_win_pct", "away_win_pct", "home_net", "away_net"]
 
 
 def _trained(spark, sf_dir):
-    rows = features.build_features(games(spark, sf_dir), history(spark, sf_dir)).select("game_id", "game_date", "pool_id", "home_win", *TRAINED)
-    return rows, model.train_stack(features.training_set(rows), TRAINED, learners=model.base_learners(rounds=5, trees=10))
+    """A few features of each game and a stack trained on them, over two folds and small ensembles."""
+    g = games(spark, sf_dir)
+    form = windows.recent_form(matches.team_rows(g), (10,))
+    rows = g.select("game_id", "game_date", "pool_id", "home_team_id", "away_team_id", F.when(F.col("home_score").isNotNull(), (F.col("home_score") > F.col("away_score")).cast("int")).alias("home_win"))
+    for s in ("home", "away"):
+        rows = rows.join(form.select(F.col("team_id").alias(f"{s}_team_id"), "game_date", F.col("last10_win_pct").alias(f"{s}_win_pct"), F.col("last10_net_rating").alias(f"{s}_net")), [f"{s}_team_id", "game_date"])
+    rows = rows.join(elo.elo_features(g, history(spark, sf_dir)).select("game_id", "elo_diff", "elo_win_prob"), "game_id").persist()
+    return rows, model.train_stack(features.training_set(rows), TRAINED, n_splits=2, learners=model.base_learners(rounds=3, trees=5))
 
 
 @query()
