@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchstats.llm.shared import binaries, gram_hashes, lists, raw_words_of, signed, steps, table
+from matchstats.llm.shared import RAW, binaries, gram_hashes, lists, mix, raw_words_of, signed, steps, table
 
 WINDOW, ANCHOR = 13, 4
 #: Segments of a shard, about; an anchor with more segments than HOT is confirmed and located in salted shards.
@@ -47,7 +47,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """(anchor, doc_id), once for each row of docs and anchor of its windows."""
 
     def run(batches):
-        for batch, _, h, sizes in steps(batches, split=raw_words_of):
+        for batch, h, sizes in steps(batches, kind=RAW):
             text, _, low = anchors(h, sizes)
             if len(low):
                 order = np.lexsort((low, text))
@@ -65,7 +65,7 @@ def segment_rows(found: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch, _, h, sizes in steps(batches, split=raw_words_of):
+        for batch, h, sizes in steps(batches, kind=RAW):
             text, at, low = anchors(h, sizes)
             known = batch.column("anchors")
             wanted = [np.sort(np.asarray(a.values, np.int64)) for a in known]
@@ -110,16 +110,30 @@ def window_matrix(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     return flat[first[:, None] + np.arange(WINDOW)], owner, at
 
 
-def confirm(words: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows that start in two documents or more, and the smallest doc_id of each."""
+def window_names(rows: np.ndarray) -> np.ndarray:
+    """64-bit names of the windows of one task; the automaton afterwards compares all 13 words."""
+    total = np.zeros(len(rows), np.uint64)
+    for k in range(WINDOW):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + rows[:, k].astype(np.uint64)
+    return mix(total)
+
+
+def extremes(number: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest doc_id of each of n groups."""
+    order = np.argsort(number, kind="stable")
+    at = np.searchsorted(number[order], np.arange(n))
+    return np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at)
+
+
+def confirm(words: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that start in two documents or more, the smallest doc_id of each, and which lists hold any."""
     rows, owner, _ = window_matrix(words)
-    packed = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.dtype.itemsize * WINDOW))).ravel()
-    _, first, number = np.unique(packed, return_index=True, return_inverse=True)
-    low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
-    np.minimum.at(low, number, doc[owner])
-    np.maximum.at(high, number, doc[owner])
+    _, first, number = np.unique(window_names(rows), return_index=True, return_inverse=True)
+    low, high = extremes(number, doc[owner], len(first))
     more = low < high
-    return rows[first[more]], low[more]
+    holds = np.zeros(len(words), bool)
+    holds[owner[more[number]]] = True
+    return rows[first[more]], low[more], holds
 
 
 def compile_phrases(phrases: np.ndarray) -> ahocorasick.Automaton:
@@ -131,18 +145,22 @@ def compile_phrases(phrases: np.ndarray) -> ahocorasick.Automaton:
     return a
 
 
-def locate(words: list[np.ndarray], doc: np.ndarray, phrases: np.ndarray, low: np.ndarray) -> list[list[int]]:
-    """For each word list, the starts of windows that are phrases of a document with a smaller doc_id."""
+def locate(words: list[np.ndarray], doc: np.ndarray, phrases: np.ndarray, low: np.ndarray, holds: np.ndarray | None = None) -> list[list[int]]:
+    """For each word list, the starts of windows that are phrases of a document with a smaller doc_id.
+
+    Lists that are known to hold no phrase (holds) are passed over.
+    """
     if not len(phrases):
         return [[] for _ in words]
     machine, low = compile_phrases(phrases), low.tolist()
-    return [[end - WINDOW + 1 for end, i in machine.iter(tuple(w.tolist())) if low[i] < d] for w, d in zip(words, doc.tolist())]
+    holds = [True] * len(words) if holds is None else holds.tolist()
+    return [[end - WINDOW + 1 for end, i in machine.iter(tuple(w.tolist())) if low[i] < d] if h else [] for w, d, h in zip(words, doc.tolist(), holds)]
 
 
-def _located(group: pa.Table, words: list[np.ndarray], doc: np.ndarray, phrases: np.ndarray, low: np.ndarray) -> pa.Table:
+def _located(group: pa.Table, words: list[np.ndarray], doc: np.ndarray, *found: np.ndarray) -> pa.Table:
     """The places found, as (doc_id, sig, start, n): n words from start on."""
     rows, start, n = [], [], []
-    for i, (places, at) in enumerate(zip(locate(words, doc, phrases, low), group.column("at").to_pylist())):
+    for i, (places, at) in enumerate(zip(locate(words, doc, *found), group.column("at").to_pylist())):
         last = None
         for p in places:
             if last is not None and p <= last + WINDOW:
@@ -170,15 +188,32 @@ def cold_places(segments: DataFrame, kind: str) -> DataFrame:
     return segments.groupBy("shard").applyInArrow(run, PLACES.format(kind=kind))
 
 
+def seen_windows(segments: DataFrame, kind: str) -> DataFrame:
+    """(anchor, phrase, salts, low, high): the windows of the segments, those of a batch once with their extreme doc_ids."""
+
+    def run(batches):
+        for batch in batches:
+            words = [np.asarray(w.values) for w in batch.column("words")]
+            if not words:
+                continue
+            rows, owner, _ = window_matrix(words)
+            anchor, salts, doc = (np.asarray(batch.column(c))[owner] for c in ("anchor", "salts", "doc_id"))
+            _, first, number = np.unique(window_names(rows) ^ mix(anchor.astype(np.uint64)), return_index=True, return_inverse=True)
+            low, high = extremes(number, doc, len(first))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[first]), lists(rows[first].ravel(), np.full(len(first), WINDOW), pa.int32()), pa.array(salts[first]), pa.array(low), pa.array(high)], ["anchor", "phrase", "salts", "low", "high"]
+            )
+
+    return segments.select("anchor", "salts", "doc_id", "words").mapInArrow(run, f"anchor long, phrase array<int>, salts int, low {kind}, high {kind}")
+
+
 def hot_places(segments: DataFrame, kind: str) -> DataFrame:
     """Places in the segments of hot anchors.
 
-    Their windows are counted by a partially aggregated group-by, so a phrase of a third of all documents is a few rows
-    for each task; confirmed phrases then go to every salt of their anchor, whose number grows with its segments.
+    Their windows are first reduced within each task and then grouped, so a phrase of a third of all documents is a few
+    rows for each task; confirmed phrases then go to every salt of their anchor, whose number grows with its segments.
     """
-    windows = F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.slice("words", i, WINDOW))
-    seen = segments.select("anchor", "doc_id", "salts", F.explode(windows).alias("phrase"))
-    phrases = seen.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("salts").alias("salts")).where("low < high")
+    phrases = seen_windows(segments, kind).groupBy("anchor", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("salts").alias("salts")).where("low < high")
     phrases = table(phrases, "hot-phrases").select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "phrase", "low")
     rows = segments.select("anchor", F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).cast("int").alias("salt"), "doc_id", "sig", "at", "words")
 
