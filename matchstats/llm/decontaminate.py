@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchstats.llm.shared import WordHashes, binaries, lists, signed, steps, table, words_of
+from matchstats.llm.shared import lists, signed, steps, table
 
 #: Words of a window.
 WINDOW = 13
 #: Up to this many distinct benchmark terms, only their postings are stored; beyond it those of all terms are (the
 #: result is the same), so what is sent to tasks stays below 8 MB.
 MOST_TERMS = 1_000_000
+#: Bytes of text of an index block.
+BLOCK_BYTES = 4_000_000
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -25,16 +27,15 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """
 
     def run(batches):
-        cache = WordHashes()
-        for batch in batches:
-            for item, text in zip(batch.column("item_id"), binaries(batch, "text")):
-                h = signed(cache.array(words_of(text)))
-                if not len(h):
+        for batch, h, sizes in steps(batches):
+            ends = np.cumsum(sizes)
+            for item, end, n in zip(batch.column("item_id"), ends, sizes):
+                if not n:
                     continue
-                rows = np.lib.stride_tricks.sliding_window_view(h, min(size, len(h)))
+                rows = np.lib.stride_tricks.sliding_window_view(signed(h[end - n : end]), min(size, n))
                 for at in range(0, len(rows), 10_000):
                     own = rows[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), item.type), lists(own.ravel(), np.full(len(own), own.shape[1]), pa.int64())], ["item_id", "terms"])
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(own), item.type), lists(own.ravel(), np.full(len(own), own.shape[1]), pa.int64())], ["item_id", "terms"])
 
     items = benchmark.where("item_id is not null")
     return items.select("item_id", "text").mapInArrow(run, f"item_id {dict(items.dtypes)['item_id']}, terms array<long>")
@@ -43,7 +44,7 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index: rows (block, term, docs, positions) and, with a null term, the block's documents.
 
-    A block is a run of documents with at most a million words (or one longer document).  docs holds a document's
+    A block is a run of documents with at most BLOCK_BYTES bytes (or one longer document).  docs holds a document's
     number in the block once for each of its postings, positions the word number of each.  The row without a term has
     the doc_ids and the numbers of words.  Terms are those of the benchmark.
     """
@@ -55,7 +56,7 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part, number, wanted = TaskContext.get().partitionId(), 0, known.value
-        for batch, _, h, sizes in steps(batches):
+        for batch, h, sizes in steps(batches, size=BLOCK_BYTES):
             block = part << 32 | number
             number += 1
             term = signed(h)

@@ -69,7 +69,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         salts = seeds()
-        for batch, _, h, sizes in steps(batches):
+        for batch, h, sizes in steps(batches):
             g, n = shingle_sets(h, sizes)
             some = np.flatnonzero(n)
             if not len(some):
@@ -257,7 +257,7 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, shingles) for rows with the columns doc_id and text."""
 
     def run(batches):
-        for batch, _, h, sizes in steps(batches):
+        for batch, h, sizes in steps(batches):
             g, n = shingle_sets(h, sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("a"), batch.column("b"), lists(signed(g), n, pa.int64())], ["rep", "a", "b", "shingles"])
 

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
-#: Tokens that one numpy step of a task holds at once.
-STEP_TOKENS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,20 +87,63 @@ def binaries(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", split=words_of) -> Iterator[tuple]:
-    """(batch slice, texts, word hashes of all its texts, their lengths), at most STEP_TOKENS tokens or one text each."""
-    cache = WordHashes()
+#: Lower-cased byte of a word, or 0 between words, for the two kinds of words.
+PLAIN = np.array([0 if b == 32 else b for b in WORD_BYTES], np.uint8)
+RAW = np.array([0 if c == 32 or 9 <= c <= 13 else c for c in range(256)], np.uint8)
+_P = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, STEP_BYTES + 1)
+        _POWERS.clear()
+        for x in (_P, pow(_P, -1, 1 << 64)):
+            factors = np.full(n, x, np.uint64)
+            factors[0] = 1
+            _POWERS.append(np.cumprod(factors, dtype=np.uint64))
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts (bytes data[offsets[i]:offsets[i + 1]]), and their numbers of words.
+
+    A word's hash is a polynomial of its bytes, read off differences of one running sum over the data.
+    """
+    data = kind[data[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = data != 0
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+    stop = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+    power, inverse = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data.astype(np.uint64) * power[: len(data)], out=total[1:])
+    h = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    return h, np.diff(np.searchsorted(start, offsets)).astype(np.int64)
+
+
+#: Bytes of text that one numpy step of a task holds at once (or one longer text).
+STEP_BYTES = 1_000_000
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", kind: np.ndarray = PLAIN, size: int = STEP_BYTES) -> Iterator[tuple]:
+    """(batch slice, word hashes of all its texts one after another, their numbers of words); a null has no words."""
     for batch in batches:
-        texts, start, arrays, total = binaries(batch, column), 0, [], 0
-        for i, text in enumerate(texts):
-            own = cache.array(split(text))
-            if arrays and total + len(own) > STEP_TOKENS:
-                yield batch.slice(start, i - start), texts[start:i], np.concatenate(arrays), np.array([*map(len, arrays)])
-                start, arrays, total = i, [], 0
-            arrays.append(own)
-            total += len(own)
-        if arrays:
-            yield batch.slice(start), texts[start:], np.concatenate(arrays), np.array([*map(len, arrays)])
+        texts = batch.column(column).cast(pa.binary()).fill_null(b"")
+        if not len(texts):
+            continue
+        buffers = texts.buffers()
+        offsets = np.frombuffer(buffers[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+            yield batch.slice(at, to - at), *word_hashes(data, offsets[at : to + 1], kind)
+            at = to
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -137,7 +178,7 @@ def ordered_buckets(df: DataFrame, key: str, rows_each: int, most: int = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): root is the smallest node of its component.
+    """(node, root) of every node of the edges (a, b) but the smallest of each component, which is the root.
 
     Alternating large-star and small-star rounds; each round is two joins with partially aggregated minima (a hub's
     rows are split by the adaptive skew join) and one written table, so no component is ever gathered in one place.
