@@ -206,7 +206,7 @@ def _trained(spark, sf_dir):
     for s in ("home", "away"):
         rows = rows.join(form.select(F.col("team_id").alias(f"{s}_team_id"), "game_date", F.col("last10_win_pct").alias(f"{s}_win_pct"), F.col("last10_net_rating").alias(f"{s}_net")), [f"{s}_team_id", "game_date"])
     rows = rows.join(elo.elo_features(g, history(spark, sf_dir)).select("game_id", "elo_diff", "elo_win_prob"), "game_id").persist()
-    return rows, model.train_stack(features.training_set(rows), TRAINED, n_splits=2, learners=model.base_learners(rounds=3, trees=5))
+    return rows, model.train_stack(features.training_set(rows), TRAINED, n_splits=2, learners=model.base_learners(rounds=2, trees=3, steps=10), meta_steps=15)
 
 
 @query()
