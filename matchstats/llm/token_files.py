@@ -23,7 +23,7 @@ BLOCK = 4096
 #: Documents of a file, about.
 ROWS_EACH = 2000
 #: Cached pieces of text and their ids in a task.
-PIECES = 800_000
+PIECES = 1_500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -142,12 +142,15 @@ class Encoder:
         tailed = [p for p in pieces if len(p) > 1 and p[-1] in ",." and p[-2].isalnum()]
         lines = list(pieces.difference(tailed).union((p[:-1] for p in tailed), ",.") - self.known.keys())
         self.add(lines, *self.ids_of(lines))
-        ids = [np.concatenate([self.ids(p[:-1]), self.ids(p[-1])]) for p in tailed]
-        self.add(tailed, np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0, *map(len, ids)]))
+        both = np.fromiter(chain.from_iterable((self.known[p[:-1]], self.known[p[-1]]) for p in tailed), np.int64, 2 * len(tailed))
+        ids, sizes = self.gather(both)
+        self.add(tailed, ids, np.concatenate([[0], np.cumsum(sizes.reshape(-1, 2).sum(axis=1))]))
 
-    def ids(self, piece: str) -> np.ndarray:
-        n = self.known[piece]
-        return self.flat[self.starts[n] : self.ends[n]]
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces one after another, and how many each has."""
+        sizes = self.ends[numbers] - self.starts[numbers]
+        gaps = self.starts[numbers] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(gaps, sizes) + np.arange(sizes.sum())], sizes
 
     def add(self, pieces: list[str], ids: np.ndarray, borders: np.ndarray) -> None:
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
@@ -180,12 +183,12 @@ class Encoder:
                 cut.append([p for p in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if p])
         if new := set(chain.from_iterable(cut)) - self.known.keys():
             self.learn(new)
-        for i, pieces in enumerate(cut):
+        lengths = np.array([*map(len, cut)], np.int64)
+        ids, sizes = self.gather(np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, lengths.sum()))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
+        for i, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
             if out[i] is None:
-                n = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-                sizes = self.ends[n] - self.starts[n]
-                gaps = self.starts[n] - (np.cumsum(sizes) - sizes)
-                out[i] = self.flat[np.repeat(gaps, sizes) + np.arange(sizes.sum())]
+                out[i] = ids[a:b]
         return out
 
 
