@@ -9,20 +9,22 @@ marginals' sum and maximum and the number of toxic words.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchstats.llm.shared import WORD_BYTES, WordHashes, binaries, gram_hashes, mix, words_of
+from matchstats.llm.shared import WORD_BYTES, WordHashes, binaries, gram_hashes, mix, table, words_of
 
 #: The model is fitted on at most so many labelled documents that are not and that are toxic (those of smallest hashed
 #: doc_id) of at most so many characters; scoring has no such bounds.
-SAMPLE_ROWS, SAMPLE_CHARS = (2500, 1000), 8000
+SAMPLE_ROWS, SAMPLE_CHARS = (2000, 800), 8000
 #: Least log-odds of a toxic word of the sample, and the least number and share of toxic documents that have it.
 LOG_ODDS, LEAST_DOCS, LEAST_SHARE = 4.0, 3, 0.01
 ROUNDS, STEP, L2 = 25, 0.5, 1e-3
@@ -184,7 +186,7 @@ def fit_field(texts: list[list[bytes]], labels: np.ndarray) -> Model:
         small = STEP * 0.5 * small / np.sqrt(own + 1e-8)
         moves, bias, start = moves + small[:4].reshape(2, 2), bias + small[4], start + small[5]
     all_names = list(names)
-    kept = {all_names[i]: float(weights[i]) for i in np.flatnonzero(np.abs(weights) > 1e-3)}
+    kept = {all_names[i]: float(weights[i]) for i in np.flatnonzero(np.abs(weights) > 0.01)}
     return Model(kept, float(bias), moves, float(start))
 
 
@@ -234,9 +236,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROW
     use = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in use.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    near = docs.where(F.length("text") <= chars).where(~held_out()).select("doc_id", "text").join(use, "doc_id")
-    some = [r for y in (0, 1) for r in near.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]).collect()]
-    return fit([(r["text"].encode(), r["toxic"]) for r in some], share)
+    # Which rows: ids only.  Then the texts of those few ids (at most the sum of `rows`, so they may be broadcast).
+    near = docs.where(F.length("text") <= chars).where(~held_out()).select("doc_id").join(use, "doc_id")
+    ids = [near.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
+    ids = table(ids[0].unionByName(ids[1]).distinct(), "sample-ids")
+    sample = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+    def run(batches):
+        found = sorted((r for b in batches for r in zip(b.column("doc_id").to_pylist(), binaries(b, "text"), b.column("toxic").to_pylist())), key=lambda r: (r[2], xxhash.xxh64_intdigest(str(r[0])), r[1]))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit([(t, y) for _, t, y in found], share))], pa.binary())})
+
+    # The sample is bounded, so one task fits the model.
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else Model()
 
 
 def spans(text: bytes, p: np.ndarray) -> list[dict]:
