@@ -26,7 +26,7 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Min-hash coordinates of a class.
 COORDINATES = 64
 #: Classes of a bucket that is not split again; levels of splits; classes of a block of a bucket that is still larger.
-SMALL, LEVELS, BLOCK = 100, 3, 200
+SMALL, LEVELS, BLOCK = 100, 3, 1000
 #: Pairs with a lower estimate are not compared in full: four and a half standard errors below the similarity.
 SLACK = 4.5
 
