@@ -24,7 +24,7 @@ from matchstats.llm.shared import WORD_BYTES, WordHashes, binaries, gram_hashes,
 
 #: The model is fitted on at most so many labelled documents that are not and that are toxic (those of smallest hashed
 #: doc_id) of at most so many characters; scoring has no such bounds.
-SAMPLE_ROWS, SAMPLE_CHARS = (2000, 800), 8000
+SAMPLE_ROWS, SAMPLE_CHARS = (1500, 700), 8000
 #: Least log-odds of a toxic word of the sample, and the least number and share of toxic documents that have it.
 LOG_ODDS, LEAST_DOCS, LEAST_SHARE = 4.0, 3, 0.01
 ROUNDS, STEP, L2 = 25, 0.5, 1e-3
@@ -56,7 +56,7 @@ class Emissions(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         get = self.model.weights.get
         self[word] = e = self.model.bias + sum(get(f, 0.0) for f in features(word))
@@ -277,7 +277,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             texts, at = binaries(batch, "text"), 0
             while at < len(texts):
                 size, to = 0, at
-                while to < len(texts) and size < 5_000_000:
+                while to < len(texts) and size < 2_000_000:
                     size, to = size + len(texts[to] or b""), to + 1
                 p, sizes = marginals(model, emissions, [words_of(t) for t in texts[at:to]])
                 z = summaries(p, sizes) @ model.document
