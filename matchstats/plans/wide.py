@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchstats.operators import elo, features, matches, model, picks, windows
+from matchstats.operators import elo, features, model, picks
 from matchstats.plans.core import elo_sql, games, history, query
 from matchstats.plans.views import r6, view, with_views
 from matchstats.sources import documents, tables
@@ -194,24 +194,21 @@ def elo_freshness(spark, sf_dir):
     return context.elo_freshness(elo.current_elo(history(spark, sf_dir)), games(spark, sf_dir), _AS_OF, 30)
 
 
-#: Features of the trained queries.
-TRAINED = ["elo_diff", "elo_win_prob", "home_win_pct", "away_win_pct", "home_net", "away_net"]
+def _trained(spark, sf_dir):
+    """All features of each game and a stack trained on them, with the operator's folds and learners."""
+    rows = build_features(spark, sf_dir).persist()
+    return rows, model.train_stack(features.training_set(rows), features.FEATURES)
 
 
-def _trained(spark, sf_dir):
-    """A few features of each game and a stack trained on them, over one fold and small ensembles, as a short run of the whole path."""
-    g = games(spark, sf_dir)
-    form = windows.recent_form(matches.team_rows(g), (10,))
-    rows = g.select("game_id", "game_date", "pool_id", "home_team_id", "away_team_id", F.when(F.col("home_score").isNotNull(), (F.col("home_score") > F.col("away_score")).cast("int")).alias("home_win"))
-    for s in ("home", "away"):
-        rows = rows.join(form.select(F.col("team_id").alias(f"{s}_team_id"), "game_date", F.col("last10_win_pct").alias(f"{s}_win_pct"), F.col("last10_net_rating").alias(f"{s}_net")), [f"{s}_team_id", "game_date"])
-    rows = rows.join(elo.elo_features(g, history(spark, sf_dir)).select("game_id", "elo_diff", "elo_win_prob"), "game_id").persist()
-    return rows, model.train_stack(features.training_set(rows), TRAINED, n_splits=1, learners=model.base_learners(rounds=1, trees=2, steps=5), meta_steps=5)
+@query()
+def train_stack(spark, sf_dir):
+    """The out-of-fold accuracy, the temperature and the strongest factors of a trained stack."""
+    _, m = _trained(spark, sf_dir)
+    rows = [(n, float(s), d, float(m.fold_accuracy), float(m.temperature)) for n, s, d in model.top_factors(m)]
+    return spark.createDataFrame(rows, "feature string, share double, direction string, fold_accuracy double, temperature double")
 
 
 @query()
 def score_games(spark, sf_dir):
     rows, m = _trained(spark, sf_dir)
     return model.score(m, rows)
-
-
