@@ -85,6 +85,14 @@ def team_player_stats(rosters: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def player_features(games: DataFrame, stats: DataFrame) -> DataFrame:
+    """The player figures of both sides of each game (team_player_stats); teams without players have nulls."""
+    out = games.select("game_id", "home_team_id", "away_team_id")
+    for s in ("home", "away"):
+        out = out.join(stats.withColumnsRenamed({c: f"{s}_{c}" for c in stats.columns}), f"{s}_team_id", "left")
+    return out.drop("home_team_id", "away_team_id")
+
+
 def top_scorers(rosters: DataFrame, stats: DataFrame, n: int = 10) -> DataFrame:
     """Each team's n best scorers."""
     order = Window.partitionBy("team_id").orderBy(F.col("ppg").desc(), "player_id")

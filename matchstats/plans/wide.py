@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchstats.operators import elo, features, model, picks
+from matchstats.operators import context, elo, features, model, picks
+from matchstats.plans import analysis
 from matchstats.plans.core import elo_sql, games, history, query
 from matchstats.plans.views import r6, view, with_views
 from matchstats.sources import documents, tables
@@ -149,7 +150,9 @@ def supporting_factors(spark, sf_dir):
 
 @query()
 def build_features(spark, sf_dir):
-    return features.build_features(games(spark, sf_dir), history(spark, sf_dir))
+    g = games(spark, sf_dir)
+    extras = [context.player_features(g, analysis.team_player_stats(spark, sf_dir)), *[f(spark, sf_dir) for f in (analysis.travel_features, analysis.injury_features, analysis.market_features)]]
+    return features.build_features(g, history(spark, sf_dir), extras)
 
 
 @query(_forms_sql(f"{r6('home_elo')}, 0.0::DOUBLE AS no_such_feature, {r6('away_last10_ppg')}"))
@@ -189,8 +192,6 @@ _AS_OF = "2001-08-05"
 
 @query(elo_sql(f"SELECT t.team_id, {r6('elo')}, date_diff('day', last_updated, DATE '{_AS_OF}') AS days_old, coalesce(date_diff('day', last_updated, DATE '{_AS_OF}') > 30, TRUE) AS stale FROM (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games) t LEFT JOIN cur USING (team_id)", "cur AS (SELECT team_id, arg_max(elo_after, (game_date, game_id)) AS elo, max(game_date) AS last_updated FROM history GROUP BY team_id)"))
 def elo_freshness(spark, sf_dir):
-    from matchstats.operators import context
-
     return context.elo_freshness(elo.current_elo(history(spark, sf_dir)), games(spark, sf_dir), _AS_OF, 30)
 
 

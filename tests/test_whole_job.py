@@ -21,3 +21,21 @@ def test_model_queries_train_the_whole_stack(spark, monkeypatch):
     own = model.base_learners()
     assert [(own[n].getMaxIter(), own[n].getMaxDepth()) for n in ("boosted", "boosted_shallow")] == [(200, 5)] * 2
     assert (own["forest"].getNumTrees(), own["forest"].getMaxDepth(), own["logistic"].getMaxIter()) == (200, 10, 1000)
+
+
+def test_wide_table_has_players_travel_injuries_and_market(spark):
+    q = lambda name: registry.QUERIES[name](spark, SF)
+    wide_rows = {r["game_id"]: r for r in q("build_features").collect()}
+    assert len(wide_rows) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    for name in ("travel_features", "injury_features", "market_features"):
+        own = [r.asDict() for r in q(name).collect()]
+        same = [c for c in own[0] if c in features.FEATURES]
+        assert len(same) >= 3 and len(own) == len(wide_rows)
+        assert all(abs(wide_rows[r["game_id"]][c] - r[c]) < 2e-6 for r in own for c in same)
+    players = {r["team_id"]: r for r in q("team_player_stats").collect()}
+    for r in wide.games(spark, SF).select("game_id", "home_team_id", "away_team_id").collect():
+        for s in ("home", "away"):
+            team = players.get(r[f"{s}_team_id"])
+            assert all(abs(wide_rows[r["game_id"]][f"{s}_{c}"] - (team[c] if team else 0)) < 2e-6 for c in features.PLAYERS)
+    varied = [c for c in [f"{s}_{c}" for s in ("home", "away") for c in features.PLAYERS] + [c for c in features.FEATURES if "injur" in c or "travel" in c or "market_" in c] if len({r[c] for r in wide_rows.values()}) > 1]
+    assert "elo_travel_interaction" in varied and len(varied) >= 28, varied
