@@ -39,3 +39,11 @@ def test_wide_table_has_players_travel_injuries_and_market(spark):
             assert all(abs(wide_rows[r["game_id"]][f"{s}_{c}"] - (team[c] if team else 0)) < 2e-6 for c in features.PLAYERS)
     varied = [c for c in [f"{s}_{c}" for s in ("home", "away") for c in features.PLAYERS] + [c for c in features.FEATURES if "injur" in c or "travel" in c or "market_" in c] if len({r[c] for r in wide_rows.values()}) > 1]
     assert "elo_travel_interaction" in varied and len(varied) >= 28, varied
+
+
+def test_lookup_takes_the_keys_of_all_games(spark):
+    games = wide.games(spark, SF)
+    teams = {r["c_custkey"] for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    keys = {(r["game_date"], r["home_team_id"], r["away_team_id"], r["game_id"] % 2) for r in games.collect() if {r["home_team_id"], r["away_team_id"]} <= teams}
+    assert registry.QUERIES["lookup_all_predictions"](spark, SF).count() == len(keys)
+    assert "game_id%5 = 0)" not in registry.SQL["lookup_all_predictions"]
