@@ -175,6 +175,17 @@ def read_team_logs(spark, sf_dir):
     return both.groupBy("SEASON").agg(F.count("*").alias("n"), F.sum("PTS").alias("pts"))
 
 
+@query(with_views("SELECT SEASON || '-' || lpad(CAST((CAST(SEASON AS INTEGER) + 1)%100 AS VARCHAR), 2, '0') AS SEASON, count(*) AS n, sum(PTS)::BIGINT AS pts FROM team_logs GROUP BY ALL", "team_logs"))
+def read_all_team_logs(spark, sf_dir):
+    """The seasons found in the logs (few) as one table; the newest lacks a column."""
+    logs = view(spark, sf_dir, "team_logs")
+    years = sorted(r["SEASON"] for r in logs.select("SEASON").distinct().collect())
+    parts = {f"{y}-{(int(y) + 1) % 100:02d}": logs.where(F.col("SEASON") == y) for y in years}
+    last = max(parts)
+    every = tables.union_seasons(parts | {last: parts[last].drop("WL")})
+    return every.groupBy("SEASON").agg(F.count("*").alias("n"), F.sum("PTS").alias("pts"))
+
+
 @query("SELECT page_id, 'book ' || page_id AS bookmaker, 1.5::DOUBLE AS home, CAST(page_id%7 AS DOUBLE) AS away FROM pages WHERE page_id%3 <> 0")
 def html_table_rows(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")

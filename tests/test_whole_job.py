@@ -4,6 +4,7 @@ import inspect
 
 from matchstats.operators import features, model
 from matchstats.plans import registry, wide
+from matchstats.plans.views import view
 
 SF = "/root/testdata/sf0.001"
 TRAIN = model.train_stack
@@ -47,3 +48,10 @@ def test_lookup_takes_the_keys_of_all_games(spark):
     keys = {(r["game_date"], r["home_team_id"], r["away_team_id"], r["game_id"] % 2) for r in games.collect() if {r["home_team_id"], r["away_team_id"]} <= teams}
     assert registry.QUERIES["lookup_all_predictions"](spark, SF).count() == len(keys)
     assert "game_id%5 = 0)" not in registry.SQL["lookup_all_predictions"]
+
+
+def test_team_logs_of_all_seasons_are_read(spark):
+    rows = registry.QUERIES["read_all_team_logs"](spark, SF).collect()
+    years = {r["y"] for r in wide.games(spark, SF).selectExpr("year(game_date) AS y").distinct().collect()}
+    assert {int(r["SEASON"][:4]) for r in rows} == years and len(rows) == len(years) > 2
+    assert sum(r["n"] for r in rows) == view(spark, SF, "team_logs").count()
