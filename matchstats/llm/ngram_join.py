@@ -92,7 +92,8 @@ def runs_for(recall: float = RECALL, similarity: float = SIMILARITY, levels: int
     """Runs after which a pair at the threshold has met with a chance of `recall`.
 
     At each level a pair follows a Poisson number of common paths with mean 1; the chance q of no meeting below a node
-    obeys q = exp(q' - 1), q' being that of its children, and q' = 0 at a leaf.  The deepest tree is assumed.
+    obeys q = exp(q' - 1), q' being that of its children, and q' = 0 at a leaf.  The deepest tree is assumed.  This is an
+    average over draws at the root; root_runs() reckons with the one draw there is.
     """
     q = 0.0
     for _ in range(levels):
@@ -100,20 +101,71 @@ def runs_for(recall: float = RECALL, similarity: float = SIMILARITY, levels: int
     return math.ceil(math.log(1 - recall) / math.log(q))
 
 
-def children(rows: DataFrame, level: int, runs: int, similarity: float) -> DataFrame:
+def chosen(names: np.ndarray, similarity: float) -> np.ndarray:
+    """Which coordinates (columns) are chosen at some nodes (rows)."""
+    at = np.arange(COORDINATES, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return (mix(names[:, None] ^ (at + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) < int(2**32 / (similarity * COORDINATES))
+
+
+def run_names(node: np.ndarray, r: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(node + np.uint64(r * 0x9E37 + 1))
+
+
+def least_estimate(similarity: float) -> float:
+    return similarity - SLACK * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+
+
+def missed(times: np.ndarray, similarity: float = SIMILARITY, levels: int = LEVELS) -> float:
+    """The chance that a pair at the threshold is not found, if times[c] runs choose coordinate c at the root.
+
+    The root's choices are the same for all pairs.  A pair agrees on k coordinates, which is binomial, and along each of
+    them that is chosen it fails to meet with a chance of q, by what is chosen further down; the mean over all sets of k
+    coordinates is that of the products of q ** times.  Pairs below the least estimate are not found at all.
+    """
+    total, chance = 0.0, 1 / (similarity * COORDINATES)
+    for k in range(COORDINATES + 1):
+        weight = math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k)
+        if k / COORDINATES >= least_estimate(similarity):
+            q = 0.0
+            for _ in range(levels - 1):
+                q = (1 - chance * (1 - q)) ** k
+            sums = np.zeros(COORDINATES + 1)
+            sums[0] = 1
+            for n in times:
+                sums[1:] = sums[1:] + sums[:-1] * q ** int(n)
+            weight *= sums[k] / math.comb(COORDINATES, k)
+        total += weight
+    return total
+
+
+def root_runs(recall: float = RECALL, similarity: float = SIMILARITY, levels: int = LEVELS) -> list[int]:
+    """The numbers of the runs that are made: those that choose something at the root, at least as many run numbers as
+    runs_for() and more until the choices really drawn reach the recall."""
+    if missed(np.full(COORDINATES, 10**6), similarity, levels) > 1 - recall:
+        raise ValueError("the estimate from min-hashes alone misses more pairs than the recall allows")
+    times, runs, r = np.zeros(COORDINATES, np.int64), [], 0
+    while r < runs_for(recall, similarity, levels) or missed(times, similarity, levels) > 1 - recall:
+        own = chosen(run_names(np.zeros(1, np.uint64), r), similarity)[0]
+        times += own
+        runs += [r] * bool(own.any())
+        r += 1
+    return runs
+
+
+def children(rows: DataFrame, level: int, runs: list[int], similarity: float) -> DataFrame:
     """(run, path, rep, mh) rows one level down: each class along the coordinates chosen at its node."""
-    chance = int(2**32 / (similarity * COORDINATES))
 
     def run(batches):
         at = np.arange(COORDINATES, dtype=np.uint64)
         for batch in batches:
             mh = np.asarray(batch.column("mh").flatten()).reshape(-1, COORDINATES).view(np.uint32).astype(np.uint64)
             node = np.asarray(batch.column("path")).view(np.uint64)
-            for r in range(runs) if level == 0 else [0]:
+            for r in runs if level == 0 else [0]:
+                name = run_names(node, r) if level == 0 else node
+                row, coordinate = np.nonzero(chosen(name, similarity))
                 with np.errstate(over="ignore"):
-                    name = mix(node + np.uint64(r * 0x9E37 + 1)) if level == 0 else node
-                    chosen = (mix(name[:, None] ^ (at + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) < chance
-                    row, coordinate = np.nonzero(chosen)
                     path = mix(mix(name[row] + at[coordinate] + np.uint64(7)) ^ (mh[row, coordinate] * np.uint64(0x94D049BB133111EB)))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(path)), batch.column("rep").take(take)], ["path", "rep"])
@@ -122,7 +174,7 @@ def children(rows: DataFrame, level: int, runs: int, similarity: float) -> DataF
     return rows.select("path", "rep", "mh").mapInArrow(run, f"path long, rep {kind}")
 
 
-def buckets(reps: DataFrame, runs: int, similarity: float) -> DataFrame:
+def buckets(reps: DataFrame, runs: list[int], similarity: float) -> DataFrame:
     """(path, rep, n) of all leaf buckets of at least two classes."""
     done, now = None, reps.select(F.lit(0).cast("long").alias("path"), "rep", "mh")
     for level in range(LEVELS):
@@ -177,7 +229,7 @@ def pairs_of(own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 def flag(rows: DataFrame, similarity: float) -> DataFrame:
     """(path, i, j, rep) of the classes that have a likely partner, by min-hash estimate, which they first meet there."""
-    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+    least = least_estimate(similarity)
 
     def run(key, group):
         path, i, j = (k.as_py() for k in key)
@@ -275,7 +327,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     reps = own.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("mh").alias("mh"))
     # Two sets may have rows of one doc_id; the first set then stands for it.
     reps = table(reps.groupBy("rep").agg(F.min_by(F.struct("a", "b", "copies", "mh"), "a").alias("s")).select("rep", "s.*"), "classes")
-    leaves = buckets(reps, runs_for(recall, similarity), similarity)
+    leaves = buckets(reps, root_runs(recall, similarity, LEVELS), similarity)
     paths = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     paths = table(paths.join(reps.select("rep", "mh", "copies"), "rep"), "class-paths")
     likely = table(flag(blocks(leaves).join(paths.select("rep", "paths", "mh"), "rep"), similarity), "likely")
