@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -22,8 +23,10 @@ HEADER = struct.Struct("<4sHHQQQ")  # magic, bits, zero, documents, ids, blocks
 BLOCK = 4096
 #: Documents of a file, about.
 ROWS_EACH = 2000
-#: Cached pieces of text and their ids in a task.
-PIECES = 1_500_000
+#: Characters of text of a task's step (or one longer text).
+STEP_CHARS = 2_000_000
+#: Cached pieces of text of a worker, and their ids.
+PIECES = 1_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -35,8 +38,11 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """The ids' lowest `bits` bits one after another, lowest bit first; the last byte is padded with zeros."""
     if bits in (8, 16, 32):  # the same bytes as below
         return ids.astype(f"<u{bits // 8}").tobytes()
-    planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    out = []
+    for at in range(0, len(ids), BLOCK):  # a whole number of bytes each, but for the last
+        planes = (ids[at : at + BLOCK].astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
+        out.append(np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes())
+    return b"".join(out)
 
 
 def unpack(data: bytes | memoryview, n: int, bits: int, first: int = 0) -> np.ndarray:
@@ -111,86 +117,181 @@ def vocabulary_size(path: str) -> int:
     return load(path).get_vocab_size()
 
 
+#: Byte-level alphabet of the tokenizers library: the printable bytes stand for themselves, the others for 256, 257, ...
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in set(_PRINTABLE)]
+BYTE_LEVEL = "".join(chr(b if b in set(_PRINTABLE) else 256 + _OTHERS.index(b)) for b in range(256))
+#: From here on the library's idea of a letter or digit may be older than Python's.
+UNSURE = "\u0530"
+ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def plain_byte_level(config: dict) -> bool:
+    """Whether a tokenizer is byte-level BPE without any other step, so that Encoder may cut its texts."""
+    pre, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
+    return (
+        not config.get("normalizer")
+        and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        and (config.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
+        and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    )
+
+
+class Numbers(dict):
+    """Numbers of pieces; a new piece gets the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+
+class Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, values) -> None:
+        if self.n + len(values) > len(self.data):
+            wider = np.zeros(max(2 * len(self.data), self.n + len(values)), self.data.dtype)
+            wider[: self.n] = self.data[: self.n]
+            self.data = wider
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct piece once.
 
-    Pieces are cut before a blank, around a line break, and between a letter or digit and a comma or full stop that
-    ends a word.  A byte-level tokenizer without normaliser ends its matches at these places, so the ids of the pieces
-    are the ids of the text.  Texts with runs of white space, where this need not hold, are encoded whole.
-    New pieces go to the library as lines of one text; an id stands for a fixed number of bytes, which tells where each
-    line's ids end.
-    """
+    A text is cut at blanks and before line breaks.  A piece as it stands has a blank before it; one that starts with
+    a line break, or with a null character at the start of a text, has none.  A byte-level tokenizer without other steps
+    ends its matches at these places, after a line break, and between a letter or digit and the ASCII marks that end a
+    piece, so the ids of the parts are the ids of the text.  Texts with runs of white space or white space of another
+    kind, where this need not hold, texts with null characters, and those of any other tokenizer are encoded whole.
 
-    RUNS = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\0")
+    New parts of letters only are one match each and go to the library's BPE in their byte-level spelling, the other new
+    parts as lines of one text; an id stands for a fixed number of bytes, which tells where each part's ids end.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.tokenizer = load(path)
-        words = self.tokenizer.get_vocab()
-        self.bytes_of = np.zeros(max(words.values()) + 1, np.int64)
-        for word, i in words.items():
-            self.bytes_of[i] = len(word)
-        self.forget()
+        config = json.loads(self.tokenizer.to_str())
+        self.whole = not plain_byte_level(config)
+        if not self.whole:
+            self.merger = Tokenizer.from_str(json.dumps(config | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+            words = self.tokenizer.get_vocab()
+            self.bytes_of = np.zeros(max(words.values()) + 1, np.int64)
+            for word, i in words.items():
+                self.bytes_of[i] = len(word)
+            self.forget()
 
     def forget(self) -> None:
-        """Known pieces, and where the ids of each start and end."""
-        self.known: dict[str, int] = {}
-        self.starts, self.ends, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        line_break = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-        self.add(["\n"], line_break, np.array([0, len(line_break)]))
-
-    def learn(self, pieces: set[str]) -> None:
-        tailed = [p for p in pieces if len(p) > 1 and p[-1] in ",." and p[-2].isalnum()]
-        lines = list(pieces.difference(tailed).union((p[:-1] for p in tailed), ",.") - self.known.keys())
-        self.add(lines, *self.ids_of(lines))
-        both = np.fromiter(chain.from_iterable((self.known[p[:-1]], self.known[p[-1]]) for p in tailed), np.int64, 2 * len(tailed))
-        ids, sizes = self.gather(both)
-        self.add(tailed, ids, np.concatenate([[0], np.cumsum(sizes.reshape(-1, 2).sum(axis=1))]))
+        """Known pieces, where the ids of each start, how many it has, and which ones need their whole text."""
+        self.known = Numbers()
+        self.starts, self.sizes, self.odd, self.flat = Grown(np.int64), Grown(np.int32), Grown(bool), Grown(np.uint32)
+        line_break = self._ids("\n")
+        self.known["\0\n"] = 0
+        self.starts.add([0]), self.sizes.add([len(line_break)]), self.odd.add([False]), self.flat.add(line_break)
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known pieces one after another, and how many each has."""
-        sizes = self.ends[numbers] - self.starts[numbers]
-        gaps = self.starts[numbers] - (np.cumsum(sizes) - sizes)
-        return self.flat[np.repeat(gaps, sizes) + np.arange(sizes.sum())], sizes
-
-    def add(self, pieces: list[str], ids: np.ndarray, borders: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
-        self.starts = np.concatenate([self.starts, borders[:-1] + len(self.flat)])
-        self.ends = np.concatenate([self.ends, borders[1:] + len(self.flat)])
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-
-    def ids_of(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces without line breaks, one after another, and their borders."""
-        out, sizes = [np.zeros(0, np.uint32)], [0]
+        sizes = self.sizes.data[numbers]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        gaps = self.starts.data[numbers] - (ends - sizes)
+        return self.flat.data[np.repeat(gaps, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def learn(self) -> None:
+        """Finds the ids of all pieces that are noted as new; parts of them are new pieces too."""
+        new, number, base = self.known.new, self.known.__getitem__, len(self.known) - len(self.known.new)
+        words, others, marked, broken = [], [], [], []  # places in `new`; the last two with the numbers of their parts
+        odd = []
+        for i, piece in enumerate(new):  # grows while parts are found
+            bare = piece.lstrip("\0\n")
+            if bare.split() != [bare]:
+                if piece != "\0":
+                    odd.append(i)
+            elif piece[0] == "\n":
+                broken.append((i, number("\0\n"), number("\0" + bare)))
+            else:
+                core = piece.rstrip(ASCII_MARKS)
+                if len(core) < len(piece) and core[-1:].isalnum() and core[-1] < UNSURE:
+                    marked.append((i, number(core), number("\0" + piece[len(core) :])))
+                else:
+                    (words if bare.isalpha() and (bare.isascii() or max(bare) < UNSURE) else others).append(i)
+        starts, sizes = np.zeros(len(new), np.int64), np.zeros(len(new), np.int32)
+        for places, ids_of in ((words, self.merged), (others, self.lines)):
+            ids, own = ids_of([new[i][1:] if new[i][0] == "\0" else " " + new[i] for i in places])
+            starts[places], sizes[places] = self.flat.n + np.cumsum(own) - own, own
+            self.flat.add(ids)
+        self.starts.add(starts), self.sizes.add(sizes), self.odd.add(np.isin(np.arange(len(new)), odd))
+        for some in (marked, broken):  # a line break may be followed by marked words, not the other way round
+            if some:
+                place, *parts = np.array(some, np.int64).T
+                ids, own = self.gather(np.stack(parts, axis=1).ravel())
+                own = own.reshape(-1, 2).sum(axis=1)
+                self.starts.data[place + base], self.sizes.data[place + base] = self.flat.n + np.cumsum(own) - own, own
+                self.flat.add(ids)
+        new.clear()
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that are one match each, one after another, and how many each has."""
+        out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(words), 3000):
+            raw = [w.encode() for w in words[i : i + 3000]]
+            found = np.array(self.merger.encode_batch_fast([[r.decode("latin-1").translate(BYTE_LEVEL) for r in raw]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            last = np.searchsorted(np.cumsum(self.bytes_of[found]), np.cumsum([*map(len, raw)])) + 1
+            out.append(found)
+            sizes.append(np.diff(last, prepend=0))
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of other parts, none of which has a line break, one after another, and how many each has."""
+        out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
         for i in range(0, len(lines), 3000):
             some = lines[i : i + 3000]
-            found = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            found = self._ids("\n".join(some))
             last = np.searchsorted(np.cumsum(self.bytes_of[found]), np.cumsum([len(p.encode()) + 1 for p in some]) - 1) + 1
-            own = np.diff(last, prepend=-1) - 1  # without the line break before it
             out.append(np.delete(found, last[:-1]))
-            sizes.extend(own.tolist())
-        return np.concatenate(out), np.cumsum(sizes)
+            sizes.append(np.diff(last, prepend=-1) - 1)  # without the line break before it
+        return np.concatenate(out), np.concatenate(sizes)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: none)."""
+        if self.whole:
+            return [self._ids(t) for t in texts]
         if len(self.known) > PIECES:
             self.forget()
         out, cut = [None] * len(texts), []
         for i, text in enumerate(texts):
-            if not text or text[-1] in " \n" or any(r in text for r in self.RUNS):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
+            if not text or "\0" in text:
+                out[i] = self._ids(text)
                 cut.append([])
             else:
-                cut.append([p for p in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if p])
-        if new := set(chain.from_iterable(cut)) - self.known.keys():
-            self.learn(new)
+                cut.append(("\0" + text).replace("\n", " \n").split(" "))
         lengths = np.array([*map(len, cut)], np.int64)
-        ids, sizes = self.gather(np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, lengths.sum()))
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, lengths.sum())
+        if self.known.new:
+            self.learn()
+        if (odd := self.odd.data[numbers]).any():
+            for i in np.unique(np.repeat(np.arange(len(texts)), lengths)[odd]):
+                out[i] = self._ids(texts[i])
+        ids, sizes = self.gather(numbers)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
         for i, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
             if out[i] is None:
                 out[i] = ids[a:b]
         return out
 
+    def _ids(self, text: str | None) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], np.uint32)
+
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
@@ -213,11 +314,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, r
     def encode(batches):
         encoder = encoder_of(tokenizer)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                ids = [np.concatenate([i, tail]) for i in encoder.encode(texts[at : at + 500])]
+            texts, at = batch.column("text").to_pylist(), 0
+            while at < len(texts):
+                size, to = 0, at
+                while to < len(texts) and size < STEP_CHARS:
+                    size, to = size + len(texts[to] or ""), to + 1
+                ids = [np.concatenate([i, tail]) for i in encoder.encode(texts[at:to])]
                 packed, counts = [pack(i, bits) for i in ids], [*map(len, ids)]
-                own = batch.slice(at, 500)
+                own, at = batch.slice(at, to - at), to
                 yield pa.RecordBatch.from_arrays([own.column("bucket"), own.column("doc_id"), pa.array(packed, pa.binary()), pa.array(counts, pa.int64())], ["bucket", "doc_id", "packed", "n"])
 
     folder = fresh_path(spark, "tokens")
