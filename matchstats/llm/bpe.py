@@ -13,11 +13,14 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-#: A text longer than this is encoded in parts, cut where every tokenizer pattern of this family ends a match.
+#: A text longer than this is encoded in parts, if the pattern is PATTERN; texts of other patterns are encoded whole.
 PART_CHARS = 50_000
-#: Between a letter, digit or full stop and a space or line break; between an ASCII letter and digit.  No match of the
-#: pattern spans these places and no lookahead reaches over them.
-SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+#: Fixed value: the pattern for which the boundaries below are right.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Before a blank or line break that no white space precedes; between an ASCII letter and digit; between a Chinese,
+#: Japanese or Korean letter and a mark of these scripts.  No match of the pattern spans these places and no lookahead
+#: reaches over them.
+SAFE = re.compile("(?<=\\S)(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 @lru_cache(maxsize=4)
@@ -48,7 +51,7 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
 def encode(text: str | None, path: str, pattern: str) -> list[int]:
     """Ids of a whole text (null: none), each match of the pattern merged for itself."""
     encoder = load(path, pattern)
-    if len(text or "") <= PART_CHARS:
+    if len(text or "") <= PART_CHARS or pattern != PATTERN:
         return encoder.encode_ordinary(text or "")
     return [i for part in parts(text) for i in encoder.encode_ordinary(part)]
 
@@ -81,7 +84,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: every whole text encoded, and its ids decoded again."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: every whole text encoded, and its ids decoded again.
+
+    Nulls, empty and repeated rows, empty tables and further columns are treated as by encode_documents(); a null text
+    decodes to no bytes.  Texts may be of any length; one that has no safe boundary is encoded at once.
+    """
 
     def run(batches):
         for batch in batches:

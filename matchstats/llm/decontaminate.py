@@ -1,4 +1,8 @@
-"""Benchmark decontamination by a distributed positional inverted index of the training tokens."""
+"""Benchmark decontamination by a distributed positional inverted index of the training tokens.
+
+The index is stored in blocks of documents.  It holds the postings of the terms that a benchmark asks for, picked by a bit
+map of fixed size, so it is built for the benchmark it serves.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +17,11 @@ from matchstats.llm.shared import lists, signed, steps, table
 
 #: Words of a window.
 WINDOW = 13
-#: Up to this many distinct benchmark terms, only their postings are stored; beyond it those of all terms are (the
-#: result is the same), so what is sent to tasks stays below 8 MB.
-MOST_TERMS = 1_000_000
+#: Postings are stored of the terms whose bit is set in a map of 2^TERM_BITS bits (8 MB, whatever the benchmark's size): all
+#: terms of the benchmark and a few others.
+TERM_BITS = 26
+#: Parts of a term's rows where windows are weighed by their terms, so that common words are spread.
+SALTS = 16
 #: Bytes of text of an index block.
 BLOCK_BYTES = 4_000_000
 
@@ -41,16 +47,23 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"item_id {dict(items.dtypes)['item_id']}, terms array<long>")
 
 
+def term_map(terms: DataFrame) -> np.ndarray:
+    """The map of some terms as 64-bit words: at most 2^20 rows of two numbers reach the driver."""
+    bit = F.expr("shiftleft(1L, cast(term & 63 AS int))")
+    words = terms.groupBy(F.expr(f"(term & {(1 << TERM_BITS) - 1}) >> 6").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (TERM_BITS - 6), np.int64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
+    return out.view(np.uint64)
+
+
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index: rows (block, term, docs, positions) and, with a null term, the block's documents.
 
     A block is a run of documents with at most BLOCK_BYTES bytes (or one longer document).  docs holds a document's
     number in the block once for each of its postings, positions the word number of each.  The row without a term has
-    the doc_ids and the numbers of words.  Terms are those of the benchmark.
+    the doc_ids and the numbers of words.  The index serves searches for the given terms.
     """
-    some = [r["term"] for r in terms.limit(MOST_TERMS + 1).collect()]
-    wanted = np.sort(np.array(some, np.int64)) if len(some) <= MOST_TERMS else None
-    known = docs.sparkSession.sparkContext.broadcast(wanted)
+    known = docs.sparkSession.sparkContext.broadcast(term_map(terms))  # 8 MB
 
     def run(batches):
         from pyspark import TaskContext
@@ -62,10 +75,9 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
             term = signed(h)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            if wanted is not None:
-                near = np.minimum(np.searchsorted(wanted, term), max(len(wanted) - 1, 0))
-                keep = wanted[near] == term if len(wanted) else np.zeros(len(term), bool)
-                term, doc, at = term[keep], doc[keep], at[keep]
+            bits = term.view(np.uint64)
+            keep = (wanted[(bits & np.uint64((1 << TERM_BITS) - 1)) >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+            term, doc, at = term[keep], doc[keep], at[keep]
             order = np.argsort(term, kind="stable")
             term, doc, at = term[order], doc[order], at[order]
             own, counts = np.unique(term, return_counts=True)
@@ -103,16 +115,19 @@ def match(keys: list[np.ndarray], slop: int = 0) -> np.ndarray:
 def search(index: DataFrame, wins: DataFrame, slop: int = 0) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside matching windows), and items (the distinct item_ids, sorted).
 
-    A window is tried in the blocks that hold its rarest term (by postings over the whole index); the postings of a
-    block and the windows to try there meet in one task, whose size a block bounds.
+    A window is tried in the blocks that hold both of its two rarest terms (by postings over the whole index); the
+    postings of a block and the windows to try there meet in one task.
     """
+    keys = index.where("term is not null").select("block", "term")
     weights = index.where("term is not null").groupBy("term").agg(F.sum(F.size("docs")).alias("n"))
+    weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     held = table(wins.select(F.monotonically_increasing_id().alias("w"), "item_id", "terms"), "windows")
-    ranked = held.select("w", F.posexplode("terms").alias("i", "term")).join(weights, "term", "left")
-    # A term without postings is the rarest of all: its window occurs nowhere.
-    rarest = ranked.groupBy("w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r"))
-    tried = held.join(rarest.where("r.n > 0").select("w", F.col("r.term").alias("term")), "w")
-    tried = tried.join(index.where("term is not null").select("block", "term"), "term")
+    ranked = held.select("w", F.explode(F.array_distinct("terms")).alias("term"), F.pmod("w", F.lit(SALTS)).cast("int").alias("salt")).join(weights, ["term", "salt"], "left")
+    ranked = ranked.groupBy("w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("r"))
+    # A window with a term without postings occurs nowhere.  A window of one distinct term has it as both.
+    rare = ranked.where("r[0].n > 0").select("w", F.col("r")[0]["term"].alias("term"), F.coalesce(F.get("r", F.lit(1))["term"], F.col("r")[0]["term"]).alias("second"))
+    tried = rare.join(keys, "term").select("w", "block", F.col("second").alias("term")).join(keys, ["block", "term"], "left_semi")
+    tried = tried.select("w", "block").join(held, "w")
     item = dict(wins.dtypes)["item_id"]
     kind = dict(index.dtypes)["doc_ids"][6:-1]
     left = index.select("block", "term", "docs", "positions", "doc_ids", F.lit(None).cast(item).alias("item_id"), F.lit(None).cast("array<long>").alias("terms"))
@@ -151,10 +166,12 @@ def search(index: DataFrame, wins: DataFrame, slop: int = 0) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """doc_id, n_words, n_hit, items and contaminated (n_hit > 0 and at least a twentieth of the words) per document.
 
-    Null texts have no words; repeated rows count each for itself; with an empty benchmark nothing is hit.
+    Null texts have no words; repeated rows count each for itself; with an empty benchmark nothing is hit; an empty table
+    of documents gives an empty one.  doc_id may be of any type and null; only doc_id and text, and item_id and text of
+    the benchmark, are read, whole and of any length.
     """
     wins = table(windows(benchmark, size), "windows")
-    terms = wins.select(F.explode("terms").alias("term")).distinct()
+    terms = wins.select(F.explode("terms").alias("term"))
     found = search(build_index(docs, terms), wins, slop)
     return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 

@@ -25,8 +25,9 @@ from matchstats.llm.shared import components, gram_hashes, lists, mix, signed, s
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Min-hash coordinates of a class.
 COORDINATES = 64
-#: Classes of a bucket that is not split again; levels of splits; classes of a block of a bucket that is still larger.
-SMALL, LEVELS, BLOCK = 100, 3, 1000
+#: Classes of a bucket that is not split again; levels of splits; classes and shingles of a block of a bucket that is
+#: still larger (or has very long texts).
+SMALL, LEVELS, BLOCK, BLOCK_SHINGLES = 100, 3, 1000, 4_000_000
 #: Pairs with a lower estimate are not compared in full: four and a half standard errors below the similarity.
 SLACK = 4.5
 
@@ -75,9 +76,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             if not len(some):
                 continue
             first = (np.cumsum(n) - n)[some]
-            with np.errstate(over="ignore"):
-                a = np.add.reduceat(mix(g), first) ^ n[some].astype(np.uint64)
-                b = np.add.reduceat(mix(g ^ np.uint64(0xA0761D6478BD642F)), first)
+            a, b = names(g, n[some], first)
             low = np.stack([np.minimum.reduceat(mix(g ^ s), first) for s in salts], axis=1)
             mh = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -155,7 +154,7 @@ def root_runs(recall: float = RECALL, similarity: float = SIMILARITY, levels: in
 
 
 def children(rows: DataFrame, level: int, runs: list[int], similarity: float) -> DataFrame:
-    """(run, path, rep, mh) rows one level down: each class along the coordinates chosen at its node."""
+    """(path, rep, size) rows one level down: each class along the coordinates chosen at its node."""
 
     def run(batches):
         at = np.arange(COORDINATES, dtype=np.uint64)
@@ -168,35 +167,37 @@ def children(rows: DataFrame, level: int, runs: list[int], similarity: float) ->
                 with np.errstate(over="ignore"):
                     path = mix(mix(name[row] + at[coordinate] + np.uint64(7)) ^ (mh[row, coordinate] * np.uint64(0x94D049BB133111EB)))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(path)), batch.column("rep").take(take)], ["path", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(path)), batch.column("rep").take(take), batch.column("size").take(take)], ["path", "rep", "size"])
 
-    kind = dict(rows.dtypes)["rep"]
-    return rows.select("path", "rep", "mh").mapInArrow(run, f"path long, rep {kind}")
+    return rows.select("path", "rep", "size", "mh").mapInArrow(run, "path long, rep long, size long")
 
 
 def buckets(reps: DataFrame, runs: list[int], similarity: float) -> DataFrame:
-    """(path, rep, n) of all leaf buckets of at least two classes."""
-    done, now = None, reps.select(F.lit(0).cast("long").alias("path"), "rep", "mh")
+    """(path, rep, n, shingles) of all leaf buckets of at least two classes; the last two are sums over the bucket."""
+    if "size" not in reps.columns:  # of no account but for the blocks
+        reps = reps.withColumn("size", F.lit(1).cast("long"))
+    done, now = None, reps.select(F.lit(0).cast("long").alias("path"), "rep", "size", "mh")
     for level in range(LEVELS):
         rows = table(children(now, level, runs, similarity).distinct(), "paths")
-        counts = table(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path-counts")
+        counts = table(rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1"), "path-counts")
         rows = table(rows.join(counts, "path"), "buckets")
         last = level == LEVELS - 1
         leaf = rows if last else rows.where(F.col("n") <= SMALL)
         done = leaf if done is None else done.unionByName(leaf)
         if last or rows.where(F.col("n") > SMALL).isEmpty():
             return done
-        now = rows.where(F.col("n") > SMALL).select("path", "rep").join(reps.select("rep", "mh"), "rep")
+        now = rows.where(F.col("n") > SMALL).select("path", "rep", "size").join(reps.select("rep", "mh"), "rep")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
     """Gives each row its (i, j) block pairs: one for a small bucket, for a large one all pairs with the row's block.
 
-    A bucket of n classes is dealt to about (n / BLOCK)^2 / 2 tasks of at most two blocks each.
+    A bucket of b blocks is dealt to about b^2 / 2 tasks of at most two blocks each, whose classes and shingles are
+    bounded (but for the deal by hash, and for a single longer text).
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.when(F.col("n") <= 2 * SMALL, 0).otherwise(F.pmod(F.xxhash64("rep"), parts)).cast("int")
-    other = F.when(F.col("n") <= 2 * SMALL, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))
+    fits = (F.col("n") <= 2 * SMALL) & (F.col("shingles") <= 2 * BLOCK_SHINGLES)
+    parts = F.when(fits, 1).otherwise(F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    own, other = F.pmod(F.xxhash64("rep"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(other))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
@@ -245,8 +246,7 @@ def flag(rows: DataFrame, similarity: float) -> DataFrame:
         some = np.unique(np.concatenate([x, y]))
         return pa.table({c: group.column(c).take(pa.array(some, pa.int64())) for c in ("path", "i", "j", "own", "rep")})
 
-    kind = dict(rows.dtypes)["rep"]
-    return rows.groupBy("path", "i", "j").applyInArrow(run, f"path long, i int, j int, own int, rep {kind}")
+    return rows.groupBy("path", "i", "j").applyInArrow(run, "path long, i int, j int, own int, rep long")
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -301,44 +301,61 @@ def verify(rows: DataFrame, similarity: float) -> DataFrame:
         some = np.flatnonzero(links)
         return pa.table({"rep": rep[some], "links": links[some].astype(np.int64), "to": rep[low[some]]})
 
-    kind = dict(rows.dtypes)["rep"]
-    return rows.groupBy("path", "i", "j").applyInArrow(run, f"rep {kind}, links long, to {kind}")
+    return rows.groupBy("path", "i", "j").applyInArrow(run, "rep long, links long, to long")
+
+
+def names(g: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names (a, b) of some non-empty shingle sets that stand one after another in g."""
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(mix(g), first) ^ n.astype(np.uint64), np.add.reduceat(mix(g ^ np.uint64(0xA0761D6478BD642F)), first)
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles) for rows with the columns doc_id and text."""
+    """(rep, shingles) of the rows (rep, a, b, text) whose text has the shingle set named (a, b)."""
 
     def run(batches):
         for batch, h, sizes in steps(batches):
             g, n = shingle_sets(h, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("a"), batch.column("b"), lists(signed(g), n, pa.int64())], ["rep", "a", "b", "shingles"])
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            a, b = names(g, n[some], (np.cumsum(n) - n)[some])
+            good = (signed(a) == np.asarray(batch.column("a"))[some]) & (signed(b) == np.asarray(batch.column("b"))[some])
+            sets = lists(signed(g), n, pa.int64()).take(pa.array(some[good]))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(some[good])), sets], ["rep", "shingles"])
 
-    return docs.select("doc_id", "a", "b", "text").mapInArrow(run, f"rep {dict(docs.dtypes)['doc_id']}, a long, b long, shingles array<long>")
+    return docs.select("rep", "a", "b", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id and n_links for every row with a doc_id.
+    """doc_id, class_id and n_links for every doc_id; only doc_id and text are read, texts may be of any length.
 
     class_id is the smallest doc_id that is reached by links of at least the similarity; n_links counts the other
-    documents (rows) linked to this one directly, copies among them.  Texts without words have no links.  Rows of equal
-    doc_id and different texts share one row of results only if their shingle sets are equal.
+    documents (rows) linked to this one directly, copies among them.  Texts without words, null ones too, have no links
+    and are classes of their own.  Rows without a doc_id are left out.  Rows of one doc_id each count as a document for
+    others; the doc_id itself has one row of results, with the smallest class_id and the largest n_links of its texts.
+    An empty table gives an empty one.
     """
     own = table(sketches(docs.where("doc_id is not null")), "sketches")
-    reps = own.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("mh").alias("mh"))
-    # Two sets may have rows of one doc_id; the first set then stands for it.
-    reps = table(reps.groupBy("rep").agg(F.min_by(F.struct("a", "b", "copies", "mh"), "a").alias("s")).select("rep", "s.*"), "classes")
+    reps = own.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("mh").alias("mh"))
+    # Numbered when written, so that a class has one number however often the table is read.
+    reps = table(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     leaves = buckets(reps, root_runs(recall, similarity, LEVELS), similarity)
     paths = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     paths = table(paths.join(reps.select("rep", "mh", "copies"), "rep"), "class-paths")
     likely = table(flag(blocks(leaves).join(paths.select("rep", "paths", "mh"), "rep"), similarity), "likely")
-    needed = likely.select("rep").distinct().join(reps.select("rep", "a", "b"), "rep")
-    texts = docs.select("doc_id", "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = table(shingle_rows(texts).dropDuplicates(["rep"]).drop("a", "b"), "shingles")
+    needed = likely.select("rep").distinct().join(reps.select("rep", "a", "b", "doc_id"), "rep")
+    # A doc_id may have several texts; those of other sets are passed over.
+    sets = table(shingle_rows(docs.select("doc_id", "text").join(needed, "doc_id")).dropDuplicates(["rep"]), "shingles")
     found = table(verify(likely.join(paths.select("rep", "paths", "copies"), "rep").join(sets, "rep"), similarity), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    result = reps.select("rep", "a", "b", "copies").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    result = table(result.select("a", "b", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    rooted = reps.select("rep", "a", "b", "doc_id", "copies").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    rooted = table(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
+    # Only classes of components of several get their label from a join; a component's smallest doc_id is one row.
+    label = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    result = rooted.join(label, "root", "left")
+    result = table(result.select("a", "b", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "results")
     all_rows = docs.where("doc_id is not null").select("doc_id").distinct()
     named = own.select("doc_id", "a", "b").join(result, ["a", "b"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     return all_rows.join(named, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

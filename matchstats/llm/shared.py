@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,46 @@ WORD_BYTES = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.  Only where it is unset (tests) a temporary one is set."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a local session gets a temporary one (as
+    in tests); on a cluster no folder is guessed, as executors would not see the driver's."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = _temporary(spark.sparkContext.applicationId)
     return where.rstrip("/")
 
 
+@lru_cache(maxsize=None)
+def _temporary(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder in the shared one, which holds all it writes."""
+    return f"{shared_dir(spark)}/matchstats-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables and files that this application's operators have written to the shared folder.  Results that
+    have not been written elsewhere or read to the end can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, in any case: the given ones with underscores behind them as needed."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -159,8 +190,11 @@ def ordered_buckets(df: DataFrame, key: str, rows_each: int, most: int = 100_000
     """An expression that numbers key's quantile ranges in ascending order (nulls in the first), and how many there are.
 
     The borders come from percentile_approx over all rows: some thousand numbers at most on the driver, never rows.
-    They are held in two levels, so that a row is compared with about 2 * sqrt(number) of them.
+    They are held in two levels, so that a row is compared with about 2 * sqrt(number) of them.  The key must be a column
+    of whole numbers.
     """
+    if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a column of whole numbers, not {dict(df.dtypes)[key]}")
     n = df.count()
     parts = max(1, min(most, n // rows_each))
     if parts == 1:

@@ -8,7 +8,9 @@ Every run of 13 words holds a 4-word anchor: the one with the smallest hash.  Eq
    automaton over word numbers, and streams its segments through it to locate every occurrence,
 4. the places are gathered by document and its covered words are dropped.
 
-Anchors with very many segments are confirmed by an aggregation over windows first and then located in salted shards.
+The segments of an anchor that has very many are cut anew by 10-word anchors, which tell the contexts of common words
+apart.  A finer anchor that still has very many segments stands in one passage: its few windows are confirmed by an
+aggregation and then located in salted shards.
 """
 
 from __future__ import annotations
@@ -23,19 +25,19 @@ from pyspark.sql import functions as F
 
 from matchstats.llm.shared import RAW, binaries, gram_hashes, lists, mix, raw_words_of, signed, steps, table
 
-WINDOW, ANCHOR = 13, 4
+WINDOW, ANCHOR, FINER = 13, 4, 10
 #: Segments of a shard, about; an anchor with more segments than HOT is confirmed and located in salted shards.
 SHARD_ROWS, HOT = 20_000, 5_000
 
 
-def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(h: np.ndarray, sizes: np.ndarray, length: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the words of some texts: (text number, first word in the text, anchor) of every window."""
-    g = gram_hashes(h, ANCHOR)
+    g = gram_hashes(h, length)
     n = len(h) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     low = g[:n].copy()
-    for k in range(1, WINDOW - ANCHOR + 1):
+    for k in range(1, WINDOW - length + 1):
         np.minimum(low, g[k : k + n], out=low)
     text = np.repeat(np.arange(len(sizes)), sizes)[:n]
     at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)[:n]
@@ -75,16 +77,8 @@ def segment_rows(found: DataFrame) -> DataFrame:
             text, at, low = text[keep], at[keep], low[keep]
             if not len(low):
                 continue
-            new = np.concatenate([[True], (text[1:] != text[:-1]) | (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)])
-            run_no = np.cumsum(new) - 1
-            start = np.flatnonzero(new)
-            new |= (np.arange(len(new)) - start[run_no]) % 64 == 0
-            start = np.flatnonzero(new)
-            count = np.diff(np.append(start, len(new)))
-            first = (np.cumsum(sizes) - sizes)[text[start]] + at[start]
-            length = count + WINDOW - 1
-            inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            words = (h[np.repeat(first, length) + inside] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            start, first, length, place = stretches(text, at, low, sizes)
+            words = (h[place] & np.uint64(0x7FFFFFFF)).astype(np.int32)
             take = pa.array(text[start])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(low[start])), batch.column("doc_id").take(take), batch.column("sig").take(take), pa.array(at[start].astype(np.int32)), lists(words, length, pa.int32())],
@@ -95,6 +89,40 @@ def segment_rows(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "sig", "text", "anchors").mapInArrow(run, f"anchor long, doc_id {kind}, sig long, at int, words array<int>")
 
 
+def stretches(text: np.ndarray, at: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the windows (text, at, low), in order: the first of each stretch of one anchor (of at most 64 windows), its first
+    word among all words, its number of words, and the places of all stretches' words."""
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)])
+    start = np.flatnonzero(new)
+    new |= (np.arange(len(new)) - start[np.cumsum(new) - 1]) % 64 == 0
+    start = np.flatnonzero(new)
+    first = (np.cumsum(sizes) - sizes)[text[start]] + at[start]
+    length = np.diff(np.append(start, len(new))) + WINDOW - 1
+    return start, first, length, np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+def finer_segments(segments: DataFrame, kind: str) -> DataFrame:
+    """The windows of some segments as segments of finer anchors (which depend on the anchor before, too)."""
+
+    def run(batches):
+        for batch in batches:
+            words = [np.asarray(w.values) for w in batch.column("words")]
+            if not words:
+                continue
+            flat, sizes = np.concatenate(words), np.array([*map(len, words)], np.int64)
+            row, at, low = anchors(mix(flat.astype(np.uint64)), sizes, FINER)
+            start, _, length, place = stretches(row, at, low, sizes)
+            take = pa.array(row[start])
+            before = mix(np.asarray(batch.column("anchor"))[row[start]].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(mix(low[start] ^ before))), batch.column("doc_id").take(take), batch.column("sig").take(take),
+                 pa.array((np.asarray(batch.column("at"))[row[start]] + at[start]).astype(np.int32)), lists(flat[place], length, pa.int32())],
+                ["anchor", "doc_id", "sig", "at", "words"],
+            )
+
+    return segments.select("anchor", "doc_id", "sig", "at", "words").mapInArrow(run, f"anchor long, doc_id {kind}, sig long, at int, words array<int>")
+
+
 def _pair(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """One number for a text of the step and an anchor; texts of a step are few, so the anchor keeps over 40 bits."""
     return (anchor.astype(np.int64) >> np.int64(20)) | (text.astype(np.int64) << np.int64(44)) if len(text) else np.zeros(0, np.int64)
@@ -254,12 +282,25 @@ def signature():
     return F.xxhash64(F.lit(13), F.coalesce(F.col("text"), F.lit("")))
 
 
+def parted(segments: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The segments of anchors with at most HOT of them, and those of the others with the anchor's number of salts."""
+    counts = segments.groupBy("anchor").agg(F.count("*").alias("n"))
+    hot = table(counts.where(F.col("n") > HOT).select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), name)
+    return segments.join(hot, "anchor", "left_anti"), segments.join(hot, "anchor")
+
+
+def sharded(segments: DataFrame, n: int, level: int) -> DataFrame:
+    """Segments with their shard, about SHARD_ROWS in each; shards of different levels differ."""
+    return segments.withColumn("shard", 2 * F.pmod("anchor", F.lit(max(1, n // SHARD_ROWS + 1))) + level)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, sig, n_words, n_removed and kept for every row: its words without those covered by a window of 13 words
     that also starts in a document with a smaller doc_id.
 
     Null texts have no words.  Rows with a null doc_id neither lose words nor take any.  Rows of equal doc_id never
-    take words from each other; equal texts of larger doc_id lose all their windows at once, before any segment.
+    take words from each other; equal texts of larger doc_id lose all their windows at once, before any segment.  Only
+    doc_id and text are read, texts of any length; an empty table gives an empty one.
     """
     rows = docs.select("doc_id", "text", signature().alias("sig"), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).alias("sig2"))
     some = rows.where("doc_id is not null")
@@ -275,14 +316,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     found = rows.drop("sig2").join(hits, "doc_id", "left").join(flags, ["doc_id", "sig"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     found = table(found.select("doc_id", "sig", "copy", F.when(~F.col("copy"), F.col("anchors")).alias("anchors"), "text"), "found")
     segments = table(segment_rows(found.where("anchors is not null")), "segments")
-    counts = segments.groupBy("anchor").agg(F.count("*").alias("n"))
-    hot = table(counts.where(F.col("n") > HOT).select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "hot-anchors")
-    shards = max(1, segments.count() // SHARD_ROWS + 1)
     kind = dict(docs.dtypes)["doc_id"]
-    cold = segments.join(hot, "anchor", "left_anti").withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    places = cold_places(cold, kind)
+    cold, hot = parted(segments, "hot-anchors")
+    rows = sharded(cold, segments.count(), 0)
+    if not hot.isEmpty():
+        finer = table(finer_segments(hot, kind), "finer-segments")
+        cold, hot = parted(finer, "hot-finer-anchors")
+        rows = rows.unionByName(sharded(cold, finer.count(), 1))
+    places = cold_places(rows, kind)
     if not hot.isEmpty():
-        places = places.unionByName(hot_places(segments.join(hot, "anchor"), kind))
+        places = places.unionByName(hot_places(hot, kind))
     places = table(places.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "n")).alias("places")), "places")
     return keep_words(found.join(places, ["doc_id", "sig"], "left"))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchstats.llm.shared import WORD_BYTES, WordHashes, binaries, gram_hashes, mix, table, words_of
+from matchstats.llm.shared import WORD_BYTES, WordHashes, binaries, free, gram_hashes, mix, table, words_of
 
 #: The model is fitted on at most so many labelled documents that are not and that are toxic (those of smallest hashed
 #: doc_id) of at most so many characters; scoring has no such bounds.
@@ -263,10 +263,11 @@ def spans(text: bytes, p: np.ndarray) -> list[dict]:
     return [{"start": len(text[:a].decode()), "stop": len(text[:b].decode())} for a, b, _ in out]
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with _score (0 to 1), and _spans (offending character offsets), by a narrow pass.
+def score(spark: SparkSession, docs: DataFrame, model: Model, names: tuple[str, str] = ("_score", "_spans")) -> DataFrame:
+    """All columns of docs with a score (0 to 1), and spans (offending character offsets), by a narrow pass.
 
-    Null and empty texts have the score of a document without toxic words; labels, lang, source and doc_id play no part.
+    `names` are those of the two new columns.  Whole texts of any length are scored, repeated rows each for itself; an
+    empty table gives an empty one.  Null and empty texts have the score of a document without toxic words; labels, lang, source and doc_id play no part.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -288,20 +289,21 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                     found.append(spans(t, own) if n and own.max() >= 0.5 else [])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(at, to - at).columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-                    [*batch.schema.names, "_score", "_spans"],
+                    [*batch.schema.names, *names],
                 )
                 at = to
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", _score double, _spans array<struct<start: long, stop: long>>"
+    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", `{names[0]}` double, `{names[1]}` array<struct<start: long, stop: long>>"
     return docs.mapInArrow(run, schema)
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= 0.5) and spans for every row of docs."""
+    """doc_id, held_out, score, predicted (1 if score >= 0.5) and spans for every row of docs; see train() and score()."""
     scored = score(spark, docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_spans").alias("spans"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns."""
-    return score(spark, docs, train(docs, labels)).where("_score < 0.5").drop("_score", "_spans")
+    """The rows of docs that are not predicted toxic, with their columns, whatever those are called."""
+    names = tuple(free(docs, "_score", "_spans"))
+    return score(spark, docs, train(docs, labels), names).where(F.col(names[0]) < 0.5).drop(*names)

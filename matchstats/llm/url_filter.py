@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class Glob:
-    """A glob over host + path: `*` any run without `/`, `**` any run, `?` one byte but `/`."""
+    """A glob over host + path: `*` any run without `/`, `**` any run, `?` one byte but `/`, a backslash the next byte as
+    it is."""
 
     pattern: str
     verdict: str
@@ -73,7 +75,9 @@ class Automaton:
                 out.append((every, True))
                 i += 2
                 continue
-            c = pattern[i : i + 1]
+            literal = pattern[i : i + 1] == b"\\" and i + 1 < len(pattern)
+            i += literal
+            c = b"" if literal else pattern[i : i + 1]
             one = np.zeros(256, bool)
             one[pattern[i]] = True
             out.append((no_slash, True) if c == b"*" else (no_slash, False) if c == b"?" else (one, False))
@@ -137,6 +141,11 @@ class Automaton:
         return out
 
 
+def escaped(text: str) -> str:
+    """A text as a glob that fits just it."""
+    return re.sub(r"([*?\\])", r"\\\1", text)
+
+
 def host_and_path(url: str = "url"):
     """Columns (host, path): host after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path then
     up to `?`, `#` or the end.  A null or a text without `://` gives two empty strings."""
@@ -151,10 +160,12 @@ def judge(pages: DataFrame, rules: list[Rule], globs: tuple[Glob, ...] = GLOBS,
     """page_id, host, path, rule and verdict for every row; only page_id and url are read.
 
     Of the rules that fit, the longest text wins (the first given among equally long ones).  Where none fits, rule is
-    null and the first matching glob decides, else the default.  Repeated rows are judged each for itself.
+    null and the first matching glob decides, else the default.  The canonical URL is the host with A-Z lower-cased and
+    the path as it stands; rules are texts, not globs.  Null and empty URLs have an empty host and path; repeated rows are
+    judged each for itself; URLs may be of any length; an empty table gives an empty one.
     """
     ranked = sorted(rules, key=lambda r: -len(r.text))
-    patterns = [p for r in ranked for p in (f"{r.text}**", f"*.{r.text}**")] + [g.pattern for g in globs]
+    patterns = [p for r in ranked for p in (f"{escaped(r.text)}**", f"*.{escaped(r.text)}**")] + [g.pattern for g in globs]
 
     def run(batches):
         automaton = Automaton(patterns)

@@ -8,6 +8,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,7 +40,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> by
     """A response record, or a revisit (headers only) where refers_to is given."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    name = lambda x: f"<urn:page:{'' if x is None else x}>"
+    name = lambda x: "<urn:page>" if x is None else f"<urn:page:{quote(str(x), safe='')}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -119,14 +120,17 @@ def frames(data: bytes, most: int = RECORD_BYTES) -> Iterator[bytes]:
     while at < len(view):
         if len(view) - at >= 8 and (magic := struct.unpack("<I", view[at : at + 4])[0]) & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + struct.unpack("<I", view[at + 4 : at + 8])[0]  # any later skippable frame
+            if at > len(view):
+                raise BadArchive("a skippable frame is cut off")
             continue
         n = frame_length(view[at:])
-        if 0 <= zstandard.frame_content_size(view[at : at + n]) > most:
-            raise BadArchive("a record is too long")
         try:
-            yield unpacker.decompressobj().decompress(view[at : at + n])
+            frame = unpacker.stream_reader(view[at : at + n]).read(most + 1) if zstandard.frame_content_size(view[at : at + n]) <= most else None
         except zstandard.ZstdError as e:
             raise BadArchive(f"a frame can't be unpacked: {e}") from e
+        if frame is None or len(frame) > most:
+            raise BadArchive("a record is too long")
+        yield frame
         at += n
 
 
@@ -239,9 +243,13 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Per page what its record says after writing and reading back: page_id, payload_bytes, payload_digest,
-    record_type, refers_to."""
+    record_type, refers_to.
+
+    Null html is an empty payload, a null page_id stays null; repeated rows have a record each; an empty table gives an
+    empty one; payloads may be of any length up to RECORD_BYTES.
+    """
     kind = dict(pages.dtypes)["page_id"]
-    number = lambda c: F.nullif(F.regexp_extract(c, r"<urn:page:(.*)>", 1), F.lit("")).cast(kind)
+    number = lambda c: F.when(F.startswith(F.col(c), F.lit("<urn:page:")), F.url_decode(F.regexp_extract(c, r"<urn:page:(.*)>", 1))).cast(kind)
     read = read_archives(write_archives(pages, min_bytes))
     return read.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to_id").alias("refers_to")

@@ -355,7 +355,7 @@ def test_decontamination_equals_brute_force(spark, docs, none):
 def test_decontamination_without_term_filter_and_proximity(spark, docs, monkeypatch):
     items = [(12, "same words")]
     b = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "MOST_TERMS", 0)
+    monkeypatch.setattr(decontaminate, "TERM_BITS", 6)  # a full map: the postings of nearly all terms are stored
     assert rows_of(decontaminate.digest(decontaminate.contamination(docs, b))) == brute_contamination([tuple(r) for r in docs.select("doc_id", "text").collect()], items)
     near = spark.createDataFrame([(1, "one big three"), (2, "one x y z three")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one three")], "item_id long, text string")
