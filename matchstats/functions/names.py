@@ -29,6 +29,35 @@ def normalize_team(df: DataFrame, column: str, teams: DataFrame, out: str = "tea
     return df.withColumn("_key", F.lower(F.trim(column))).join(lookup, "_key", "left").drop("_key")
 
 
+def grams(name: Column) -> Column:
+    """All runs of one to three characters of a text, and so the beginning of any text it contains, cut to three."""
+    at = lambda k: F.when(F.length(name) >= k, F.transform(F.sequence(F.lit(1), F.length(name) - (k - 1)), lambda i: F.substring(name, i, F.lit(k))))
+    return F.array_distinct(F.flatten(F.filter(F.array(*[at(k) for k in (1, 2, 3)]), lambda x: x.isNotNull())))
+
+
+def contained(left: DataFrame, a: str, right: DataFrame, b: str, on: list[str] = []) -> DataFrame:  # noqa: B006
+    """The rows of left and right (equal in `on`) of which one's text, a or b, holds the other's.  Texts meet at the first
+    three characters of the shorter one, never all with all.  A pair may come twice; empty and null texts match nothing."""
+    begin = lambda c: F.substring(F.col(c), 1, 3)
+    some = lambda df, c: df.where(F.length(c) > 0)
+    inner = some(left, a).withColumn("_gram", begin(a)).join(some(right, b).withColumn("_gram", F.explode(grams(F.col(b)))), [*on, "_gram"]).where(F.contains(F.col(b), F.col(a)))
+    outer = some(left, a).withColumn("_gram", F.explode(grams(F.col(a)))).join(some(right, b).withColumn("_gram", begin(b)), [*on, "_gram"]).where(F.contains(F.col(a), F.col(b)))
+    return inner.unionByName(outer).drop("_gram")
+
+
+def resolve_names(df: DataFrame, column: str, teams: DataFrame) -> DataFrame:
+    """Adds full_name and abbreviation of the team that a name means: by normalize_team(), else of a team whose full name
+    holds the name or is held by it (the first full name by the alphabet); a name that means no team stands in both as it
+    is.  Each distinct name is looked up once."""
+    known = teams.select("team_id", "full_name", "abbreviation")
+    own = df.select(F.col(column).alias("_name")).distinct().where("_name is not null")
+    exact = normalize_team(own, "_name", known, "_id").where("_id is not null").join(known, F.col("_id") == F.col("team_id")).select("_name", F.struct("full_name", "abbreviation").alias("_team"))
+    rest = own.join(exact, "_name", "left_anti").withColumn("_low", F.lower(F.trim("_name")))
+    near = contained(rest, "_low", known.withColumn("_full", F.lower(F.trim("full_name"))), "_full").groupBy("_name").agg(F.min(F.struct("full_name", "abbreviation")).alias("_team"))
+    out = df.join(exact.unionByName(near), df[column] == F.col("_name"), "left")
+    return out.select(*[df[c] for c in df.columns], *[F.coalesce(F.col(f"_team.{c}"), df[column]).alias(c) for c in ("full_name", "abbreviation")])
+
+
 def nickname(name: Column) -> Column:
     """The last word of a lower-cased name without its city; an empty text if nothing is left."""
     c = F.lower(name)
@@ -45,18 +74,21 @@ def keyword_code(name: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(c, F.lit(n)), F.lit(code)) for n, code in CODES.items()], c)
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, key: str, on: str = "game_date", exact: list[str] | None = None) -> DataFrame:
+def fuzzy_match(left: DataFrame, right: DataFrame, key: str, on: str = "game_date", swapped: bool = False) -> DataFrame:
     """Left rows (id column `key`, home, away) with right_id: an equal (date, home, away) row of right (id, home, away),
     else the one of smallest id on the date whose names contain, or are contained in, both names.
 
-    The substring join runs only over left rows that the equality join missed, and only within a date.
+    With `swapped` a row of right may also have the two teams the other way round, equal names before similar ones.  The
+    substring join runs only over left rows that the equality join missed, within a date and by parts of the home name.
     """
-    right = right.select(on, F.col("id").alias("right_id"), F.lower("home").alias("_h"), F.lower("away").alias("_a"))
-    left = left.withColumns({"_lh": F.lower("home"), "_la": F.lower("away")})
+    right = right.select(on, F.col("id").alias("right_id"), F.lower(F.trim("home")).alias("_h"), F.lower(F.trim("away")).alias("_a"))
+    if swapped:
+        right = right.unionByName(right.select(on, "right_id", F.col("_a").alias("_h"), F.col("_h").alias("_a")))
+    left = left.withColumns({"_lh": F.lower(F.trim("home")), "_la": F.lower(F.trim("away"))})
     equal = left.join(right.withColumnsRenamed({"_h": "_lh", "_a": "_la"}), [on, "_lh", "_la"]).groupBy(key).agg(F.min("right_id").alias("right_id"))
     rest = left.join(equal, key, "left_anti")
-    near = lambda a, b: F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a))
-    fuzzy = rest.join(right, on).where(near("_lh", "_h") & near("_la", "_a")).groupBy(key).agg(F.min("right_id").alias("right_id"))
+    near = F.contains(F.col("_la"), F.col("_a")) | F.contains(F.col("_a"), F.col("_la"))
+    fuzzy = contained(rest.select(key, on, "_lh", "_la"), "_lh", right, "_h", [on]).where(near).groupBy(key).agg(F.min("right_id").alias("right_id"))
     return left.drop("_lh", "_la").join(equal.unionByName(fuzzy), key, "left")
 
 

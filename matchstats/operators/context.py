@@ -109,9 +109,11 @@ def ledger_totals(bets: DataFrame, start: float = 1000.0) -> DataFrame:
 
 
 def running_balance(bets: DataFrame, start: float = 1000.0) -> DataFrame:
-    """Balance of an account after each bet, resets apart."""
-    w = Window.partitionBy("account").orderBy("created_at", "id")
-    return bets.where(~F.col("is_reset")).select("account", "id", (start + F.sum(F.col("actual_payout") - F.col("stake")).over(w)).alias("balance"))
+    """Balance of an account after each bet; a reset sets it to the start again."""
+    order = Window.partitionBy("account").orderBy("created_at", "id")
+    rows = bets.withColumn("_resets", F.count_if("is_reset").over(order)).where(~F.col("is_reset"))
+    w = Window.partitionBy("account", "_resets").orderBy("created_at", "id")
+    return rows.select("account", "id", (start + F.sum(F.col("actual_payout") - F.col("stake")).over(w)).alias("balance"))
 
 
 def cache_stats(cache: DataFrame, as_of: str) -> DataFrame:
@@ -125,11 +127,11 @@ def drop_expired(cache: DataFrame, as_of: str) -> DataFrame:
 
 
 def quota_24h(posts: DataFrame, as_of: str, limit: int = 17) -> DataFrame:
-    """Per account with a post in the last 48 hours: posts of the last 24, how many remain, hours since the oldest of
-    them."""
+    """Per account with a post in the last 48 hours: posts of the last 24 (a post of just 24 hours ago counts), how many
+    remain, hours since the oldest of them."""
     end = F.lit(as_of).cast("timestamp")
     near = posts.where((F.col("posted_at") <= end) & (F.col("posted_at") > end - F.expr("INTERVAL 48 HOURS")))
-    day = F.col("posted_at") > end - F.expr("INTERVAL 24 HOURS")
+    day = F.col("posted_at") >= end - F.expr("INTERVAL 24 HOURS")
     t = near.groupBy("account").agg(F.count_if(day).alias("posts_24h"), F.min(F.when(day, F.col("posted_at"))).alias("oldest"))
     age = (F.unix_timestamp(end) - F.unix_timestamp("oldest")) / 3600
     return t.select("account", "posts_24h", F.greatest(F.lit(0), limit - F.col("posts_24h")).alias("remaining"), age.alias("oldest_hours"))

@@ -105,21 +105,35 @@ def calendar_features(g: DataFrame) -> DataFrame:
 
 
 def form_table(games: DataFrame, history: DataFrame) -> DataFrame:
-    """Ratings, forms, splits, rest and streaks of both sides of each game, from one table of (team, date) rows joined
-    once for the home and once for the away side."""
+    """Ratings, forms, splits, rest, streaks and schedules of both sides of each game.
+
+    Three shuffles: by team for the frames of all features, by team for the ratings and shares of the team itself and of
+    its last opponents, and by game, where both sides meet.  Head-to-head figures take two more.
+    """
     t = team_rows(games)
-    key = ["team_id", "game_date"]
-    side = windows.recent_form(t)
-    for other in (windows.rest_days(t), windows.streak(t), windows.road_trip(t), windows.games_last_days(t), windows.strength_of_schedule(t, history)):
-        side = side.join(other, key, "left")
-    split = windows.venue_split(t)
-    out = games.select("game_id", "pool_id", "game_date", "home_team_id", "away_team_id", "home_score", "away_score")
+    rows = windows.team_features(t)
+    keys = ["game_date", "game_id", "is_home"]
+    own = rows.select("team_id", *keys, F.struct("pool_id", "team_id", "opponent_id", "pts", "opp_pts", "f", "last.own").alias("own"))
+    opponents = rows.select(*keys, F.posexplode("last.opponents").alias("pos", "team_id"))
+    found = windows.lookups(own.unionByName(opponents, allowMissingColumns=True), t, history)
+    side = {s: F.col("is_home") == (s == "home").__int__() for s in SIDES}
+    mine = F.col("pos").isNull()
+    both = found.groupBy("game_id").agg(
+        F.first("game_date").alias("game_date"),
+        *[F.first(F.when(mine & c, F.struct("own", F.coalesce("elo_here", "elo", F.lit(elo.START)).alias("elo"))), ignorenulls=True).alias(s) for s, c in side.items()],
+        *[F.collect_list(F.when(~mine & c, F.struct("pos", "elo", "share"))).alias(f"_{s}") for s, c in side.items()],
+    )
+    names = [c for c in rows.schema["f"].dataType.names if not c.startswith("split_")]
+    columns = {}
     for s in SIDES:
-        own = side.withColumnsRenamed({c: f"{s}_{c}" for c in side.columns if c != "game_date"})
+        columns |= {f"{s}_{c}": F.col(f"{s}.own.f.{c}") for c in names}
+        columns |= {f"{s}_{c}": v for c, v in windows.schedule_columns(F.col(f"_{s}"), F.col(f"{s}.own.own")).items()}
         place = "home_team_home" if s == "home" else "away_team_road"
-        venue = split.where(F.col("is_home") == (s == "home").__int__()).drop("is_home").withColumnsRenamed({c: f"{place}_{c[6:]}" for c in split.columns if c.startswith("split_")} | {"team_id": f"{s}_team_id"})
-        out = out.join(own, [f"{s}_team_id", "game_date"], "left").join(venue, [f"{s}_team_id", "game_date"], "left")
-    out = out.join(elo.elo_features(games, history), "game_id").join(windows.head_to_head(games), "game_id", "left")
+        columns |= {f"{place}_{c}": F.col(f"{s}.own.f.split_{c}") for c in windows.SPLIT}
+    columns |= elo.rating_columns(F.col("home.elo"), F.col("away.elo"))
+    game = {"pool_id": "pool_id", "home_team_id": "team_id", "away_team_id": "opponent_id", "home_score": "pts", "away_score": "opp_pts"}
+    out = both.select("game_id", "game_date", *[F.col(f"home.own.{c}").alias(n) for n, c in game.items()], *[c.alias(n) for n, c in columns.items()])
+    out = out.join(windows.head_to_head(games), "game_id", "left")
     return _with(out, rest_advantage="home_rest_days - away_rest_days", schedule_density_diff="home_games_last_7d - away_games_last_7d", sos_differential="home_sos_normalized - away_sos_normalized",
         avg_opponent_elo_differential="home_avg_opponent_elo - away_avg_opponent_elo", sos_adjusted_form_differential="home_sos_adjusted_win_pct - away_sos_adjusted_win_pct")
 
@@ -180,30 +194,88 @@ def time_folds(df: DataFrame, n_splits: int = 5, gap: int = 10) -> DataFrame:
     return rows.withColumn("part", part).where("part is not null").select("fold", "part", "game_id")
 
 
-#: Fixed values: (category, label, home column, away column or None) of the comparison table.
-COMPARED = [
-    ("Elo & Ratings", "Elo Rating (Team Strength)", "home_elo", "away_elo"),
-    ("Elo & Ratings", "Elo Difference (Home - Away)", "elo_diff", None),
-    ("Elo & Ratings", "Elo-Based Win Probability", "elo_win_prob", None),
-    ("Recent Form (Last 10)", "Win Percentage", "home_last10_win_pct", "away_last10_win_pct"),
-    ("Recent Form (Last 10)", "Net Rating (Off - Def)", "home_last10_net_rating", "away_last10_net_rating"),
-    ("Recent Form (Last 10)", "Pace (Possessions per Game)", "home_last10_pace", "away_last10_pace"),
-    ("Recent Form (Last 10)", "Points Per Game", "home_last10_ppg", "away_last10_ppg"),
-    ("Rest", "Rest Days", "home_rest_days", "away_rest_days"),
-]
+#: The comparison table's categories, with (home column, away column or None, label) of each row.
+_COMPARED = {
+    "Elo & Ratings": [
+        ("home_elo", "away_elo", "Elo Rating (Team Strength)"),
+        ("elo_diff", None, "Elo Difference (Home - Away)"),
+        ("elo_win_prob", None, "Elo-Based Win Probability"),
+    ],
+    "Recent Form (Last 10)": [
+        ("home_last10_win_pct", "away_last10_win_pct", "Win Percentage"),
+        ("home_last10_offensive_rating", "away_last10_offensive_rating", "Offensive Rating (Points per 100 Possessions)"),
+        ("home_last10_defensive_rating", "away_last10_defensive_rating", "Defensive Rating (Opp Points per 100 Poss)"),
+        ("home_last10_net_rating", "away_last10_net_rating", "Net Rating (Off - Def)"),
+        ("home_last10_pace", "away_last10_pace", "Pace (Possessions per Game)"),
+        ("home_last10_fg3_pct", "away_last10_fg3_pct", "3-Point Shooting Percentage"),
+        ("home_last10_opp_fg3_pct", "away_last10_opp_fg3_pct", "Opponent 3PT% Allowed (Perimeter Defense)"),
+        ("home_last10_ppg", "away_last10_ppg", "Points Per Game"),
+        ("home_last10_opp_ppg", "away_last10_opp_ppg", "Opponent Points Per Game"),
+        ("home_last10_fg_pct", "away_last10_fg_pct", "Field Goal Percentage"),
+        ("home_last10_reb", "away_last10_reb", "Rebounds Per Game"),
+        ("home_last10_ast", "away_last10_ast", "Assists Per Game"),
+        ("home_last10_tov", "away_last10_tov", "Turnovers Per Game"),
+    ],
+    "Recent Form (Last 5)": [
+        ("home_last5_win_pct", "away_last5_win_pct", "Win Percentage"),
+        ("home_last5_ppg", "away_last5_ppg", "Points Per Game"),
+        ("home_last5_point_diff", "away_last5_point_diff", "Average Point Differential"),
+        ("home_last5_fg_pct", "away_last5_fg_pct", "Field Goal Percentage"),
+    ],
+    "Home/Away Splits": [
+        ("home_team_home_win_pct", "away_team_road_win_pct", "Win Percentage (Home vs Road)"),
+        ("home_team_home_ppg", "away_team_road_ppg", "Points Per Game (Home vs Road)"),
+        ("home_team_home_point_diff", "away_team_road_point_diff", "Point Differential (Home vs Road)"),
+        ("home_team_home_fg_pct", "away_team_road_fg_pct", "Field Goal % (Home vs Road)"),
+    ],
+    "Situational": [
+        ("home_rest_days", "away_rest_days", "Days of Rest"),
+        ("rest_advantage", None, "Rest Advantage (Home - Away Days)"),
+        ("home_streak", "away_streak", "Current Win/Loss Streak"),
+        ("home_back_to_back", "away_back_to_back", "Playing Back-to-Back?"),
+    ],
+    "Head-to-Head": [
+        ("h2h_home_win_pct", None, "Home Team H2H Win Percentage"),
+        ("h2h_total_games", None, "Total Head-to-Head Games Played"),
+        ("h2h_avg_point_diff", None, "Average Point Differential in H2H"),
+        ("h2h_home_ppg", "h2h_away_ppg", "Points Per Game in H2H Matchups"),
+    ],
+}
+#: (category, label, home column, away column or None) of the comparison table.
+COMPARED = [(category, label, home, away) for category, rows in _COMPARED.items() for home, away, label in rows]
+
+
+def shown_value(c: Column, name: str) -> Column:
+    """A value as the comparison table shows it, by the kind of feature that its name tells."""
+    places = lambda n, v=c: F.format_string(f"%.{n}f", v)
+    has = lambda *parts: any(p in name for p in parts)
+    if has("_pct", "prob"):
+        text = F.when(c.between(0, 1), F.concat(places(1, c * 100), F.lit("%"))).when(c.between(0, 100), F.concat(places(1), F.lit("%"))).otherwise(places(1))
+    elif has("rating", "pace"):
+        text = places(1)
+    elif has("elo"):
+        text = places(0)
+    elif has("ppg", "reb", "ast", "tov", "point_diff", "streak", "rest_days", "total_games"):
+        text = places(1)
+    elif has("back_to_back"):
+        text = F.when(c == 1, "Yes").otherwise("No")
+    else:
+        text = places(2)
+    return F.when(c.isNull() | F.isnan(c), "N/A").otherwise(text)
 
 
 def feature_table(f: DataFrame) -> DataFrame:
-    """A row for each game and compared feature: category, label, home_value, away_value and a formatted text."""
+    """A row for each game and compared feature: category, label, home_value, away_value, and home_shown and away_shown as
+    text (N/A where there is no value)."""
 
     def row(category: str, label: str, home: str, away: str | None) -> Column:
-        h = F.col(home).cast("double")
-        a = F.col(away).cast("double") if away else F.lit(None).cast("double")
-        return F.struct(F.lit(category).alias("category"), F.lit(label).alias("label"), h.alias("home_value"), a.alias("away_value"))
+        value = lambda n: F.col(n).cast("double") if n and n in f.columns else F.lit(None).cast("double")
+        h, a = value(home), value(away)
+        return F.struct(
+            F.lit(category).alias("category"), F.lit(label).alias("label"), h.alias("home_value"), a.alias("away_value"), shown_value(h, home).alias("home_shown"), shown_value(a, away or "").alias("away_shown")
+        )
 
-    rows = f.select("game_id", F.explode(F.array(*[row(*r) for r in COMPARED if r[2] in f.columns])).alias("r")).select("game_id", "r.*")
-    shown = F.when(F.col("away_value").isNull(), F.format_string("%.2f", "home_value")).otherwise(F.format_string("%.2f / %.2f", "home_value", "away_value"))
-    return rows.withColumn("shown", shown)
+    return f.select("game_id", F.explode(F.array(*[row(*r) for r in COMPARED])).alias("r")).select("game_id", "r.*")
 
 
 def radar_values(f: DataFrame) -> DataFrame:

@@ -16,13 +16,20 @@ def pair_games(logs: DataFrame, strict: bool = True) -> DataFrame:
 
     Strict: exactly two rows, one with ` vs. ` (home) and one with ` @ ` (away); missing points count 0.
     Lenient: the row with `vs.` is the home side, another row the away side; games without points are dropped.
+    What the logs have of SEASON, pool_id (else all games are of pool 0), TEAM_ABBREVIATION and the box score comes along.
     """
-    side = F.struct(F.col("TEAM_ID").alias("team_id"), F.col("PTS").alias("pts"))
+    have = {c.upper(): c for c in logs.columns}
+    box = [b for b in (*BOX, "stl", "blk") if b.upper() in have]
+    extra = {"team": "TEAM_ABBREVIATION"} if "TEAM_ABBREVIATION" in have else {}
+    extra |= {b: have[b.upper()] for b in box}
+    side = F.struct(F.col("TEAM_ID").alias("team_id"), F.col("PTS").alias("pts"), *[F.col(c).alias(b) for b, c in extra.items()])
+    pool = F.min(have["POOL_ID"]) if "POOL_ID" in have else F.lit(0).cast("long")
+    season = [F.min("SEASON").alias("season")] if "SEASON" in have else []
     home = F.contains(F.col("MATCHUP"), F.lit(" vs. " if strict else "vs."))
     away = F.contains(F.col("MATCHUP"), F.lit(" @ ")) if strict else ~home
     games = logs.groupBy("GAME_ID").agg(
         F.count("*").alias("n"), F.count_if(home).alias("n_home"), F.count_if(away).alias("n_away"),
-        F.max(F.when(home, side)).alias("h"), F.max(F.when(away, side)).alias("a"), F.min("GAME_DATE").alias("game_date"),
+        F.max(F.when(home, side)).alias("h"), F.max(F.when(away, side)).alias("a"), F.min("GAME_DATE").alias("game_date"), pool.alias("pool_id"), *season,
     )
     if strict:
         games = games.where("n = 2 and n_home = 1 and n_away = 1")
@@ -30,7 +37,8 @@ def pair_games(logs: DataFrame, strict: bool = True) -> DataFrame:
     else:
         games = games.where("n_home > 0 and n_away > 0 and h.pts > 0 and a.pts is not null")
         points = lambda s: F.col(f"{s}.pts")
-    games = games.select(F.col("GAME_ID").alias("game_id"), "game_date", F.col("h.team_id").alias("home_team_id"), F.col("a.team_id").alias("away_team_id"), points("h").alias("home_score"), points("a").alias("away_score"))
+    games = games.select(F.col("GAME_ID").alias("game_id"), "game_date", F.col("h.team_id").alias("home_team_id"), F.col("a.team_id").alias("away_team_id"), points("h").alias("home_score"), points("a").alias("away_score"),
+        "pool_id", *[c for c in ("season",) if season], *[F.col(f"{k}.{c}").alias(f"{s}_{c}") for s, k in (("home", "h"), ("away", "a")) for c in extra])
     return games.withColumns({"home_win": (F.col("home_score") > F.col("away_score")).cast("int"), "point_differential": F.col("home_score") - F.col("away_score")})
 
 

@@ -60,13 +60,14 @@ BINS = [(0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 1.0)]
 
 
 def calibration_table(settled: DataFrame, least: int = 3) -> DataFrame:
-    """Per confidence bin of at least `least` settled rows: mean confidence, accuracy, number, gap and status."""
+    """Per confidence bin of at least `least` settled rows: mean confidence, accuracy, number, gap and status
+    (OK below a gap of 0.1, WARNING below 0.2, else BAD)."""
     conf = F.col("confidence")
     label = F.coalesce(*[F.when((conf >= a) & (conf < b), F.lit(f"{a:.0%}-{b:.0%}")) for a, b in BINS])
     rows = settled.where("correct is not null").withColumn("bin", label).where("bin is not null")
     t = rows.groupBy("bin").agg(F.avg("confidence").alias("mean_confidence"), F.avg("correct").alias("accuracy"), F.count("*").alias("n")).where(F.col("n") >= least)
     gap = F.abs(F.col("mean_confidence") - F.col("accuracy"))
-    return t.withColumn("gap", gap).withColumn("status", F.when(gap < 0.05, "good").when(gap < 0.1, "fair").otherwise("poor"))
+    return t.withColumn("gap", gap).withColumn("status", F.when(gap < 0.1, "OK").when(gap < 0.2, "WARNING").otherwise("BAD"))
 
 
 def ece(settled: DataFrame) -> DataFrame:

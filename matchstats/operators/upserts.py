@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 def upsert_games(games: DataFrame, updates: DataFrame) -> DataFrame:
     """Updates with scores set an existing game's scores and teams (its box score stays) or add a game; updates without a
-    score are left out.  Of several updates of a game the one with the largest scores counts."""
+    score are left out.  Of several updates of a game the latest counts (by updated_at, where updates have it), of equally
+    late ones that with the largest scores."""
     keys = [c for c in ("home_team_id", "away_team_id", "home_score", "away_score") if c in updates.columns]
     new = updates.where("home_score is not null and away_score is not null")
-    new = new.groupBy("game_id").agg(F.max(F.struct("home_score", "away_score", *[c for c in updates.columns if c not in ("game_id", "home_score", "away_score")])).alias("u"))
+    first = [c for c in ("updated_at",) if c in updates.columns] + ["home_score", "away_score"]
+    new = new.groupBy("game_id").agg(F.max(F.struct(*first, *[c for c in updates.columns if c not in ("game_id", *first)])).alias("u"))
     both = games.join(new, "game_id", "full_outer")
     changed = set(updates.columns) - {"game_id"}
     out = both.select("game_id", *[(F.coalesce(F.col(f"u.{c}"), F.col(c)) if c in keys else F.coalesce(F.col(c), F.col(f"u.{c}")) if c in changed else F.col(c)).alias(c) for c in games.columns if c != "game_id"])
@@ -28,15 +30,17 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: list[str], order: str) ->
 
 def upsert_predictions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Publishes predictions: unresolved old rows of the new rows' dates go, then the new rows replace by (date, home,
-    away).  A settled row keeps its winner; odds fall back to round(1 / p, 2)."""
+    away).  A settled row keeps its winner, and of scores, correctness and errors what old has; odds fall back to
+    round(1 / p, 2)."""
     keys = ["game_date", "home_id", "away_id"]
     dates = new.select("game_date").distinct()
     settled = old.where("actual_winner is not null")
     kept = settled.unionByName(old.where("actual_winner is null").join(dates, "game_date", "left_anti"))
     odds = lambda s: F.coalesce(f"{s}_odds", F.when(F.col(f"predicted_{s}_prob") > 0, F.round(1 / F.col(f"predicted_{s}_prob"), 2)))
-    new = new.withColumns({"home_odds": odds("home"), "away_odds": odds("away")}).drop("actual_winner")
-    winners = settled.groupBy(*keys).agg(F.max("actual_winner").alias("actual_winner"))
-    new = new.join(winners, keys, "left").select(old.columns)
+    new = new.withColumns({"home_odds": odds("home"), "away_odds": odds("away")})
+    result = [c for c in ("actual_winner", "actual_home_score", "actual_away_score", "correct", "prediction_error", "calibration_error") if c in old.columns]
+    results = settled.groupBy(*keys).agg(F.max(F.struct(*result)).alias("_r")).select(*keys, "_r.*")
+    new = new.drop(*result).join(results, keys, "left").select(old.columns)
     return kept.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 

@@ -1,8 +1,9 @@
 """Features as they stood strictly before a date.
 
-One mechanism serves all: frames that include a row are computed over the games that count, the last row of each (key,
-date) is that day's snapshot, and the last snapshot before a date is carried to it.  Two games on one date never see
-each other, dates without a game (a schedule) can be asked for, and everything of a key shares one shuffle and sort.
+One mechanism serves all: frames that include a row are computed over the games that count, and the last such row before
+the asked date is carried to it by a frame of all earlier dates.  Asked rows and games of a key stand in one partition, so
+each feature takes one shuffle however many frames it has, and team_features() takes one for all of a team's features.
+Two games on one date never see each other, and dates without a game (a schedule) can be asked for.
 """
 
 from __future__ import annotations
@@ -18,17 +19,39 @@ DEFAULTS = {
 }
 
 
+def _order(by: list[str]):
+    return Window.partitionBy(*by).orderBy("game_date", "game_id")
+
+
+def _past(keys: list[str], date: str = "game_date", first: int = Window.unboundedPreceding):
+    """All rows of a key on earlier dates (from `first` days before on)."""
+    return Window.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(first, -1)
+
+
+def _last(name: str, keys: list[str], counted: Column) -> Column:
+    """Column `name` of the last counted row before the date."""
+    return F.max_by(name, F.when(counted, F.struct("game_date", "game_id"))).over(_past(keys))
+
+
 def asof_before(left: DataFrame, history: DataFrame, keys: list[str], date: str, order: list[str], name: str) -> DataFrame:
     """left with a struct column `name`: the last row of history (by date, then order) strictly before left's date.
 
-    history's other columns make up the struct; left may have several rows of a (key, date).
+    history's other columns make up the struct; left may have several rows of a (key, date).  A null key has no history.
     """
     values = [c for c in history.columns if c not in [*keys, date]]
-    snap = history.groupBy(*keys, date).agg(F.max_by(F.struct(*values), F.struct(*order) if order else F.lit(0)).alias(name))
-    days = left.select(*keys, date).distinct().withColumn("_asked", F.lit(True))
-    w = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    merged = days.join(snap, [*keys, date], "full_outer").withColumn(name, F.last(name, ignorenulls=True).over(w))
-    return left.join(merged.where("_asked").drop("_asked"), [*keys, date], "left")
+    known = history.where(" and ".join(f"`{k}` is not null" for k in keys))
+    known = known.select(*keys, date, F.struct(*values).alias(name), F.struct(date, *order).alias("_at"))
+    both = left.withColumn("_left", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    return both.withColumn(name, F.max_by(name, "_at").over(_past(keys, date))).where("_left").drop("_left", "_at")
+
+
+def _before(asked: DataFrame, rows: DataFrame, keys: list[str], frame, name: str) -> DataFrame:
+    """(keys, game_date, name) of each asked (keys, game_date): the column `name`, which frame(rows, by) adds, of the last of
+    the rows before the date."""
+    both = rows.withColumn("_row", F.lit(True)).unionByName(asked.select(*keys, "game_date").withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    both = frame(both.repartition(*keys), [*keys, "_row"]).select(*keys, "game_date", "game_id", "_row", name)
+    out = both.withColumn(name, _last(name, keys, F.col("_row"))).where("not _row")
+    return out.groupBy(*keys, "game_date").agg(F.first(name).alias(name))
 
 
 def possessions(prefix: str = "", other: str = "opp_") -> Column:
@@ -42,44 +65,51 @@ def possessions(prefix: str = "", other: str = "opp_") -> Column:
     return 0.5 * (one(prefix, other) + one(other, prefix))
 
 
+#: Means over a team's last games, as quotients of means.
+_FORM = {
+    "win_pct": "win", "ppg": "pts", "opp_ppg": "opp_pts", "point_diff": "pts - opp_pts", "fg_pct": "fg_pct", "fg3_pct": "fg3_pct", "ft_pct": "ft_pct", "reb": "reb", "ast": "ast", "tov": "tov",
+    "opp_fg3_pct": "opp_fg3_pct", "offensive_rating": "CASE WHEN _poss > 0 THEN pts * 100D / _poss END", "defensive_rating": "CASE WHEN _poss > 0 THEN opp_pts * 100D / _poss END",
+    "pace": "CASE WHEN _poss > 0 THEN _poss END", "three_point_rate": ("fg3a", "fga"), "opp_three_point_rate": ("opp_fg3a", "opp_fga"),
+}
+BOXED = "fga is not null and pts is not null"
+SPLIT = {"win_pct": "win", "ppg": "pts", "point_diff": "pts - opp_pts", "fg_pct": "fg_pct"}
+
+
+def _with_form(df: DataFrame, by: list[str], ns: tuple[int, ...]) -> DataFrame:
+    """Adds _form: the means of _FORM over the last n rows, for each n."""
+    columns = []
+    for n in ns:
+        mean = lambda e: F.avg(F.expr(e)).over(_order(by).rowsBetween(-(n - 1), 0))  # noqa: B023, E731
+        columns += [(mean(e) if isinstance(e, str) else mean(e[0]) / mean(e[1])).alias(f"last{n}_{name}") for name, e in _FORM.items()]
+    return df.withColumn("_poss", possessions()).withColumn("_form", F.struct(*columns)).drop("_poss")
+
+
+def _form_columns(ns: tuple[int, ...]) -> dict[str, Column]:
+    out = {f"last{n}_{name}": F.coalesce(F.col(f"_form.last{n}_{name}"), F.lit(DEFAULTS[name])) for n in ns for name in _FORM}
+    return out | {f"last{n}_net_rating": out[f"last{n}_offensive_rating"] - out[f"last{n}_defensive_rating"] for n in ns}
+
+
 def recent_form(t: DataFrame, ns: tuple[int, ...] = (3, 5, 10), dates: DataFrame | None = None) -> DataFrame:
     """last{n}_... features of each (team_id, game_date) of `dates` (those of t): means over a team's last n games with
     a box score before the date; without any, DEFAULTS.  Ratings and pace are means of games with possessions above 0.
     """
-    box = t.where("fga is not null and pts is not null").withColumn("poss", possessions())
-    ok = F.col("poss") > 0
-    box = box.withColumns({"ortg": F.when(ok, F.col("pts") * 100.0 / F.col("poss")), "drtg": F.when(ok, F.col("opp_pts") * 100.0 / F.col("poss")), "pace_": F.when(ok, F.col("poss"))})
-    values = {
-        "win_pct": "avg(win)", "ppg": "avg(pts)", "opp_ppg": "avg(opp_pts)", "point_diff": "avg(pts - opp_pts)", "fg_pct": "avg(fg_pct)", "fg3_pct": "avg(fg3_pct)",
-        "ft_pct": "avg(ft_pct)", "reb": "avg(reb)", "ast": "avg(ast)", "tov": "avg(tov)", "opp_fg3_pct": "avg(opp_fg3_pct)", "offensive_rating": "avg(ortg)",
-        "defensive_rating": "avg(drtg)", "pace": "avg(pace_)", "three_point_rate": "avg(fg3a) / avg(fga)", "opp_three_point_rate": "avg(opp_fg3a) / avg(opp_fga)",
-    }
-    order = Window.partitionBy("team_id").orderBy("game_date", "game_id")
-    columns = {}
-    for n in ns:
-        w = order.rowsBetween(-(n - 1), 0)
-        for name, e in values.items():
-            parts = [F.avg(F.expr(p.strip()[4:-1])).over(w) for p in e.split("/")]
-            columns[f"last{n}_{name}"] = parts[0] if len(parts) == 1 else parts[0] / parts[1]
-    names = list(columns)
-    rows = box.select("team_id", "game_date", "game_id", *[c.alias(n) for n, c in columns.items()])
-    asked = (dates if dates is not None else t).select("team_id", "game_date").distinct()
-    out = asof_before(asked, rows, ["team_id"], "game_date", ["game_id"], "s")
-    base = lambda n: n.split("_", 1)[1]
-    out = out.select("team_id", "game_date", *[F.coalesce(F.col(f"s.{n}"), F.lit(DEFAULTS[base(n)])).alias(n) for n in names])
-    return out.withColumns({f"last{n}_net_rating": F.col(f"last{n}_offensive_rating") - F.col(f"last{n}_defensive_rating") for n in ns})
+    out = _before(t if dates is None else dates, t.where(BOXED), ["team_id"], lambda df, by: _with_form(df, by, ns), "_form")
+    return out.select("team_id", "game_date", *[c.alias(n) for n, c in _form_columns(ns).items()])
+
+
+def _with_split(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    w = _order(by).rowsBetween(-(n - 1), 0)
+    return df.withColumn("_split", F.struct(*[F.avg(F.expr(e)).over(w).alias(c) for c, e in SPLIT.items()]))
+
+
+def _split_columns() -> dict[str, Column]:
+    return {c: F.coalesce(F.col(f"_split.{c}"), F.lit(DEFAULTS[c])) for c in SPLIT}
 
 
 def venue_split(t: DataFrame, n: int = 15) -> DataFrame:
     """split_... of each (team_id, is_home, game_date): a team's last n games at home, or on the road, before the date."""
-    w = Window.partitionBy("team_id", "is_home").orderBy("game_date", "game_id").rowsBetween(-(n - 1), 0)
-    played = t.where("pts is not null and opp_pts is not null")
-    rows = played.select(
-        "team_id", "is_home", "game_date", "game_id", F.avg("win").over(w).alias("win_pct"), F.avg("pts").over(w).alias("ppg"),
-        F.avg(F.col("pts") - F.col("opp_pts")).over(w).alias("point_diff"), F.avg("fg_pct").over(w).alias("fg_pct"),
-    )
-    out = asof_before(t.select("team_id", "is_home", "game_date").distinct(), rows, ["team_id", "is_home"], "game_date", ["game_id"], "s")
-    return out.select("team_id", "is_home", "game_date", *[F.coalesce(F.col(f"s.{c}"), F.lit(DEFAULTS[c])).alias(f"split_{c}") for c in ("win_pct", "ppg", "point_diff", "fg_pct")])
+    out = _before(t, t.where("pts is not null and opp_pts is not null"), ["team_id", "is_home"], lambda df, by: _with_split(df, by, n), "_split")
+    return out.select("team_id", "is_home", "game_date", *[c.alias(f"split_{name}") for name, c in _split_columns().items()])
 
 
 def head_to_head(games: DataFrame, n: int = 10) -> DataFrame:
@@ -107,26 +137,31 @@ def rest_days(t: DataFrame, default: int = 3) -> DataFrame:
     return days.withColumn("back_to_back", (F.col("rest_days") == 0).cast("int"))
 
 
-def _runs(t: DataFrame, value: str) -> DataFrame:
-    """Length of the run of equal values up to each game of a team (gaps and islands)."""
-    order = Window.partitionBy("team_id").orderBy("game_date", "game_id")
-    new = F.when(F.lag(value).over(order).eqNullSafe(F.col(value)), 0).otherwise(1)
-    t = t.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order))
-    return t.withColumn("run", F.row_number().over(Window.partitionBy("team_id", "_island").orderBy("game_date", "game_id")))
+def _with_runs(df: DataFrame, by: list[str], value: str, name: str, length: Column) -> DataFrame:
+    """Adds `name`: `length` of the run (_run) of equal values up to each row (gaps and islands)."""
+    new = F.when(F.lag(value).over(_order(by)).eqNullSafe(F.col(value)), 0).otherwise(1)
+    df = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(_order(by)))
+    return df.withColumn("_run", F.row_number().over(_order([*by, "_island"]))).withColumn(name, length).drop("_new", "_island", "_run")
+
+
+def _with_streak(df: DataFrame, by: list[str], cap: int) -> DataFrame:
+    return _with_runs(df, by, "win", "_streak", F.least("_run", F.lit(cap)) * (2 * F.col("win") - 1))
+
+
+def _with_trip(df: DataFrame, by: list[str], cap: int) -> DataFrame:
+    return _with_runs(df, by, "is_home", "_trip", F.when(F.col("is_home") == 0, F.least("_run", F.lit(cap))).otherwise(0))
 
 
 def streak(t: DataFrame, cap: int = 15) -> DataFrame:
     """Signed streak of each (team_id, game_date): wins or losses in a row before the date, at most cap; 0 without any."""
-    rows = _runs(t.where("win is not null"), "win").select("team_id", "game_date", "game_id", (F.least("run", F.lit(cap)) * (2 * F.col("win") - 1)).alias("streak"))
-    out = asof_before(t.select("team_id", "game_date").distinct(), rows, ["team_id"], "game_date", ["game_id"], "s")
-    return out.select("team_id", "game_date", F.coalesce("s.streak", F.lit(0)).alias("streak"))
+    out = _before(t, t.where("win is not null"), ["team_id"], lambda df, by: _with_streak(df, by, cap), "_streak")
+    return out.select("team_id", "game_date", F.coalesce("_streak", F.lit(0)).alias("streak"))
 
 
 def road_trip(t: DataFrame, cap: int = 10) -> DataFrame:
     """Away games in a row before each (team_id, game_date), at most cap, and long_road_trip (from 4 on)."""
-    rows = _runs(t, "is_home").select("team_id", "game_date", "game_id", F.when(F.col("is_home") == 0, F.least("run", F.lit(cap))).otherwise(0).alias("trip"))
-    out = asof_before(t.select("team_id", "game_date").distinct(), rows, ["team_id"], "game_date", ["game_id"], "s")
-    return out.select("team_id", "game_date", F.coalesce("s.trip", F.lit(0)).alias("road_trip_length")).withColumn("long_road_trip", (F.col("road_trip_length") >= 4).cast("int"))
+    out = _before(t, t, ["team_id"], lambda df, by: _with_trip(df, by, cap), "_trip")
+    return out.select("team_id", "game_date", F.coalesce("_trip", F.lit(0)).alias("road_trip_length")).withColumn("long_road_trip", (F.col("road_trip_length") >= 4).cast("int"))
 
 
 def games_last_days(t: DataFrame, days: int = 7) -> DataFrame:
@@ -142,29 +177,76 @@ def team_overview(t: DataFrame, n: int = 15) -> DataFrame:
     return last.groupBy("team_id").agg(F.sum("win").alias("wins"), (F.count("*") - F.sum("win")).alias("losses"), F.avg("win").alias("win_pct"), F.avg("pts").alias("ppg"))
 
 
+def lookups(asked: DataFrame, t: DataFrame, history: DataFrame) -> DataFrame:
+    """The asked rows (team_id, game_date, game_id and others) with the team's share (of wins) and elo before the date, and
+    elo_here, its rating before the very game game_id.  Asked rows, games and ratings of a team meet in one shuffle."""
+    games = t.where("win is not null").select("team_id", "game_date", F.col("win").alias("_win"))
+    ratings = history.select("team_id", "game_date", "game_id", F.struct("game_date", "game_id").alias("_at"), F.col("elo_after").alias("_after"), F.col("elo_before").alias("_here"))
+    both = asked.withColumn("_asked", F.lit(True)).unionByName(games, allowMissingColumns=True).unionByName(ratings, allowMissingColumns=True).repartition("team_id")
+    both = both.withColumns({
+        "share": F.avg("_win").over(_past(["team_id"])), "elo": F.max_by("_after", "_at").over(_past(["team_id"])), "elo_here": F.max("_here").over(Window.partitionBy("team_id", "game_id")),
+    })
+    return both.where("_asked").drop("_asked", "_win", "_at", "_after", "_here")
+
+
+def _with_opponents(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    w = _order(by).rowsBetween(-(n - 1), 0)
+    return df.withColumn("_last", F.struct(F.collect_list("opponent_id").over(w).alias("opponents"), F.avg("win").over(w).alias("own")))
+
+
+def schedule_columns(found: Column, own: Column) -> dict[str, Column]:
+    """Schedule strength from the opponents' (pos, elo, share), averaged in the order of the games, and the team's share."""
+    rows = F.array_sort(found)
+    mean = lambda name, default: F.try_divide(F.aggregate(rows, F.lit(0.0), lambda s, x: s + F.coalesce(x[name], F.lit(default))), F.size(rows))
+    elo, own = F.coalesce(mean("elo", 1500.0), F.lit(1500.0)), F.coalesce(own, F.lit(0.5))
+    sos = F.least(F.greatest((elo - 1350) / 300, F.lit(0.0)), F.lit(1.0))
+    adjusted = own + (sos - 0.5) * 0.3 * (own - 0.5)
+    return {
+        "avg_opponent_elo": elo, "opponent_win_pct": F.coalesce(mean("share", 0.5), F.lit(0.5)), "sos_normalized": sos,
+        "sos_adjusted_win_pct": F.least(F.greatest(adjusted, F.lit(0.0)), F.lit(1.0)),
+    }
+
+
 def strength_of_schedule(t: DataFrame, history: DataFrame, n: int = 10) -> DataFrame:
     """Schedule strength of each (team_id, game_date) over its last n games before the date.
 
     Of each opponent the rating and the win share over all its games as of that date count, so the at most n opponents
     are listed and looked up.  Defaults: rating 1500, win share 0.5.
     """
-    w = Window.partitionBy("team_id").orderBy("game_date", "game_id").rowsBetween(-(n - 1), 0)
-    rows = t.where("win is not null").select("team_id", "game_date", "game_id", F.collect_list("opponent_id").over(w).alias("opponents"), F.avg("win").over(w).alias("own"))
-    asked = t.select("team_id", "game_date").distinct()
-    with_list = asof_before(asked, rows, ["team_id"], "game_date", ["game_id"], "s")
-    each = with_list.where("s is not null").select("team_id", "game_date", "s.own", F.explode("s.opponents").alias("opponent"))
-    all_games = Window.partitionBy("team_id").orderBy("game_date", "game_id").rowsBetween(Window.unboundedPreceding, 0)
-    share = t.where("win is not null").select(F.col("team_id").alias("opponent"), "game_date", "game_id", F.avg("win").over(all_games).alias("share"))
-    elo = history.select(F.col("team_id").alias("opponent"), "game_date", "game_id", "elo_after")
-    each = asof_before(asof_before(each, share, ["opponent"], "game_date", ["game_id"], "w"), elo, ["opponent"], "game_date", ["game_id"], "e")
-    found = each.groupBy("team_id", "game_date").agg(
-        F.avg(F.coalesce("e.elo_after", F.lit(1500.0))).alias("avg_opponent_elo"), F.avg(F.coalesce("w.share", F.lit(0.5))).alias("opponent_win_pct"), F.max("own").alias("own")
-    )
-    found = asked.join(found, ["team_id", "game_date"], "left").na.fill({"avg_opponent_elo": 1500.0, "opponent_win_pct": 0.5, "own": 0.5})
-    sos = F.least(F.greatest((F.col("avg_opponent_elo") - 1350) / 300, F.lit(0.0)), F.lit(1.0))
-    found = found.withColumn("sos_normalized", sos)
-    adjusted = F.col("own") + (F.col("sos_normalized") - 0.5) * 0.3 * (F.col("own") - 0.5)
-    return found.withColumn("sos_adjusted_win_pct", F.least(F.greatest(adjusted, F.lit(0.0)), F.lit(1.0))).drop("own")
+    lists = _before(t, t.where("win is not null"), ["team_id"], lambda df, by: _with_opponents(df, by, n), "_last")
+    asked = lists.select(F.col("team_id").alias("_team"), "game_date", F.lit(None).cast("long").alias("game_id"), F.col("_last.own").alias("own"), F.posexplode_outer("_last.opponents").alias("pos", "team_id"))
+    each = F.when(F.col("pos").isNotNull(), F.struct("pos", "elo", "share"))
+    found = lookups(asked, t, history).groupBy(F.col("_team").alias("team_id"), "game_date").agg(F.collect_list(each).alias("found"), F.max("own").alias("own"))
+    return found.select("team_id", "game_date", *[c.alias(k) for k, c in schedule_columns(F.col("found"), F.col("own")).items()])
+
+
+def team_features(t: DataFrame, ns: tuple[int, ...] = (3, 5, 10), form: tuple[int, int, int, int, int, int] = (15, 15, 10, 7, 3, 10)) -> DataFrame:
+    """Every row of t (game_id, game_date, team_id, is_home, opponent_id, pool_id, pts, opp_pts) with f, a struct of all
+    features of its team before its date that recent_form, rest_days, streak, road_trip, games_last_days and venue_split
+    (for its side) give, and last: the opponents of the last games and the win share in them.
+
+    All frames stand on one shuffle by team.  form has split games, caps of streak and trip, days, default rest, schedule
+    games.
+    """
+    split, cap, trip, days, rest, schedule = form
+    df = t.repartition("team_id").withColumns({"_boxed": F.expr(BOXED), "_scored": F.expr("pts is not null and opp_pts is not null"), "_won": F.col("win").isNotNull()})
+    df = _with_form(df, ["team_id", "_boxed"], ns)
+    df = _with_split(df, ["team_id", "is_home", "_scored"], split)
+    df = _with_streak(df, ["team_id", "_won"], cap)
+    df = _with_trip(df, ["team_id"], trip)
+    df = _with_opponents(df, ["team_id", "_won"], schedule)
+    keep = ["pool_id", "game_id", "game_date", "team_id", "opponent_id", "is_home", "pts", "opp_pts"]
+    df = df.select(
+        *keep, _last("_form", ["team_id"], F.col("_boxed")).alias("_form"), _last("_split", ["team_id", "is_home"], F.col("_scored")).alias("_split"), _last("_streak", ["team_id"], F.col("_won")).alias("_streak"),
+        _last("_trip", ["team_id"], F.lit(True)).alias("_trip"), _last("_last", ["team_id"], F.col("_won")).alias("last"),
+        (F.datediff("game_date", F.max("game_date").over(_past(["team_id"]))) - 1).alias("_rest"), F.count("game_id").over(_past(["team_id"], first=-days)).alias("_games"),
+    )
+    gap, away = F.coalesce("_rest", F.lit(rest)), F.coalesce("_trip", F.lit(0))
+    f = {
+        **_form_columns(ns), "rest_days": gap, "back_to_back": (gap == 0).cast("int"), "streak": F.coalesce("_streak", F.lit(0)), "road_trip_length": away, "long_road_trip": (away >= 4).cast("int"),
+        f"games_last_{days}d": F.col("_games"), **{f"split_{k}": c for k, c in _split_columns().items()},
+    }
+    return df.select(*keep, F.struct(*[c.alias(k) for k, c in f.items()]).alias("f"), "last")
 
 
 def latest_games(t: DataFrame, n: int = 10) -> DataFrame:

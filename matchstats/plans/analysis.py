@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchstats.functions import names, scalars
-from matchstats.operators import context, metrics, odds, picks, settle, upserts
-from matchstats.plans.core import SQL, query
+from matchstats.operators import context, elo, metrics, odds, picks, settle, upserts
+from matchstats.operators.features import FEATURES
+from matchstats.plans.core import ELO_BEFORE, SQL, elo_sql, query
 from matchstats.plans.views import r6, view, with_views
 
 AS_OF = "2000-01-01"
@@ -92,6 +93,29 @@ def fuzzy_match(spark, sf_dir):
     return names.fuzzy_match(left, right, "game_id").select("game_id", "right_id")
 
 
+@query(with_views("SELECT game_id, name, coalesce(arg_min(f, (k, f)), name) AS full_name, coalesce(arg_min(b, (k, f)), name) AS abbreviation FROM (SELECT nm.game_id, nm.name, t.full_name AS f, t.abbreviation AS b, CASE WHEN lower(trim(nm.name)) IN (lower(full_name), lower(abbreviation)) THEN 0 ELSE 1 END AS k FROM nm LEFT JOIN teams t ON contains(lower(t.full_name), lower(trim(nm.name))) OR contains(lower(trim(nm.name)), lower(t.full_name)) OR lower(trim(nm.name)) = lower(t.abbreviation)) GROUP BY game_id, name", "predictions", "teams",
+    more="nm AS (SELECT p.game_id, CASE p.game_id%5 WHEN 0 THEN upper(full_name) WHEN 1 THEN ' ' || abbreviation WHEN 2 THEN 'The ' || full_name || ' of old' WHEN 3 THEN substr(full_name, 1, length(full_name) - 3) ELSE 'nobody ' || abbreviation END AS name FROM predictions p JOIN teams ON home_id = team_id)"))
+def resolve_names(spark, sf_dir):
+    """Names in another case, abbreviated, within a longer text, cut short, and unknown."""
+    t = view(spark, sf_dir, "teams")
+    k, full = F.col("game_id") % 5, F.col("full_name")
+    name = F.when(k == 0, F.upper(full)).when(k == 1, F.concat(F.lit(" "), "abbreviation")).when(k == 2, F.concat(F.lit("The "), full, F.lit(" of old"))).when(k == 3, F.substring(full, F.lit(1), F.length(full) - 3)).otherwise(F.concat(F.lit("nobody "), "abbreviation"))
+    p = pred(spark, sf_dir).join(t.withColumnRenamed("team_id", "home_id"), "home_id").select("game_id", name.alias("name"))
+    return names.resolve_names(p, "name", t)
+
+
+@query(with_views("SELECT game_id, right_id FROM (SELECT l.game_id, r.game_id AS right_id, row_number() OVER (PARTITION BY l.game_id ORDER BY CASE WHEN l.home = r.home AND l.away = r.away THEN 0 ELSE 1 END, r.game_id) AS rn FROM l LEFT JOIN r ON l.game_date = r.game_date AND (contains(l.home, r.home) OR contains(r.home, l.home)) AND (contains(l.away, r.away) OR contains(r.away, l.away))) WHERE rn = 1", "games",
+    more="l AS (SELECT game_id, game_date, 't' || CAST(CASE WHEN game_id%2 = 0 THEN away_team_id ELSE home_team_id%300 END AS VARCHAR) AS home, 't' || CAST(CASE WHEN game_id%2 = 0 THEN home_team_id ELSE away_team_id END AS VARCHAR) AS away FROM games), r AS (SELECT game_id, game_date, 't' || CAST(home_team_id AS VARCHAR) AS home, 't' || CAST(away_team_id AS VARCHAR) AS away FROM games UNION ALL SELECT game_id, game_date, 't' || CAST(away_team_id AS VARCHAR), 't' || CAST(home_team_id AS VARCHAR) FROM games)"))
+def fuzzy_match_swapped(spark, sf_dir):
+    """Half of the left rows name the teams the other way round."""
+    g = view(spark, sf_dir, "games")
+    t = lambda c: F.concat(F.lit("T"), c.cast("string"))
+    even, h, a = F.col("game_id") % 2 == 0, F.col("home_team_id"), F.col("away_team_id")
+    left = g.select("game_id", "game_date", t(F.when(even, a).otherwise(h % 300)).alias("home"), t(F.when(even, h).otherwise(a)).alias("away"))
+    right = g.select(F.col("game_id").alias("id"), "game_date", t(h).alias("home"), t(a).alias("away"))
+    return names.fuzzy_match(left, right, "game_id", swapped=True).select("game_id", "right_id")
+
+
 _NICK = "CASE c_custkey%4 WHEN 0 THEN 'Los Angeles Lakers' WHEN 1 THEN 'Portland Trail Blazers' WHEN 2 THEN 'NY Knicks' ELSE c_name END"
 
 
@@ -132,7 +156,7 @@ _BIN = "CASE WHEN confidence >= 0.5 AND confidence < 0.6 THEN '50%-60%' WHEN con
 _CAL = f"SELECT {_BIN} AS bin, avg(confidence) AS c, avg(correct) AS a, count(*) AS n FROM s WHERE correct IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND {_BIN} IS NOT NULL"
 
 
-@query(with_views(f"SELECT bin, {r6('c', 'mean_confidence')}, {r6('a', 'accuracy')}, n, {r6('abs(c - a)', 'gap')}, CASE WHEN abs(c - a) < 0.05 THEN 'good' WHEN abs(c - a) < 0.1 THEN 'fair' ELSE 'poor' END AS status FROM ({_CAL})", "predictions", more=_SETTLED))
+@query(with_views(f"SELECT bin, {r6('c', 'mean_confidence')}, {r6('a', 'accuracy')}, n, {r6('abs(c - a)', 'gap')}, CASE WHEN abs(c - a) < 0.1 THEN 'OK' WHEN abs(c - a) < 0.2 THEN 'WARNING' ELSE 'BAD' END AS status FROM ({_CAL})", "predictions", more=_SETTLED))
 def calibration_table(spark, sf_dir):
     return metrics.calibration_table(settled(spark, sf_dir))
 
@@ -190,6 +214,19 @@ def model_odds(spark, sf_dir):
     return odds.model_odds(pred(spark, sf_dir))
 
 
+@query(with_views(f"SELECT game_id, bookmaker, {r6(_STEP('ho'), 'home')}, {r6(_STEP('ao'), 'away')} FROM q", "predictions", more=_MODEL))
+def bookmaker_prices(spark, sf_dir):
+    return odds.bookmaker_prices(pred(spark, sf_dir)).select("game_id", "bookmaker", "home", "away")
+
+
+@query(elo_sql(f"SELECT game_id, {r6('pinnacle_home')}, {r6('pinnacle_away')}, {r6('best_home')}, best_home_book, {r6('best_away')}, best_away_book, {r6('fair_home')}, {r6('fair_away')} FROM m",
+    ELO_BEFORE + ", pp AS (SELECT game_id, 1/(1 + pow(10::DOUBLE, -(h + 100 - a)/400::DOUBLE)) AS predicted_home_prob, 1 - 1/(1 + pow(10::DOUBLE, -(h + 100 - a)/400::DOUBLE)) AS predicted_away_prob FROM b JOIN c USING (game_id)), " + _MODEL.replace("FROM predictions", "FROM pp").replace("b(i, bookmaker, margin)", "bk(i, bookmaker, margin)").replace("FROM n, b)", "FROM n, bk)")))
+def elo_odds(spark, sf_dir):
+    """Prices from the ratings before each game."""
+    g = view(spark, sf_dir, "games")
+    return odds.elo_odds(elo.elo_features(g, elo.elo_history(g)))
+
+
 @query(with_views(f"SELECT p.game_id, {r6('coalesce(c.home_odds, pinnacle_home)', 'home_odds')}, {r6('coalesce(c.away_odds, pinnacle_away)', 'away_odds')}, CASE WHEN c.home_odds IS NULL THEN 'model' ELSE 'market' END AS odds_source, coalesce(abs(1/c.home_odds - predicted_home_prob) > 0.15, FALSE) AS market_disagrees FROM predictions p LEFT JOIN c USING (game_id) LEFT JOIN m USING (game_id)", "predictions", "quotes", more=_CONS + ", " + _MODEL))
 def choose_odds(spark, sf_dir):
     p = pred(spark, sf_dir)
@@ -307,7 +344,7 @@ def ledger_totals(spark, sf_dir):
     return context.ledger_totals(view(spark, sf_dir, "bets"))
 
 
-@query(with_views(f"SELECT account, id, {r6('1000 + sum(actual_payout - stake) OVER (PARTITION BY account ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)', 'balance')} FROM bets WHERE NOT is_reset", "bets"))
+@query(with_views(f"SELECT account, id, {r6('1000 + sum(actual_payout - stake) OVER (PARTITION BY account, k ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)', 'balance')} FROM (SELECT b.*, (SELECT count(*) FROM bets r WHERE r.account = b.account AND r.is_reset AND (r.created_at, r.id) <= (b.created_at, b.id)) AS k FROM bets b WHERE NOT is_reset)", "bets"))
 def running_balance(spark, sf_dir):
     return context.running_balance(view(spark, sf_dir, "bets"))
 
@@ -322,7 +359,7 @@ def drop_expired(spark, sf_dir):
     return context.drop_expired(view(spark, sf_dir, "cache"), _NOW).groupBy("cache", "key").agg(F.count("*").alias("n"))
 
 
-@query(with_views(f"SELECT account, count(*) FILTER (d) AS posts_24h, greatest(0, 17 - count(*) FILTER (d)) AS remaining, {r6(f'(epoch(TIMESTAMP {chr(39)}{_NOW}{chr(39)}) - floor(epoch(min(posted_at) FILTER (d))))/3600', 'oldest_hours')} FROM (SELECT *, posted_at > TIMESTAMP '{_NOW}' - INTERVAL 24 HOUR AS d FROM posts WHERE posted_at <= TIMESTAMP '{_NOW}' AND posted_at > TIMESTAMP '{_NOW}' - INTERVAL 48 HOUR) GROUP BY account", "posts"))
+@query(with_views(f"SELECT account, count(*) FILTER (d) AS posts_24h, greatest(0, 17 - count(*) FILTER (d)) AS remaining, {r6(f'(epoch(TIMESTAMP {chr(39)}{_NOW}{chr(39)}) - floor(epoch(min(posted_at) FILTER (d))))/3600', 'oldest_hours')} FROM (SELECT *, posted_at >= TIMESTAMP '{_NOW}' - INTERVAL 24 HOUR AS d FROM posts WHERE posted_at <= TIMESTAMP '{_NOW}' AND posted_at > TIMESTAMP '{_NOW}' - INTERVAL 48 HOUR) GROUP BY account", "posts"))
 def quota_24h(spark, sf_dir):
     return context.quota_24h(view(spark, sf_dir, "posts"), _NOW)
 
@@ -395,6 +432,13 @@ def confidence(spark, sf_dir):
     return pred(spark, sf_dir).select("game_id", picks.confidence(models, p, 0.85).alias("plain"), picks.enhanced_confidence(models, p).alias("enhanced"), picks.quality(p).alias("quality"), picks.badge(F.col("confidence")).alias("badge"))
 
 
+@query(with_views(f"SELECT game_id, {r6(f'least(greatest(0.3::DOUBLE*(1 - sqrt({_VAR})) + 0.15::DOUBLE*{_D}*2 + 0.2::DOUBLE*(1 - abs({_M[0]} - {_M[1]})) + 0.15::DOUBLE*(1 - abs(predicted_home_prob - {_AVG})) + 0.2::DOUBLE*(1 - 4*{_VAR}), 0), 0.85)', 'enhanced')}, {_D} >= 0.52 - 0.5 AS should_predict FROM predictions", "predictions"))
+def prediction_quality(spark, sf_dir):
+    """The capped confidence, and whether the game is predicted at all."""
+    models, p = [F.expr(m) for m in _M], F.col("predicted_home_prob")
+    return pred(spark, sf_dir).select("game_id", picks.enhanced_confidence(models, p, 0.85).alias("enhanced"), picks.should_predict(p).alias("should_predict"))
+
+
 # Upserts and exports ------------------------------------------------------------------------------------------------
 
 _UPD = "SELECT game_id + CASE WHEN game_id%20 = 0 THEN 10000000 ELSE 0 END AS game_id, home_team_id, away_team_id, CASE WHEN game_id%15 = 0 THEN NULL ELSE 100 + game_id%7 END AS home_score, 100 + game_id%5 AS away_score FROM games WHERE game_id%5 = 0"
@@ -439,6 +483,16 @@ def export_games(spark, sf_dir):
     return upserts.export_games(pred(spark, sf_dir), view(spark, sf_dir, "teams"), AS_OF)
 
 
+_LABEL = "array_to_string(list_transform(string_split(f, '_'), lambda x: CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scalars.LABELS.items()) + " ELSE upper(left(x, 1)) || lower(substr(x, 2)) END), ' ')"
+
+
+@query(f"SELECT n_nationkey AS id, f AS name, {_LABEL} AS label FROM nation, (SELECT unnest({FEATURES!r}) AS f)")
+def feature_labels(spark, sf_dir):
+    """The labels of all features, for each row of a table."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.explode(F.array(*[F.lit(f) for f in FEATURES])).alias("name"))
+    return n.select("id", "name", scalars.feature_label(F.col("name")).alias("label"))
+
+
 @query("SELECT n_name AS name, upper(left(lower(n_name), 1)) || lower(substr(n_name, 2)) || ' L10 PPG %' AS label FROM nation WHERE NOT contains(n_name, '_')")
 def feature_label(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_name not like '%\\\\_%'")

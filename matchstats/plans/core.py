@@ -44,19 +44,34 @@ def before(n: int, where: str = "TRUE", keys: str = "team_id") -> str:
     )
 
 
+_PAIRED = ["game_id", "game_date", "home_team_id", "away_team_id", "home_score", "away_score", "home_win", "point_differential"]
+
+
 @query(with_views("SELECT GAME_ID AS game_id, GAME_DATE AS game_date, min(CASE WHEN MATCHUP LIKE '% vs. %' THEN TEAM_ID END) AS home_team_id, min(CASE WHEN MATCHUP LIKE '% @ %' THEN TEAM_ID END) AS away_team_id, "
     "CAST(coalesce(sum(CASE WHEN MATCHUP LIKE '% vs. %' THEN PTS END), 0) AS BIGINT) AS home_score, CAST(coalesce(sum(CASE WHEN MATCHUP LIKE '% @ %' THEN PTS END), 0) AS BIGINT) AS away_score, "
     "CAST(coalesce(sum(CASE WHEN MATCHUP LIKE '% vs. %' THEN PTS END), 0) > coalesce(sum(CASE WHEN MATCHUP LIKE '% @ %' THEN PTS END), 0) AS BIGINT) AS home_win, "
     "CAST(coalesce(sum(CASE WHEN MATCHUP LIKE '% vs. %' THEN PTS END), 0) - coalesce(sum(CASE WHEN MATCHUP LIKE '% @ %' THEN PTS END), 0) AS BIGINT) AS point_differential "
     "FROM team_logs GROUP BY GAME_ID, GAME_DATE HAVING count(*) = 2 AND sum(CASE WHEN MATCHUP LIKE '% vs. %' THEN 1 ELSE 0 END) = 1 AND sum(CASE WHEN MATCHUP LIKE '% @ %' THEN 1 ELSE 0 END) = 1", "team_logs"))
 def pair_games(spark, sf_dir):
-    return matches.pair_games(view(spark, sf_dir, "team_logs"))
+    return matches.pair_games(view(spark, sf_dir, "team_logs")).select(*_PAIRED)
 
 
 @query(with_views("SELECT h.GAME_ID AS game_id, h.GAME_DATE AS game_date, h.TEAM_ID AS home_team_id, a.TEAM_ID AS away_team_id, h.PTS AS home_score, a.PTS AS away_score, CAST(h.PTS > a.PTS AS BIGINT) AS home_win, h.PTS - a.PTS AS point_differential "
     "FROM (SELECT * FROM team_logs WHERE MATCHUP LIKE '%vs.%' QUALIFY row_number() OVER (PARTITION BY GAME_ID ORDER BY TEAM_ID DESC) = 1) h JOIN team_logs a ON h.GAME_ID = a.GAME_ID AND a.MATCHUP NOT LIKE '%vs.%' WHERE h.PTS > 0 AND a.PTS IS NOT NULL", "team_logs"))
 def pair_games_lenient(spark, sf_dir):
-    return matches.pair_games(view(spark, sf_dir, "team_logs"), strict=False)
+    return matches.pair_games(view(spark, sf_dir, "team_logs"), strict=False).select(*_PAIRED)
+
+
+_FULL = [*matches.BOX]
+
+
+@query(with_views("SELECT h.GAME_ID AS game_id, h.GAME_DATE AS game_date, h.SEASON AS season, h.pool_id, h.TEAM_ID AS home_team_id, a.TEAM_ID AS away_team_id, h.TEAM_ABBREVIATION AS home_team, a.TEAM_ABBREVIATION AS away_team, coalesce(h.PTS, 0) AS home_score, coalesce(a.PTS, 0) AS away_score, "
+    + ", ".join(r6(f"CAST({k}.{b.upper()} AS DOUBLE)", f"{s}_{b}") for s, k in (("home", "h"), ("away", "a")) for b in _FULL) + " FROM box_logs h JOIN box_logs a ON h.GAME_ID = a.GAME_ID AND h.MATCHUP LIKE '% vs. %' AND a.MATCHUP LIKE '% @ %'", "box_logs"))
+def pair_full_games(spark, sf_dir):
+    """Games with season, pool, names and both box scores."""
+    g = matches.pair_games(view(spark, sf_dir, "box_logs"))
+    box = [F.col(f"{s}_{b}").cast("double").alias(f"{s}_{b}") for s in ("home", "away") for b in _FULL]
+    return g.select("game_id", "game_date", "season", "pool_id", "home_team_id", "away_team_id", "home_team", "away_team", "home_score", "away_score", *box)
 
 
 @query(with_views("SELECT GAME_ID, TEAM_ID, CASE WHEN MATCHUP LIKE '%vs.%' THEN PTS WHEN WL = 'W' THEN PTS - abs(PLUS_MINUS) ELSE PTS + abs(PLUS_MINUS) END AS home_score, "
@@ -225,11 +240,11 @@ def elo_expected(spark, sf_dir):
     return games(spark, sf_dir).select("game_id", elo.elo_expected(F.col("home_score"), F.col("away_score")).alias("p"))
 
 
-_BEFORE = """b AS (SELECT g.game_id, coalesce(max(hh.elo_before), arg_max(hp.elo_after, (hp.game_date, hp.game_id)), 1500) AS h FROM games g LEFT JOIN history hh ON hh.game_id = g.game_id AND hh.team_id = g.home_team_id LEFT JOIN history hp ON hp.team_id = g.home_team_id AND hp.game_date < g.game_date GROUP BY g.game_id),
+ELO_BEFORE = """b AS (SELECT g.game_id, coalesce(max(hh.elo_before), arg_max(hp.elo_after, (hp.game_date, hp.game_id)), 1500) AS h FROM games g LEFT JOIN history hh ON hh.game_id = g.game_id AND hh.team_id = g.home_team_id LEFT JOIN history hp ON hp.team_id = g.home_team_id AND hp.game_date < g.game_date GROUP BY g.game_id),
 c AS (SELECT g.game_id, coalesce(max(hh.elo_before), arg_max(hp.elo_after, (hp.game_date, hp.game_id)), 1500) AS a FROM games g LEFT JOIN history hh ON hh.game_id = g.game_id AND hh.team_id = g.away_team_id LEFT JOIN history hp ON hp.team_id = g.away_team_id AND hp.game_date < g.game_date GROUP BY g.game_id)"""
 
 
-@query(elo_sql(f"SELECT game_id, {r6('h', 'home_elo')}, {r6('a', 'away_elo')}, {r6('h - a', 'elo_diff')}, {r6('least(greatest(h - a, -200), 200)', 'elo_diff_capped')}, {r6('1/(1 + pow(10::DOUBLE, -(h + 100 - a)/400::DOUBLE))', 'elo_win_prob')} FROM b JOIN c USING (game_id)", _BEFORE))
+@query(elo_sql(f"SELECT game_id, {r6('h', 'home_elo')}, {r6('a', 'away_elo')}, {r6('h - a', 'elo_diff')}, {r6('least(greatest(h - a, -200), 200)', 'elo_diff_capped')}, {r6('1/(1 + pow(10::DOUBLE, -(h + 100 - a)/400::DOUBLE))', 'elo_win_prob')} FROM b JOIN c USING (game_id)", ELO_BEFORE))
 def elo_features(spark, sf_dir):
     return elo.elo_features(games(spark, sf_dir), history(spark, sf_dir))
 

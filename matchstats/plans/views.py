@@ -34,6 +34,9 @@ FROM (SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS game_date, CAST
     CASE WHEN home_score > away_score THEN 'W' ELSE 'L' END AS wl, home_score - away_score AS pm FROM games WHERE game_id%103 <> 0
   UNION ALL SELECT game_id, game_date, CAST(year(game_date) AS VARCHAR(20)), away_team_id, away_score, concat('T', CAST(away_team_id AS VARCHAR(20)), CASE WHEN game_id%107 = 0 THEN ' vs. T' ELSE ' @ T' END, CAST(home_team_id AS VARCHAR(20))),
     CASE WHEN away_score > home_score THEN 'W' ELSE 'L' END, away_score - home_score FROM games WHERE game_id%101 <> 0) AS l""",
+    "box_logs": "SELECT game_id AS GAME_ID, game_date AS GAME_DATE, CAST(year(game_date) AS VARCHAR(20)) AS SEASON, pool_id, home_team_id AS TEAM_ID, concat('T', CAST(home_team_id AS VARCHAR(20))) AS TEAM_ABBREVIATION, concat('T', CAST(home_team_id AS VARCHAR(20)), ' vs. T', CAST(away_team_id AS VARCHAR(20))) AS MATCHUP, home_score AS PTS, "
+    + ", ".join(f"home_{b} AS {b.upper()}" for b in BOX) + " FROM games UNION ALL SELECT game_id, game_date, CAST(year(game_date) AS VARCHAR(20)), pool_id, away_team_id, concat('T', CAST(away_team_id AS VARCHAR(20))), concat('T', CAST(away_team_id AS VARCHAR(20)), ' @ T', CAST(home_team_id AS VARCHAR(20))), away_score, "
+    + ", ".join(f"away_{b}" for b in BOX) + " FROM games",
     "predictions": """SELECT game_id, game_date, CAST(game_date AS TIMESTAMP) AS prediction_date, CASE WHEN game_id%11 = 0 THEN away_team_id ELSE home_team_id END AS home_id, CASE WHEN game_id%11 = 0 THEN home_team_id ELSE away_team_id END AS away_id,
   (1 + game_id%97)/99.0E0 AS predicted_home_prob, 1 - (1 + game_id%97)/99.0E0 AS predicted_away_prob, 0.5E0 + (game_id%50)/100.0E0 AS confidence,
   CASE WHEN game_id%5 = 0 THEN NULL ELSE 1.2E0 + (game_id%40)/20.0E0 END AS home_odds, CASE WHEN game_id%7 = 0 THEN NULL ELSE 1.2E0 + (game_id%30)/20.0E0 END AS away_odds,
@@ -47,7 +50,7 @@ FROM (SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS game_date, CAST
     "bets": "SELECT event_id AS id, user_id AS account, ts AS created_at, value AS stake, 1.5E0 + (event_id%10)/10.0E0 AS odds, CASE WHEN event_id%3 = 0 THEN value*(1.5E0 + (event_id%10)/10.0E0) ELSE 0.0E0 END AS actual_payout, event_type = 'signup' AS is_reset FROM events WHERE event_type IN ('purchase', 'click', 'signup')",
     "arenas": "SELECT c_custkey AS team_id, -60.0E0 + 5*c_nationkey AS lat, -170.0E0 + 13*c_nationkey AS lon, c_nationkey%4 AS tz_offset FROM customer WHERE c_custkey%19 <> 0",
 }
-_AFTER = {"team_logs": ["games"], "predictions": ["games"]}
+_AFTER = {"team_logs": ["games"], "box_logs": ["games"], "predictions": ["games"]}
 _TABLES = {"games": ["orders"], "teams": ["customer"], "quotes": ["lineitem"], "player_logs": ["lineitem"], "arenas": ["customer"]}
 
 

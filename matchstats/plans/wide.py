@@ -22,7 +22,10 @@ def _value(i: int, name: str) -> str:
 FORMS = (
     "SELECT game_id, game_date, " + ", ".join(f"{_value(2*i + j, n)} AS {s}_{n}" for i, n in enumerate(_BASE) for j, s in enumerate(("home", "away")))
     + ", 1400.0E0 + game_id%211 AS home_elo, 1400.0E0 + game_id%197 AS away_elo, (game_id%211 - game_id%197) + 0.0E0 AS elo_diff, CAST(game_id%19 AS INTEGER) - 9 AS home_streak, CAST(game_id%17 AS INTEGER) - 8 AS away_streak, "
-    "CAST(game_id%4 AS INTEGER) AS home_rest_days, CAST(game_id%5 AS INTEGER) AS away_rest_days, (game_id%23)/22.0E0 AS away_travel_fatigue_index, (game_id%29)/28.0E0 AS home_team_home_win_pct, (game_id%31)/30.0E0 AS away_team_road_win_pct, game_id%2 = 0 AS home_pick, 0.5E0 AS elo_win_prob FROM games"
+    "CAST(game_id%4 AS INTEGER) AS home_rest_days, CAST(game_id%5 AS INTEGER) AS away_rest_days, (game_id%23)/22.0E0 AS away_travel_fatigue_index, (game_id%29)/28.0E0 AS home_team_home_win_pct, (game_id%31)/30.0E0 AS away_team_road_win_pct, game_id%2 = 0 AS home_pick, (game_id%37)/36.0E0 AS elo_win_prob, "
+    "80.0E0 + game_id%43 AS home_team_home_ppg, 80.0E0 + game_id%47 AS away_team_road_ppg, (game_id%53)/2.0E0 - 13 AS home_team_home_point_diff, (game_id%59)/2.0E0 - 15 AS away_team_road_point_diff, (game_id%61)/61.0E0 AS home_team_home_fg_pct, "
+    "(game_id%67)/67.0E0 AS away_team_road_fg_pct, CAST(game_id%4 - game_id%5 AS INTEGER) AS rest_advantage, CAST(game_id%4 = 0 AS INTEGER) AS home_back_to_back, CAST(game_id%5 = 0 AS INTEGER) AS away_back_to_back, "
+    "CASE WHEN game_id%71 = 0 THEN NULL ELSE (game_id%71)/70.0E0 END AS h2h_home_win_pct, CAST(game_id%11 AS INTEGER) AS h2h_total_games, (game_id%73)/2.0E0 - 18 AS h2h_avg_point_diff, 80.0E0 + game_id%79 AS h2h_home_ppg, 80.0E0 + game_id%83 AS h2h_away_ppg FROM games"
 )
 
 
@@ -123,7 +126,7 @@ def radar_values(spark, sf_dir):
 
 @query(with_views(" UNION ALL ".join(f"SELECT game_id, '{c}' AS category, '{label}' AS label, {r6(f'CAST({h} AS DOUBLE)', 'home_value')}, {r6(f'CAST({a} AS DOUBLE)' if a else 'CAST(NULL AS DOUBLE)', 'away_value')} FROM f" for c, label, h, a in features.COMPARED), "games", more=f"f AS ({FORMS})"))
 def feature_table(spark, sf_dir):
-    return features.feature_table(forms(spark, sf_dir)).drop("shown")
+    return features.feature_table(forms(spark, sf_dir)).drop("home_shown", "away_shown")
 
 
 def _factors_sql() -> str:

@@ -15,9 +15,11 @@ from matchstats.operators.upserts import upsert_games
 
 
 def quota_stream(posts: DataFrame, late: str = "48 hours", limit: int = 17) -> DataFrame:
-    """Posts of each account in sliding windows of 24 hours every hour, and how many remain; later posts are dropped."""
-    n = posts.withWatermark("posted_at", late).groupBy("account", F.window("posted_at", "24 hours", "1 hour")).agg(F.count("*").alias("posts_24h"))
-    return n.select("account", F.col("window.end").alias("as_of"), "posts_24h", F.greatest(F.lit(0), limit - F.col("posts_24h")).alias("remaining"))
+    """Posts of each account in sliding windows of 24 hours every hour, how many remain, and the hours since the oldest of
+    them; later posts are dropped."""
+    n = posts.withWatermark("posted_at", late).groupBy("account", F.window("posted_at", "24 hours", "1 hour")).agg(F.count("*").alias("posts_24h"), F.min("posted_at").alias("oldest"))
+    age = (F.unix_timestamp("window.end") - F.unix_timestamp("oldest")) / 3600
+    return n.select("account", F.col("window.end").alias("as_of"), "posts_24h", F.greatest(F.lit(0), limit - F.col("posts_24h")).alias("remaining"), age.alias("oldest_hours"))
 
 
 def stream_upsert_games(updates: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
@@ -31,36 +33,81 @@ def stream_upsert_games(updates: DataFrame, read: Callable[[], DataFrame], write
 
 
 def stream_elo(games: DataFrame) -> DataFrame:
-    """Rating history of a stream of played games, state kept by pool: ratings and the last game of each pool.
+    """Rating history of a stream of played games, state kept by pool: ratings, the last game, and the ids of all games.
 
-    Games of a micro-batch are played in (date, id) order; a game not after the pool's last one (a replay, or one that
-    comes too late) is left out.
+    Games of a micro-batch are played in (date, id) order; a replayed game is left out.  A new game that is not after the
+    pool's last one can't be rated any more: its two rows come out without ratings, to be counted or rated again in batch.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        teams, values, date, game = state.get if state.exists else ([], [], None, None)
-        ratings = dict(zip(teams, values))
+        teams, values, date, game, seen = state.get if state.exists else ([], [], None, None, [])
+        ratings, seen = dict(zip(teams, values)), set(seen)
         batch = pd.concat(list(frames)).drop_duplicates("game_id").sort_values(["game_date", "game_id"], kind="stable")
         rows = []
         for g in batch.itertuples(index=False):
             day = str(g.game_date)
+            if g.game_id in seen:
+                continue
+            seen.add(g.game_id)
             if date is not None and (day, g.game_id) <= (date, game):
+                rows += [(g.pool_id, g.game_id, g.game_date, t, None, None) for t in (g.home_team_id, g.away_team_id)]
                 continue
             h, a = ratings.get(g.home_team_id, START), ratings.get(g.away_team_id, START)
             d = delta(h, a, g.home_score - g.away_score)
             ratings[g.home_team_id], ratings[g.away_team_id] = h + d, a - d
             rows += [(g.pool_id, g.game_id, g.game_date, g.home_team_id, h, h + d), (g.pool_id, g.game_id, g.game_date, g.away_team_id, a, a - d)]
             date, game = day, g.game_id
-        state.update((list(ratings), list(ratings.values()), date, game))
+        state.update((list(ratings), list(ratings.values()), date, game, list(seen)))
         yield pd.DataFrame(rows, columns=["pool_id", "game_id", "game_date", "team_id", "elo_before", "elo_after"])
 
     played = games.where("home_score is not null and away_score is not null").select("pool_id", "game_id", "game_date", "home_team_id", "away_team_id", "home_score", "away_score")
-    return played.groupBy("pool_id").applyInPandasWithState(run, HISTORY, "teams array<long>, ratings array<double>, game_date string, game_id long", "append", GroupStateTimeout.NoTimeout)
+    return played.groupBy("pool_id").applyInPandasWithState(run, HISTORY, "teams array<long>, ratings array<double>, game_date string, game_id long, seen array<long>", "append", GroupStateTimeout.NoTimeout)
+
 
+def _cache(events: DataFrame, hours: float, late: str, schema: str, show: Callable[[tuple, list, tuple | None], list[tuple]]) -> DataFrame:
+    """State by (cache, key): the latest put and when it expires.  `show` makes output rows of a micro-batch's answers."""
 
-def stream_ttl_cache(puts: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """The first put of each key within its time to live; the state of a key goes once the watermark passes it."""
-    return puts.withWatermark("cached_at", ttl).dropDuplicatesWithinWatermark(["cache", "key"])
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.get if state.exists else None
+        rows = sorted(((r.at, r.payload is None, r.payload) for f in frames for r in f.itertuples(index=False)), key=lambda r: r[:2])
+        answers = []
+        for at, is_read, payload in rows:
+            ms = int(at.timestamp() * 1000)
+            if is_read:
+                answers.append((at, now[0] if now and now[1] <= ms < now[2] else None))
+            elif now is None or ms >= now[1]:  # a put replaces the one before
+                now = (payload, ms, ms + int(hours * 3_600_000))
+        if now:
+            state.update(now)
+            state.setTimeoutTimestamp(max(now[2], state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(show(key, answers, now), columns=[c.split()[0] for c in schema.split(", ")])
+
+    rows = events.select("cache", "key", "at", "payload").withWatermark("at", late)
+    return rows.groupBy("cache", "key").applyInPandasWithState(run, schema, "payload string, put_ms long, expires_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_ttl_cache(puts: DataFrame, hours: float = 24, late: str = "1 hour") -> DataFrame:
+    """(cache, key, payload, cached_at, expires_at) of each key's put in force after each micro-batch with puts of it.
+
+    puts: cache, key, cached_at and, if any, payload.  A put replaces the one before it; older puts that come later do
+    not.  The state of a key goes once the watermark passes its expiry.
+    """
+    key = dict(puts.dtypes)["key"]
+    stamp = lambda ms: pd.Timestamp(ms, unit="ms")
+    payload = F.coalesce(F.col("payload").cast("string"), F.lit("")) if "payload" in puts.columns else F.lit("")
+    events = puts.select("cache", "key", F.col("cached_at").alias("at"), payload.alias("payload"))
+    return _cache(events, hours, late, f"cache string, key {key}, payload string, cached_at timestamp, expires_at timestamp", lambda k, _, now: [(*k, now[0], stamp(now[1]), stamp(now[2]))])
+
+
+def stream_cache_reads(events: DataFrame, hours: float = 24, late: str = "1 hour") -> DataFrame:
+    """(cache, key, at, payload) for each read: what the key's latest put holds, null if there is none or it has expired
+    (from the moment of its expiry on).  events: cache, key, at and payload, which is null in a read."""
+    key = dict(events.dtypes)["key"]
+    rows = events.withColumn("payload", F.col("payload").cast("string"))
+    return _cache(rows, hours, late, f"cache string, key {key}, at timestamp, payload string", lambda k, answers, _: [(*k, at, p) for at, p in answers])
 
 
 def stream_settle(pred: DataFrame, results: DataFrame, days: int = 30) -> DataFrame:

@@ -239,3 +239,124 @@ def test_training_weights(spark):
     assert t.count() == 45 and t.agg(F.avg("sample_weight")).first()[0] == pytest.approx(1)
 
 
+
+def test_logs_to_features(spark):
+    """Team logs with a box score are paired, rated and turned into features without another table."""
+    g = random_games(spark, 40)
+    team = lambda s, o, sign: g.select(
+        F.col("game_id").cast("string").alias("GAME_ID"), F.col("game_date").alias("GAME_DATE"), F.lit("2023-24").alias("SEASON"), F.col(f"{s}_team_id").alias("TEAM_ID"), F.concat(F.lit("T"), f"{s}_team_id").alias("TEAM_ABBREVIATION"),
+        F.concat(F.lit("T"), f"{s}_team_id", F.lit(sign), F.col(f"{o}_team_id")).alias("MATCHUP"), F.col(f"{s}_score").alias("PTS"), *[F.col(f"{s}_{b}").alias(b.upper()) for b in matches.BOX], F.lit(5).alias("STL"), F.lit(3).alias("BLK"))
+    paired = matches.pair_games(team("home", "away", " vs. ").unionByName(team("away", "home", " @ ")))
+    assert {"season", "pool_id", "home_team", "away_stl", "home_blk"} <= set(paired.columns) and paired.count() == 40
+    paired = paired.withColumn("game_id", F.col("game_id").cast("long"))
+    want = {r["game_id"]: r for r in features.build_features(g, elo.elo_history(g)).collect()}
+    got = {r["game_id"]: r for r in features.build_features(paired, elo.elo_history(paired)).collect()}
+    assert got == want
+
+
+def test_features_equal_their_blocks(spark):
+    """The one-pass table has the values of the single operators, for played and scheduled games."""
+    g = random_games(spark, 70, seed=4)
+    g = g.withColumns({"home_score": F.when(F.col("game_id") % 9 != 0, F.col("home_score")), "away_score": F.when(F.col("game_id") % 9 != 0, F.col("away_score"))})
+    h, t = elo.elo_history(g), matches.team_rows(g)
+    wide = {r["game_id"]: r for r in features.form_table(g, h).collect()}
+    blocks = [windows.recent_form(t), windows.rest_days(t), windows.streak(t), windows.road_trip(t), windows.games_last_days(t), windows.strength_of_schedule(t, h)]
+    for rows in ({(r["team_id"], r["game_date"]): r.asDict() for r in b.collect()} for b in blocks):
+        for r in wide.values():
+            for s in ("home", "away"):
+                own = rows[r[f"{s}_team_id"], r["game_date"]]
+                assert all(r[f"{s}_{c}"] == pytest.approx(v) for c, v in own.items() if c not in ("team_id", "game_date"))
+    split = {(r["team_id"], r["is_home"], r["game_date"]): r for r in windows.venue_split(t).collect()}
+    ratings = {r["game_id"]: r for r in elo.elo_features(g, h).collect()}
+    for r in wide.values():
+        assert r["home_elo"] == pytest.approx(ratings[r["game_id"]]["home_elo"]) and r["away_elo"] == pytest.approx(ratings[r["game_id"]]["away_elo"])
+        for place, s, home in (("home_team_home", "home", 1), ("away_team_road", "away", 0)):
+            assert all(r[f"{place}_{c}"] == pytest.approx(split[r[f"{s}_team_id"], home, r["game_date"]][f"split_{c}"]) for c in windows.SPLIT)
+
+
+def test_feature_plan_has_few_shuffles(spark):
+    g = random_games(spark, 30)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = features.form_table(g, elo.elo_history(g))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange ") <= 12 and plan.count("FlatMapGroupsInPandas") == 1
+
+
+def test_elo_features_from_current_ratings(spark):
+    g = random_games(spark, 30)
+    h = elo.elo_history(g)
+    now = {r["team_id"]: r["elo"] for r in elo.current_elo(h).collect()}
+    for r in elo.elo_features(g, h, "snapshot").join(g, "game_id").collect():
+        assert (r["home_elo"], r["away_elo"]) == pytest.approx((now[r["home_team_id"]], now[r["away_team_id"]]))
+
+
+def test_names_are_resolved(spark):
+    teams = spark.createDataFrame([(1, "Boston Celtics", "BOS"), (2, "Los Angeles Lakers", "LAL"), (3, "LA Clippers", "LAC")], "team_id long, full_name string, abbreviation string")
+    df = spark.createDataFrame([("boston celtics ",), ("celtics",), ("the Boston Celtics!",), ("lac",), ("LA Lakers",), ("nobody",), ("",), (None,)], "name string").withColumn("i", F.monotonically_increasing_id())
+    got = [(r["full_name"], r["abbreviation"]) for r in names.resolve_names(df, "name", teams).orderBy("i").collect()]
+    assert got == [("Boston Celtics", "BOS")] * 3 + [("LA Clippers", "LAC"), ("Los Angeles Lakers", "LAL"), ("nobody", "nobody"), ("", ""), (None, None)]
+
+
+def test_swapped_names_match(spark):
+    left = spark.createDataFrame([(1, DAY, "celtics", "lakers"), (2, DAY, "lakers", "celtics"), (3, DAY, "celtics", "bulls"), (4, None, "celtics", "lakers")], "k long, game_date date, home string, away string")
+    right = spark.createDataFrame([(7, DAY, "Boston Celtics", "Los Angeles Lakers")], "id long, game_date date, home string, away string")
+    assert {r["k"]: r["right_id"] for r in names.fuzzy_match(left, right, "k", swapped=True).collect()} == {1: 7, 2: 7, 3: None, 4: None}
+    assert {r["k"]: r["right_id"] for r in names.fuzzy_match(left, right, "k").collect()} == {1: 7, 2: None, 3: None, 4: None}
+
+
+def test_published_again_and_late_updates(spark):
+    old = spark.createDataFrame([(1, DAY, 1, 2, 0.6, 0.4, 0.9, 1.5, 2.5, "home", 101, 99, 1)], PRED + ", actual_home_score long, actual_away_score long, correct int")
+    new = old.withColumns({"predicted_home_prob": F.lit(0.3), "actual_winner": F.lit(None).cast("string"), "actual_home_score": F.lit(None).cast("long"), "actual_away_score": F.lit(None).cast("long"), "correct": F.lit(None).cast("int")})
+    r = upserts.upsert_predictions(old, new).first()
+    assert (r["predicted_home_prob"], r["actual_winner"], r["actual_home_score"], r["actual_away_score"], r["correct"]) == (0.3, "home", 101, 99, 1)
+    g = make_games(spark, [(1, 0, 1, 2, None, None, True)])
+    u = spark.createDataFrame([(1, 120, 99, dt.datetime(2024, 1, 1)), (1, 101, 99, dt.datetime(2024, 1, 2))], "game_id long, home_score long, away_score long, updated_at timestamp")
+    assert upserts.upsert_games(g, u).first()["home_score"] == 101
+
+
+def test_quota_counts_a_post_of_just_a_day_ago(spark):
+    end = dt.datetime(2024, 1, 3)
+    posts = spark.createDataFrame([(1, end - dt.timedelta(hours=24)), (1, end - dt.timedelta(hours=24, seconds=1)), (1, end - dt.timedelta(hours=1))], "account long, posted_at timestamp")
+    r = context.quota_24h(posts, str(end)).first()
+    assert (r["posts_24h"], r["remaining"], r["oldest_hours"]) == (2, 15, 24)
+
+
+def test_shown_values(spark):
+    f = spark.createDataFrame([(1, 1523.6, 0.5123, 7.25, 1, None)], "game_id long, home_elo double, home_last10_win_pct double, home_streak double, home_back_to_back int, away_elo double")
+    got = {r["label"]: (r["home_shown"], r["away_shown"]) for r in features.feature_table(f).collect()}
+    assert len(features.COMPARED) == features.feature_table(f).count() == 32
+    assert got["Elo Rating (Team Strength)"] == ("1524", "N/A") and got["Current Win/Loss Streak"][0] == "7.3" and got["Playing Back-to-Back?"][0] == "Yes" and got["Days of Rest"] == ("N/A", "N/A")
+
+
+def test_stream_cache_replaces_reads_and_expires(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    at = lambda h: t + dt.timedelta(hours=h)
+    batches = [
+        [("c", 1, at(0), "old"), ("c", 1, at(1), "new"), ("c", 1, at(2), None), ("c", 2, at(2), None)], [("c", 1, at(0.5), "older"), ("c", 1, at(24.9), None), ("c", 1, at(25), None)],
+        [("c", 1, at(26), "again"), ("c", 1, at(27), None)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "cache string, key long, at timestamp, payload string").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    schema = "cache string, key long, at timestamp, payload string"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = sorted(((r["key"], r["at"]), r["payload"]) for r in _run(feeds.stream_cache_reads(stream(), 24, "48 hours")).collect())
+    assert got == [((1, at(2)), "new"), ((1, at(24.9)), "new"), ((1, at(25)), None), ((1, at(27)), "again"), ((2, at(2)), None)]
+    puts = stream().where("payload is not null").withColumnRenamed("at", "cached_at")
+    kept = [(r["payload"], r["cached_at"], r["expires_at"]) for r in _run(feeds.stream_ttl_cache(puts, 24, "48 hours")).collect()]
+    assert ("new", at(1), at(25)) in kept and ("again", at(26), at(50)) in kept and not any(p == "older" for p, _, _ in kept)
+
+
+def test_stream_elo_accounts_for_late_games(spark, tmp_path):
+    g = random_games(spark, 30).select("game_id", "game_date", "pool_id", "home_team_id", "away_team_id", "home_score", "away_score")
+    rows = sorted(g.collect(), key=lambda r: (r["game_date"], r["game_id"]))
+    late = rows.pop(3)
+    for i, part in enumerate((rows[:20], rows[20:] + [late, rows[0]])):
+        spark.createDataFrame(part, g.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = _run(feeds.stream_elo(stream)).collect()
+    assert [r["game_id"] for r in got if r["elo_after"] is None] == [late["game_id"]] * 2 and len(got) == 60
+    want = {(r["game_id"], r["team_id"]): r["elo_after"] for r in elo.elo_history(g.where(f"game_id <> {late['game_id']}")).collect()}
+    assert {(r["game_id"], r["team_id"]): r["elo_after"] for r in got if r["elo_after"] is not None} == pytest.approx(want)
