@@ -14,13 +14,14 @@ counts and a spanning star of each bucket leave it, never lists of pairs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchstats.llm.shared import components, gram_hashes, lists, mix, signed, steps, table
+from matchstats.llm.shared import components, gram_hashes, lists, mix, signed, steps, table, whole_groups
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Min-hash coordinates of a class.
@@ -202,24 +203,42 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
 
-def first_meetings(paths: list[np.ndarray], here: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of pairs (x, y), those whose smallest common bucket is this one."""
-    width = max(map(len, paths))
-    grid = np.full((len(paths), width), np.iinfo(np.int64).max)
-    for k, p in enumerate(paths):
-        grid[k, : len(p)] = p
-    below = np.where(grid < here, grid, np.iinfo(np.int64).max)
+def grid_of(paths: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column of paths as rows of equal width, filled up with the largest number."""
+    lengths = np.asarray(paths.combine_chunks().value_lengths() if isinstance(paths, pa.ChunkedArray) else paths.value_lengths())
+    flat = paths.combine_chunks().flatten() if isinstance(paths, pa.ChunkedArray) else paths.flatten()
+    grid = np.full((len(lengths), int(lengths.max(initial=0))), np.iinfo(np.int64).max)
+    grid[np.arange(grid.shape[1]) < lengths[:, None]] = np.asarray(flat)
+    return grid
+
+
+def first_meetings(grid: np.ndarray, here: np.ndarray | int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs (x, y), those whose smallest common bucket is the one they are in (here, by row)."""
+    none = np.iinfo(np.int64).max
+    below = np.where(grid < (here[:, None] if isinstance(here, np.ndarray) else here), grid, none)
     out = np.ones(len(x), bool)
     for at in range(0, len(x), 20_000):
         a, b = below[x[at : at + 20_000]], below[y[at : at + 20_000]]
         same = np.zeros(len(a), bool)
-        for c in range(width):
+        for c in range(grid.shape[1]):
             column = a[:, c : c + 1]
-            same |= ((b == column) & (column != np.iinfo(np.int64).max)).any(axis=1)
+            same |= ((b == column) & (column != none)).any(axis=1)
         out[at : at + 20_000] = ~same
     return out
 
 
+def pair_steps(ends: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs x < y of rows of one group, about `most` at a time; ends[r] is the end of the group of row r."""
+    counts = ends - np.arange(len(ends)) - 1
+    before = np.concatenate([[0], np.cumsum(counts)])
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + most, side="right")) - 1)
+        x = np.repeat(np.arange(at, to), counts[at:to])
+        yield x, x + 1 + np.arange(len(x)) - np.repeat(before[at:to] - before[at], counts[at:to])
+        at = to
+
+
 def pairs_of(own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that block pair (i, j) compares: within i if i = j, else between i and j."""
     if i == j:
@@ -229,24 +248,36 @@ def pairs_of(own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flag(rows: DataFrame, similarity: float) -> DataFrame:
-    """(path, i, j, rep) of the classes that have a likely partner, by min-hash estimate, which they first meet there."""
-    least = least_estimate(similarity)
+    """(path, i, j, own, rep) of the classes that have a likely partner, by min-hash estimate, which they first meet there.
 
-    def run(key, group):
-        path, i, j = (k.as_py() for k in key)
-        mh = np.asarray(group.column("mh").combine_chunks().flatten()).reshape(-1, COORDINATES)
-        x, y = pairs_of(np.asarray(group.column("own")), i, j)
-        keep = np.zeros(len(x), bool)
-        for at in range(0, len(x), 20_000):
-            keep[at : at + 20_000] = (mh[x[at : at + 20_000]] == mh[y[at : at + 20_000]]).mean(axis=1) >= least
-        x, y = x[keep], y[keep]
-        if len(x):
-            keep = first_meetings([np.asarray(p.values) for p in group.column("paths")], path, x, y)
-            x, y = x[keep], y[keep]
-        some = np.unique(np.concatenate([x, y]))
-        return pa.table({c: group.column(c).take(pa.array(some, pa.int64())) for c in ("path", "i", "j", "own", "rep")})
+    Most buckets are small, so a task takes many of them at once.
+    """
+    least = math.ceil(least_estimate(similarity) * COORDINATES - 1e-9)
+    keys = ("path", "i", "j")
 
-    return rows.groupBy("path", "i", "j").applyInArrow(run, "path long, i int, j int, own int, rep long")
+    def run(batches):
+        for group in whole_groups(batches, keys):
+            path, i, j = (np.asarray(group.column(k)) for k in keys)
+            own, mh = np.asarray(group.column("own")), np.asarray(group.column("mh").combine_chunks().flatten()).reshape(-1, COORDINATES)
+            new = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            ends = np.repeat(np.append(new[1:], len(path)), np.diff(np.append(new, len(path))))
+            likely, grid = np.zeros(len(path), bool), None
+            for x, y in pair_steps(ends):
+                if (two := i[x] != j[x]).any():  # between two blocks, not within them
+                    x, y = x[~two | (own[x] != own[y])], y[~two | (own[x] != own[y])]
+                keep = np.zeros(len(x), bool)
+                for at in range(0, len(x), 20_000):
+                    keep[at : at + 20_000] = np.count_nonzero(mh[x[at : at + 20_000]] == mh[y[at : at + 20_000]], axis=1) >= least
+                x, y = x[keep], y[keep]
+                if len(x):
+                    grid = grid_of(group.column("paths")) if grid is None else grid
+                    keep = first_meetings(grid, path, x, y)
+                    likely[x[keep]] = likely[y[keep]] = True
+            if likely.any():
+                yield from group.select(["path", "i", "j", "own", "rep"]).filter(pa.array(likely)).to_batches()
+
+    dealt = rows.select(*keys, "own", "rep", "mh", "paths").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "path long, i int, j int, own int, rep long")
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -282,7 +313,7 @@ def verify(rows: DataFrame, similarity: float) -> DataFrame:
         fit = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y]) - 1e-9
         x, y = x[fit], y[fit]
         if len(x):
-            keep = first_meetings([np.asarray(p.values) for p in group.column("paths")], path, x, y)
+            keep = first_meetings(grid_of(group.column("paths")), path, x, y)
             x, y = x[keep], y[keep]
         if len(x):
             common = common_counts(sets, x, y)

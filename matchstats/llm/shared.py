@@ -181,6 +181,23 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that come sorted by integer keys, in tables of many whole groups each."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [np.asarray(batch.column(k)) for k in keys]
+        other = np.flatnonzero(np.any([v != v[-1] for v in values], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+        if cut:
+            yield pa.Table.from_batches([*waiting, batch.slice(0, cut)]).combine_chunks()
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column with counts[i] of the values in row i."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
