@@ -493,6 +493,12 @@ def feature_labels(spark, sf_dir):
     return n.select("id", "name", scalars.feature_label(F.col("name")).alias("label"))
 
 
+@query(with_views(f"SELECT game_date, count(*) AS total, list(replace(a.full_name || '_vs_' || h.full_name || '_' || strftime(game_date, '%Y-%m-%d'), ' ', '_') ORDER BY confidence DESC, replace(a.full_name || '_vs_' || h.full_name || '_' || strftime(game_date, '%Y-%m-%d'), ' ', '_')) AS ids FROM predictions JOIN teams h ON home_id = h.team_id JOIN teams a ON away_id = a.team_id WHERE actual_winner IS NULL AND game_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 1 GROUP BY game_date", "predictions", "teams"))
+def export_document(spark, sf_dir):
+    flat = upserts.export_games(pred(spark, sf_dir), view(spark, sf_dir, "teams"), AS_OF)
+    return upserts.export_document(flat).select("game_date", "total", F.col("games.id").alias("ids"))
+
+
 @query("SELECT n_name AS name, upper(left(lower(n_name), 1)) || lower(substr(n_name, 2)) || ' L10 PPG %' AS label FROM nation WHERE NOT contains(n_name, '_')")
 def feature_label(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_name not like '%\\\\_%'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchstats.operators import context, elo, features, model, picks
@@ -189,6 +191,60 @@ def read_all_team_logs(spark, sf_dir):
     return every.groupBy("SEASON").agg(F.count("*").alias("n"), F.sum("PTS").alias("pts"))
 
 
+def _schedule(spark, sf_dir):
+    """The games as schedule documents, one a pool and date."""
+    side = lambda s: F.struct(F.concat(F.lit("T"), f"{s}_team_id").alias("teamTricode"), F.coalesce(F.col(f"{s}_score").cast("string"), F.lit("-")).alias("score")).alias(f"{s}Team")
+    game = F.struct(F.col("game_id").alias("gameId"), F.when(F.col("game_id") % 13 != 0, F.when(F.col("home_score").isNull(), 1).otherwise(3)).alias("gameStatus"), side("home"), side("away"))
+    days = games(spark, sf_dir).groupBy("pool_id", "game_date").agg(F.collect_list(game).alias("games"))
+    day = F.struct(F.date_format("game_date", "MM/dd/yyyy 00:00:00").alias("gameDate"), "games")
+    return documents.flatten_schedule(days.select(F.struct(F.array(day).alias("gameDates")).alias("leagueSchedule")))
+
+
+_SCHEDULE = "SELECT CAST(game_id AS VARCHAR) AS game_id, game_date, CAST(CASE WHEN game_id%13 <> 0 THEN CASE WHEN home_score IS NULL THEN 1 ELSE 3 END END AS BIGINT) AS status, 'T' || home_team_id AS home_code, 'T' || away_team_id AS away_code, home_score, away_score FROM games"
+
+
+@query(with_views(_SCHEDULE, "games"))
+def flatten_schedule(spark, sf_dir):
+    return _schedule(spark, sf_dir)
+
+
+@query(with_views(f"SELECT game_id, game_date, coalesce(h.full_name, home_code) AS home_team, coalesce(a.full_name, away_code) AS away_team, home_score, away_score FROM ({_SCHEDULE}) LEFT JOIN teams h ON h.abbreviation = home_code AND h.team_id%7 <> 0 LEFT JOIN teams a ON a.abbreviation = away_code AND a.team_id%7 <> 0 WHERE home_score IS NOT NULL AND away_score IS NOT NULL AND NOT (home_score = 0 AND away_score = 0) AND (status IS NULL OR status = 3)", "games", "teams"))
+def final_results(spark, sf_dir):
+    """Every seventh team is in no dictionary."""
+    return documents.final_results(_schedule(spark, sf_dir), view(spark, sf_dir, "teams").where("team_id % 7 <> 0"))
+
+
+@query(with_views(f"SELECT 'H' || game_id AS home_team, 'A' || game_id AS away_team, lower(bookmaker) AS bookmaker, {r6('home')}, {r6('away')} FROM quotes WHERE bookmaker <> 'book3'", "quotes"))
+def flatten_quotes(spark, sf_dir):
+    """A document a game; one bookmaker has no price of the away side, and each has another market too."""
+    q = view(spark, sf_dir, "quotes")
+    outcome = lambda name, price: F.struct(F.concat(F.lit(name), "game_id").alias("name"), price.alias("price"))
+    both = F.array(outcome("A", F.col("away")), outcome("H", F.col("home")))
+    h2h = F.when(F.col("bookmaker") == "book3", F.slice(both, 2, 1)).otherwise(both)
+    markets = F.array(F.struct(F.lit("totals").alias("key"), both.alias("outcomes")), F.struct(F.lit("h2h").alias("key"), h2h.alias("outcomes")))
+    docs = q.groupBy("game_id").agg(F.collect_list(F.struct(F.upper("bookmaker").alias("key"), markets.alias("markets"))).alias("bookmakers"))
+    docs = docs.select(F.concat(F.lit("H"), "game_id").alias("home_team"), F.concat(F.lit("A"), "game_id").alias("away_team"), F.lit("t").alias("commence_time"), "bookmakers")
+    return documents.flatten_quotes(docs).drop("commence_time")
+
+
+@query(with_views(f"SELECT CAST(game_id AS VARCHAR) AS matchup, actual_winner AS pick, {r6('confidence')} FROM predictions", "predictions"))
+def append_log(spark, sf_dir):
+    """Two appends to a log of its own in the warehouse, read back."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/log-{uuid.uuid4().hex}"
+    p = view(spark, sf_dir, "predictions").select("game_id", F.col("game_id").cast("string").alias("matchup"), F.col("actual_winner").alias("pick"), "confidence")
+    for k in (0, 1):
+        tables.append_log(p.where(F.col("game_id") % 2 == k).drop("game_id"), path)
+    return tables.read_log(spark, path).select("matchup", "pick", "confidence")
+
+
+@query("SELECT page_id, 'P' || page_id AS player_name, 'T' || page_id%30 AS team, 'knee' AS injury_type, CASE WHEN page_id%2 = 0 THEN 'Out' ELSE 'Day-To-Day' END AS status FROM pages")
+def injury_rows(spark, sf_dir):
+    """An injury table before each page; its rows of fewer cells and those of the page drop out."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    cells = F.concat(F.lit("<table><tr><th>only</th></tr><tr><td> P"), "page_id", F.lit("</td><td>T"), (F.col("page_id") % 30).cast("string"), F.lit("<td>knee</td><td>"), F.when(F.col("page_id") % 2 == 0, "Out").otherwise("Day-To-Day"), F.lit("</tr></table>"))
+    return documents.injury_rows(documents.html_table_rows(p.select("page_id", F.concat(cells, "html").alias("html"))))
+
+
 @query("SELECT page_id, 'book ' || page_id AS bookmaker, 1.5::DOUBLE AS home, CAST(page_id%7 AS DOUBLE) AS away FROM pages WHERE page_id%3 <> 0")
 def html_table_rows(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -201,6 +257,30 @@ def apply_temperature(spark, sf_dir):
     return view(spark, sf_dir, "predictions").select("game_id", model.apply_temperature(F.col("predicted_home_prob"), 1.7).alias("p"))
 
 
+_CALIBRATED = "w AS (SELECT predicted_home_prob AS p, CASE WHEN actual_winner = 'home' THEN 1 ELSE 0 END AS y FROM predictions WHERE actual_winner IS NOT NULL)"
+
+
+def _won(spark, sf_dir):
+    return view(spark, sf_dir, "predictions").where("actual_winner is not null").select(F.col("predicted_home_prob").alias("p"), (F.col("actual_winner") == "home").cast("double").alias("home_win"))
+
+
+@query(with_views(f"SELECT p, {r6('max(low)', 'calibrated')} FROM (SELECT m.p, a.i, min((b.t - coalesce(z.t, 0))/(b.n - coalesce(z.n, 0))) AS low FROM k m JOIN k a ON a.i <= m.i JOIN k b ON b.i >= m.i LEFT JOIN k z ON z.i = a.i - 1 GROUP BY m.p, a.i) GROUP BY p", "predictions",
+    more=_CALIBRATED + ", k AS (SELECT p, row_number() OVER (ORDER BY p) AS i, CAST(sum(t) OVER (ORDER BY p) AS DOUBLE) AS t, CAST(sum(n) OVER (ORDER BY p) AS DOUBLE) AS n FROM (SELECT round(p, 6) AS p, sum(y) AS t, count(*) AS n FROM w GROUP BY ALL))"))
+def fit_isotonic(spark, sf_dir):
+    """The calibrated probability at each probability there is; the oracle takes the largest of the smallest means."""
+    rows = _won(spark, sf_dir).withColumn("p", F.round("p", 6))
+    return model.apply_isotonic(model.fit_isotonic(rows), rows.select("p", F.col("p").alias("calibrated")).distinct(), "calibrated")
+
+
+@query(with_views("SELECT round(1/least(greatest(b, 0.1), 10), 2) AS temperature FROM s WHERE it = 40", "predictions", recursive=True,
+    more=_CALIBRATED + """, k AS (SELECT list(ln(p/(1 - p))) AS z, list(n) AS n, list(t) AS t FROM (SELECT p, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS t FROM w GROUP BY p)),
+  s(it, b) AS (SELECT 0, 0.0::DOUBLE UNION ALL SELECT it + 1, b + list_sum(list_transform(range(1, len(z) + 1), lambda i: z[i]*(t[i] - n[i]/(1 + exp(-b*z[i])))))/list_sum(list_transform(range(1, len(z) + 1), lambda i: n[i]*z[i]*z[i]/(1 + exp(-b*z[i]))*(1 - 1/(1 + exp(-b*z[i])))))
+    FROM s, k WHERE it < 40)"""))
+def fit_temperature(spark, sf_dir):
+    """The temperature; the oracle finds it by Newton's method."""
+    return spark.createDataFrame([(round(model.fit_temperature(_won(spark, sf_dir)), 2),)], "temperature double")
+
+
 _AS_OF = "2001-08-05"
 
 

@@ -221,7 +221,7 @@ def test_stream_upsert_cache_quota_settle(spark, tmp_path):
     assert [x["game_id"] for x in _run(joined).collect() if x["home_score"] == 5] == [1]
 
 
-def test_model(spark):
+def test_model(spark, tmp_path):
     r = random.Random(3)
     rows = [(i, DAY + dt.timedelta(i // 4), 0, int(r.random() < (0.85 if (x := r.uniform(-1, 1)) > 0 else 0.15)), x, r.random()) for i in range(240)]
     df = spark.createDataFrame(rows, "game_id long, game_date date, pool_id long, home_win int, a double, b double")
@@ -229,6 +229,9 @@ def test_model(spark):
     assert m.fold_accuracy > 0.7 and 0.1 <= m.temperature <= 10.0001
     assert model.top_factors(m)[0][0] == "a"
     s = model.score(m, df)
+    m.save(str(tmp_path / "model"))
+    again = model.Stack.load(str(tmp_path / "model"))
+    assert [tuple(x) for x in model.score(again, df).orderBy("game_id").collect()] == [tuple(x) for x in s.orderBy("game_id").collect()]
     assert s.count() == 240 and s.where("home_probability between 0 and 1 and confidence <= 0.85").count() == 240
     assert model.fit_isotonic(df.select("home_win", ((F.col("a") + 1) / 2).alias("p"))).boundaries.size > 1
 
