@@ -51,16 +51,14 @@ def unsettled_report(spark, sf_dir):
     return settle.unsettled_report(pred(spark, sf_dir), view(spark, sf_dir, "games"))
 
 
-_KEYS = "k AS (SELECT DISTINCT game_date, CASE WHEN game_id%2 = 0 THEN h.full_name ELSE h.abbreviation END AS home, CASE WHEN game_id%2 = 0 THEN a.full_name ELSE a.abbreviation END AS away FROM games JOIN teams h ON home_team_id = h.team_id JOIN teams a ON away_team_id = a.team_id WHERE game_id%5 = 0)"
+_KEYS = "k AS (SELECT DISTINCT game_date, CASE WHEN game_id%2 = 0 THEN h.full_name ELSE h.abbreviation END AS home, CASE WHEN game_id%2 = 0 THEN a.full_name ELSE a.abbreviation END AS away FROM games JOIN teams h ON home_team_id = h.team_id JOIN teams a ON away_team_id = a.team_id)"
 _CHAIN = lambda s: f"coalesce({s}_odds, CASE WHEN predicted_{s}_prob > 0 THEN round(1/predicted_{s}_prob, 2) END)"
 
 
 @query(with_views(f"SELECT k.game_date, k.home, k.away, {r6('confidence')}, {r6(_CHAIN('home'), 'home_odds')}, {r6(_CHAIN('away'), 'away_odds')} FROM k LEFT JOIN (SELECT p.*, coalesce(k.home) AS home, k.away AS away FROM k JOIN teams h ON k.home IN (h.full_name, h.abbreviation) JOIN teams a ON k.away IN (a.full_name, a.abbreviation) JOIN predictions p ON p.game_date = k.game_date AND p.home_id = h.team_id AND p.away_id = a.team_id QUALIFY row_number() OVER (PARTITION BY k.game_date, k.home, k.away ORDER BY predicted_home_prob) = 1) f ON f.game_date = k.game_date AND f.home = k.home AND f.away = k.away", "predictions", "teams", more=_KEYS))
 def lookup_predictions(spark, sf_dir):
-    return _lookup(spark, sf_dir, view(spark, sf_dir, "games").where("game_id % 5 = 0"))
-
-
-def _lookup(spark, sf_dir, g):
+    """The keys of all games."""
+    g = view(spark, sf_dir, "games")
     t = view(spark, sf_dir, "teams")
     side = lambda s: t.select(F.col("team_id").alias(f"{s}_team_id"), F.col("full_name").alias(f"{s}_f"), F.col("abbreviation").alias(f"{s}_b"))
     g = g.join(side("home"), "home_team_id").join(side("away"), "away_team_id")
@@ -68,10 +66,10 @@ def _lookup(spark, sf_dir, g):
     return settle.lookup_predictions(g.select("game_date", name("home"), name("away")).distinct(), pred(spark, sf_dir), t)
 
 
-@query(SQL["lookup_predictions"].replace(" WHERE game_id%5 = 0)", ")"))
+@query(SQL["lookup_predictions"])
 def lookup_all_predictions(spark, sf_dir):
-    """lookup_predictions with the keys of all games."""
-    return _lookup(spark, sf_dir, view(spark, sf_dir, "games"))
+    """The same, under the name it had while lookup_predictions took some keys only."""
+    return lookup_predictions(spark, sf_dir)
 
 
 @query(with_views("SELECT p.game_id, CASE p.game_id%3 WHEN 0 THEN upper(full_name) WHEN 1 THEN '  ' || abbreviation ELSE 'nobody' END AS name, CASE WHEN p.game_id%3 < 2 THEN team_id END AS team_id FROM predictions p JOIN teams ON home_id = team_id", "predictions", "teams"))

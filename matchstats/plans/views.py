@@ -77,6 +77,21 @@ def r6(expression: str, name: str | None = None, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name or expression.split('.')[-1]}"
 
 
+def exact(sql: str) -> str:
+    """The statement without the rounding that r6() adds."""
+    end = " + 0.0 AS "
+    while (at := sql.find(end)) >= 0:
+        depth, i = 0, at - 1
+        while True:
+            depth += {")": 1, "(": -1}.get(sql[i], 0)
+            if not depth:
+                break
+            i -= 1
+        inside = sql[i + 1 : at - 1].rpartition(",")[0]
+        sql = sql[: i - len("round")] + f"({inside}) AS " + sql[at + len(end) :]
+    return sql
+
+
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """All double columns rounded to six (or the given) places, whole numbers as long."""
     from pyspark.sql import functions as F

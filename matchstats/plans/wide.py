@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from matchstats.operators import context, elo, features, model, picks
 from matchstats.plans import analysis
-from matchstats.plans.core import elo_sql, games, history, query
-from matchstats.plans.views import r6, view, with_views
+from matchstats.plans.core import SQL, elo_sql, games, history, query
+from matchstats.plans.views import exact, r6, view, with_views
 from matchstats.sources import documents, tables
 
 _BASE = [f"last{n}_{f}" for n in (3, 5, 10) for f in ("win_pct", "ppg", "opp_ppg", "point_diff", "fg_pct", "fg3_pct", "reb", "ast", "tov", "offensive_rating", "defensive_rating", "net_rating", "pace", "three_point_rate", "opp_fg3_pct")]
@@ -80,12 +80,21 @@ _COLD = {s: f"({s}_streak <= -3 AND {s}_last3_win_pct <= 0.33)" for s in ("home"
 _LOG = {s: f"sign({s}_streak)*ln(1 + abs({s}_streak))" for s in ("home", "away")}
 
 
-@query(_forms_sql(", ".join([
-    *[f"{_B(f'{s}_streak >= 3')} AS {s}_on_win_streak, {r6(_LOG[s], f'{s}_streak_log')}, {_B(_HOT[s])} AS {s}_hot_hand, {_B(_COLD[s])} AS {s}_cold_streak, {_B(f'abs({s}_streak) >= 5')} AS {s}_regression_likely" for s in ("home", "away")],
-    f"CAST(home_streak - away_streak AS BIGINT) AS streak_diff, {r6(_LOG['home'] + ' - ' + _LOG['away'], 'streak_log_diff')}, {_B(_HOT['home'])} - {_B(_HOT['away'])} AS hot_hand_diff, {r6('elo_diff*(home_streak - away_streak)/10', 'elo_momentum_interaction')}",
-    f"{_B('away_streak >= 4 AND abs(elo_diff) < 100')} AS hot_away_underdog, {_B('home_streak <= -3 AND abs(elo_diff) < 150')} AS cold_home_favorite, {r6('abs(elo_diff)*away_travel_fatigue_index/100', 'elo_travel_interaction')}",
-    "CAST(CASE WHEN elo_diff > 50 AND home_streak <= -2 THEN -1 WHEN elo_diff < -50 AND away_streak <= -2 THEN 1 WHEN elo_diff > 50 AND away_streak >= 3 THEN -1 WHEN elo_diff < -50 AND home_streak >= 3 THEN 1 ELSE 0 END AS BIGINT) AS elo_streak_conflict",
-    f"{_B(_HOT['away'] + ' AND ' + _COLD['home'] + ' AND abs(elo_diff) > 50 AND abs(elo_diff) < 200')} AS upset_potential"])))
+#: Interactions; those in _COUNTED are whole numbers.
+_INTER = {
+    "streak_log_diff": _LOG["home"] + " - " + _LOG["away"], "elo_momentum_interaction": "elo_diff*(home_streak - away_streak)/10", "elo_travel_interaction": "abs(elo_diff)*away_travel_fatigue_index/100",
+    **{f"{s}_streak_log": _LOG[s] for s in ("home", "away")},
+}
+_COUNTED = {
+    "streak_diff": "CAST(home_streak - away_streak AS BIGINT)", "hot_hand_diff": f"{_B(_HOT['home'])} - {_B(_HOT['away'])}", "hot_away_underdog": _B("away_streak >= 4 AND abs(elo_diff) < 100"),
+    "cold_home_favorite": _B("home_streak <= -3 AND abs(elo_diff) < 150"), "upset_potential": _B(_HOT["away"] + " AND " + _COLD["home"] + " AND abs(elo_diff) > 50 AND abs(elo_diff) < 200"),
+    "elo_streak_conflict": "CAST(CASE WHEN elo_diff > 50 AND home_streak <= -2 THEN -1 WHEN elo_diff < -50 AND away_streak <= -2 THEN 1 WHEN elo_diff > 50 AND away_streak >= 3 THEN -1 WHEN elo_diff < -50 AND home_streak >= 3 THEN 1 ELSE 0 END AS BIGINT)",
+}
+for _s in ("home", "away"):
+    _COUNTED |= {f"{_s}_on_win_streak": _B(f"{_s}_streak >= 3"), f"{_s}_hot_hand": _B(_HOT[_s]), f"{_s}_cold_streak": _B(_COLD[_s]), f"{_s}_regression_likely": _B(f"abs({_s}_streak) >= 5")}
+
+
+@query(_forms_sql(", ".join([*[r6(e, n) for n, e in _INTER.items()], *[f"{e} AS {n}" for n, e in _COUNTED.items()]])))
 def interactions(spark, sf_dir):
     f = features.interactions(forms(spark, sf_dir))
     cols = [f"{s}_{n}" for s in ("home", "away") for n in ("on_win_streak", "streak_log", "hot_hand", "cold_streak", "regression_likely")]
@@ -153,7 +162,42 @@ def supporting_factors(spark, sf_dir):
     return picks.supporting_factors(features.weighted_form(forms(spark, sf_dir)))
 
 
-@query()
+def _features_sql() -> str:
+    """The wide table from the oracles of its blocks, whose rounding is taken out, and the projections above."""
+    block = lambda name: f"({exact(SQL[name])})"
+    form = ["win_pct", "ppg", "opp_ppg", "point_diff", "fg_pct", "fg3_pct", "ft_pct", "reb", "ast", "tov", "opp_fg3_pct", "offensive_rating", "defensive_rating", "pace", "three_point_rate", "net_rating"]
+    schedule = ["avg_opponent_elo", "opponent_win_pct", "sos_normalized", "sos_adjusted_win_pct"]
+    split, players = ["win_pct", "ppg", "point_diff", "fg_pct"], features.PLAYERS
+    by_team = {"r": ("rest_days", ["rest_days", "back_to_back"]), "k": ("streak", ["streak"]), "w": ("road_trip", ["road_trip_length", "long_road_trip"]), "d": ("games_last_days", ["games_last_7d"]), "q": ("strength_of_schedule", schedule)}
+    by_team |= {f"f{n}": (f"recent_form_last{n}", [f"last{n}_{c}" for c in form]) for n in (3, 5, 10)}
+    by_game = {
+        "e": ("elo_features", ["home_elo", "away_elo", "elo_diff", "elo_diff_capped", "elo_win_prob"]), "h": ("head_to_head", [f"h2h_{c}" for c in "home_win_pct total_games avg_point_diff last3_home_wins home_ppg away_ppg".split()]),
+        "c": ("calendar_features", "day_of_week is_weekend is_christmas is_day_after_christmas is_new_years_eve is_new_years_day is_mlk_weekend month is_late_season is_early_season".split()),
+        "t": ("travel_features", ["away_travel_distance", "away_time_zones_crossed", "away_travel_fatigue_index"]), "i": ("injury_features", [c for c in features.FEATURES if "injur" in c]),
+        "m": ("market_features", ["market_spread", "market_total", "market_home_ml", "market_implied_prob", "market_confidence"]),
+    }
+    tables = {**{a: block(n) for a, (n, _) in {**by_team, **by_game}.items()}, "v": block("venue_split"), "p": block("team_player_stats")}
+    columns, joins = ["g.game_id", "g.game_date", "g.pool_id", "CAST(home_score > away_score AS BIGINT) AS home_win"], []
+    for s, home, place in (("home", 1, "home_team_home"), ("away", 0, "away_team_road")):
+        for a, (_, names) in by_team.items():
+            joins.append(f"LEFT JOIN b_{a} {s}_{a} ON {s}_{a}.team_id = g.{s}_team_id AND {s}_{a}.game_date = g.game_date")
+            columns += [f"{s}_{a}.{n} AS {s}_{n}" for n in names]
+        joins.append(f"LEFT JOIN b_v {s}_v ON {s}_v.team_id = g.{s}_team_id AND {s}_v.game_date = g.game_date AND {s}_v.is_home = {home}")
+        joins.append(f"LEFT JOIN b_p {s}_p ON {s}_p.team_id = g.{s}_team_id")
+        columns += [f"{s}_v.split_{n} AS {place}_{n}" for n in split] + [f"coalesce({s}_p.{n}, 0) AS {s}_{n}" for n in players]
+    for a, (_, names) in by_game.items():
+        joins.append(f"LEFT JOIN b_{a} {a} ON {a}.game_id = g.game_id")
+        columns += [f"{a}.{n}" for n in names]
+    difference = {"rest_advantage": "rest_days", "schedule_density_diff": "games_last_7d", "sos_differential": "sos_normalized", "avg_opponent_elo_differential": "avg_opponent_elo", "sos_adjusted_form_differential": "sos_adjusted_win_pct"}
+    made = {**_MOM, **_W, **_D, **_INTER, **_COUNTED, **{n: f"home_{c} - away_{c}" for n, c in difference.items()}, "pace_mismatch": "CAST(abs(home_last10_pace - away_last10_pace) > 5 AS BIGINT)"}
+    whole = {*_COUNTED, *by_game["c"][1], "pace_mismatch", "rest_advantage", "schedule_density_diff", "h2h_total_games", "h2h_last3_home_wins", "away_road_trip_length", "away_long_road_trip"}
+    whole |= {f"{s}_{n}" for s in ("home", "away") for n in ("rest_days", "back_to_back", "games_last_7d", "streak")}
+    show = [f"CAST({made.get(n, n)} AS BIGINT) AS {n}" if n in whole else r6(f"CAST({made.get(n, n)} AS DOUBLE)", n) for n in features.FEATURES]
+    wide = ", ".join(f"b_{a} AS MATERIALIZED {t}" for a, t in tables.items()) + f", f AS MATERIALIZED (SELECT {', '.join(columns)} FROM games g {' '.join(joins)})"
+    return with_views(f"SELECT game_id, game_date, pool_id, home_win, {', '.join(show)} FROM f", "games", more=wide)
+
+
+@query(_features_sql())
 def build_features(spark, sf_dir):
     g = games(spark, sf_dir)
     extras = [context.player_features(g, analysis.team_player_stats(spark, sf_dir)), *[f(spark, sf_dir) for f in (analysis.travel_features, analysis.injury_features, analysis.market_features)]]
@@ -173,11 +217,15 @@ def features_json(spark, sf_dir):
     return f.select("game_id", F.try_element_at(m, F.lit("home_elo")).alias("home_elo"), F.size(m).alias("n"))
 
 
-@query(with_views("SELECT '1996-97' AS SEASON, count(*) AS n, sum(PTS)::BIGINT AS pts FROM team_logs WHERE SEASON = '1996' UNION ALL SELECT '1997-98', count(*), sum(PTS)::BIGINT FROM team_logs WHERE SEASON = '1997'", "team_logs"))
+@query(with_views("SELECT SEASON || '-' || lpad(CAST((CAST(SEASON AS INTEGER) + 1)%100 AS VARCHAR), 2, '0') AS SEASON, count(*) AS n, sum(PTS)::BIGINT AS pts, count(DISTINCT TEAM_ID) AS teams FROM team_logs GROUP BY ALL", "team_logs"))
 def read_team_logs(spark, sf_dir):
+    """All seasons (few), written to a folder each in the warehouse and read by the operator."""
     logs = view(spark, sf_dir, "team_logs")
-    both = tables.union_seasons({"1996-97": logs.where("SEASON = '1996'"), "1997-98": logs.where("SEASON = '1997'").drop("WL")})
-    return both.groupBy("SEASON").agg(F.count("*").alias("n"), F.sum("PTS").alias("pts"))
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/logs-{uuid.uuid4().hex}"
+    logs.withColumn("year", F.col("SEASON")).drop("SEASON").write.partitionBy("year").parquet(path)
+    years = sorted(r["SEASON"] for r in logs.select("SEASON").distinct().collect())
+    every = tables.read_team_logs(spark, {f"{y}-{(int(y) + 1) % 100:02d}": f"{path}/year={y}" for y in years})
+    return every.groupBy("SEASON").agg(F.count("*").alias("n"), F.sum("PTS").alias("pts"), F.count_distinct("TEAM_ID").alias("teams"))
 
 
 @query(with_views("SELECT SEASON || '-' || lpad(CAST((CAST(SEASON AS INTEGER) + 1)%100 AS VARCHAR), 2, '0') AS SEASON, count(*) AS n, sum(PTS)::BIGINT AS pts FROM team_logs GROUP BY ALL", "team_logs"))
