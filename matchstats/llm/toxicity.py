@@ -230,7 +230,7 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """A model of a bounded sample of the labelled documents that are not held out.
 
-    Labels other than 0 and 1 and null doc_ids are left out; without labels of both kinds a fixed model that rejects
+    Labels other than 0 and 1 and null doc_ids are left out; of a repeated doc_id the smallest text is taken; without labels of both kinds a fixed model that rejects
     nothing results.
     """
     use = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -241,6 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROW
     ids = [near.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
     ids = table(ids[0].unionByName(ids[1]).distinct(), "sample-ids")
     sample = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text of a repeated doc_id
 
     def run(batches):
         found = sorted((r for b in batches for r in zip(b.column("doc_id").to_pylist(), binaries(b, "text"), b.column("toxic").to_pylist())), key=lambda r: (r[2], xxhash.xxh64_intdigest(str(r[0])), r[1]))
