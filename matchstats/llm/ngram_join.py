@@ -28,7 +28,7 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 COORDINATES = 64
 #: Classes of a bucket that is not split again; levels of splits; classes and shingles of a block of a bucket that is
 #: still larger (or has very long texts).
-SMALL, LEVELS, BLOCK, BLOCK_SHINGLES = 100, 3, 1000, 4_000_000
+SMALL, LEVELS, BLOCK, BLOCK_SHINGLES = 100, 3, 500, 4_000_000
 #: Pairs with a lower estimate are not compared in full: four and a half standard errors below the similarity.
 SLACK = 4.5
 
