@@ -161,6 +161,12 @@ def align_features(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) if n in have else F.lit(0.0).alias(n) for n in names])
 
 
+def missing_features(df: DataFrame, names: list[str]) -> list[str]:
+    """The names that align_features() has to fill up with zeros, as no column is called so."""
+    have = set(df.columns)
+    return [n for n in names if n not in have]
+
+
 def training_set(features: DataFrame, burn_in: int = 30, decay: float = 0.001) -> DataFrame:
     """Played games without each pool's first burn_in ones, with weights exp(-decay * days to the newest game) whose mean
     is 1.  The newest date and the mean are one row of aggregates."""
