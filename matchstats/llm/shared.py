@@ -66,7 +66,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: what follows survives lost executors without recomputing df."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
