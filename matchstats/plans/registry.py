@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from matchstats.plans import analysis, core, wide  # noqa: F401
+from matchstats.plans import analysis, core, streams, wide  # noqa: F401
 
 QUERIES, SQL = core.QUERIES, core.SQL

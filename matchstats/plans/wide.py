@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from matchstats.operators import context, elo, features, model, picks
@@ -300,6 +302,17 @@ def html_table_rows(spark, sf_dir):
     return documents.odds_rows(documents.html_table_rows(p.select("page_id", F.concat(table, "html").alias("html"))))
 
 
+_SCALED = ["home_elo", "away_elo", "elo_diff", "home_streak", "home_last10_ppg", "away_last10_fg_pct"]
+
+
+@query(_forms_sql(", ".join(r6(f"(CAST({n} AS DOUBLE) - avg({n}) OVER ())/stddev_samp({n}) OVER ()", n) for n in _SCALED)))
+def feature_pipeline(spark, sf_dir):
+    """Assembled and standardised features."""
+    rows = forms(spark, sf_dir)
+    x = vector_to_array(F.col("_x"))
+    return Pipeline(stages=model.feature_pipeline(_SCALED)).fit(rows).transform(rows).select("game_id", *[x[i].alias(n) for i, n in enumerate(_SCALED)])
+
+
 @query(with_views(f"SELECT game_id, {r6('1/(1 + exp(-ln(p/(1 - p))/1.7::DOUBLE))', 'p')} FROM (SELECT game_id, least(greatest(predicted_home_prob, 1e-7), 1 - 1e-7) AS p FROM predictions)", "predictions"))
 def apply_temperature(spark, sf_dir):
     return view(spark, sf_dir, "predictions").select("game_id", model.apply_temperature(F.col("predicted_home_prob"), 1.7).alias("p"))
