@@ -443,3 +443,15 @@ def test_shared_folder_and_clearing(spark, monkeypatch, tmp_path):
 
 def test_all_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_toxicity_and_encoding_equal_their_operators(spark):
+    """What the first stage keeps is what the score says, and the last stage's ids are the library's."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rejected = {x["doc_id"] for x in toxicity.judge(spark, docs, labels).where("predicted = 1").collect()}
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
+    assert rejected and kept == {x["doc_id"] for x in docs.collect()} - rejected
+    plain = bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    texts = {x["doc_id"]: x["text"] for x in docs.collect()}
+    got = {x["doc_id"]: x for x in corpus_pipeline.encode(spark, docs, SF).collect()}
+    assert got.keys() == texts.keys() and all(x["ids"] == plain.encode_ordinary(texts[d] or "") and x["n_tokens"] == len(x["ids"]) for d, x in got.items())
