@@ -447,9 +447,10 @@ def test_all_queries_are_registered():
 
 def test_pipeline_toxicity_and_encoding_equal_their_operators(spark):
     """What the first stage keeps is what the score says, and the last stage's ids are the library's."""
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    larger = SF.replace("0.001", "0.01")  # with enough toxic documents to learn from
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
     rejected = {x["doc_id"] for x in toxicity.judge(spark, docs, labels).where("predicted = 1").collect()}
-    kept = {x["doc_id"] for x in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_toxic(spark, docs, larger).collect()}
     assert rejected and kept == {x["doc_id"] for x in docs.collect()} - rejected
     plain = bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     texts = {x["doc_id"]: x["text"] for x in docs.collect()}
