@@ -218,12 +218,15 @@ def first_meetings(grid: np.ndarray, here: np.ndarray | int, x: np.ndarray, y: n
     below = np.where(grid < (here[:, None] if isinstance(here, np.ndarray) else here), grid, none)
     out = np.ones(len(x), bool)
     for at in range(0, len(x), 20_000):
-        a, b = below[x[at : at + 20_000]], below[y[at : at + 20_000]]
-        same = np.zeros(len(a), bool)
-        for c in range(grid.shape[1]):
-            column = a[:, c : c + 1]
-            same |= ((b == column) & (column != none)).any(axis=1)
-        out[at : at + 20_000] = ~same
+        left = np.arange(at, min(at + 20_000, len(x)))
+        for c in range(grid.shape[1]):  # near copies share their smallest paths, so few pairs go on
+            column = below[x[left], c]
+            left, column = left[column != none], column[column != none]
+            if not len(left):
+                break
+            same = (below[y[left]] == column[:, None]).any(axis=1)
+            out[left[same]] = False
+            left = left[~same]
     return out
 
 
