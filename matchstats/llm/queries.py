@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchstats.llm import bpe, decontaminate, fingerprints, licenses, ngram_join, substring_dedup, token_files, toxicity, url_filter, warc
+from matchstats.llm import bpe, decontaminate, fingerprints, licenses, ngram_join, spelling, substring_dedup, token_files, toxicity, url_filter, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -68,7 +68,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op7_toxicity, op8_decontamination, op9_licenses, op10_url_filter)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op7_toxicity, op8_decontamination, op9_licenses, op10_url_filter, op11_spelling_variants)}
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {shift}) & 31)::BIGINT + 1, 1)"
@@ -127,4 +131,19 @@ fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, le
 SELECT h.page_id, host, path, rule, coalesce(verdict, CASE WHEN starts_with(host || path, 'ads.') OR contains(host || path, '.ads.')
   OR contains(host || path, '/login') OR ends_with(host || path, '.exe') OR ends_with(host || path, '.zip') THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN fit USING (page_id)""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b) AS v FROM range(256) AS r(b))),
+runs AS (SELECT doc_id, run, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT run, m, flatten([CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END FOR c IN string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '')]) AS bs FROM runs),
+hashed AS (SELECT run, m, xor(list_reduce(bs, lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM coded, crc),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(m) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(m) >= 2),
+plain AS (SELECT string_agg(chr(CAST(i + 192 AS INTEGER)), '' ORDER BY i) AS letters, string_agg(chr(CAST(i + 32 AS INTEGER)), '' ORDER BY i) AS marks FROM range(64) AS r(i)),
+cut AS (SELECT DISTINCT word, n, v FROM (SELECT word, n, unnest([word] || [word[:i] || word[i + 2:] FOR i IN range(length(word))]) AS v FROM words)),
+near AS (SELECT DISTINCT x.word, x.n, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.v = y.v AND x.word <> y.word, plain WHERE levenshtein(translate(x.word, letters, marks), translate(y.word, letters, marks)) = 1),
+best AS (SELECT word, count(*) AS n_near, first(CASE WHEN near_n >= 10 * n THEN near END ORDER BY near_n DESC, near) AS form, first(CASE WHEN near_n >= 10 * n THEN near_n END ORDER BY near_n DESC, near) AS form_n FROM near GROUP BY word),
+path(word, stop, step) AS (SELECT word, word, 0 FROM words UNION ALL SELECT p.word, form, step + 1 FROM path p JOIN best b ON p.stop = b.word WHERE form IS NOT NULL),
+ends AS (SELECT word, arg_max(stop, step) AS root FROM path GROUP BY word)
+SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM words LEFT JOIN best USING (word) JOIN ends USING (word)""",
 }
