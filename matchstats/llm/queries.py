@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchstats.llm import bpe, decontaminate, fingerprints, licenses, ngram_join, spelling, substring_dedup, token_files, toxicity, url_filter, warc
+from matchstats.llm import bpe, decontaminate, fingerprints, hard_negatives, licenses, ngram_join, spelling, substring_dedup, token_files, toxicity, url_filter, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -72,7 +73,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op7_toxicity, op8_decontamination, op9_licenses, op10_url_filter, op11_spelling_variants)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.whole_vectors(read(spark, sf_dir, "embeddings"))
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op7_toxicity, op8_decontamination, op9_licenses, op10_url_filter, op11_spelling_variants, op12_hard_negatives)}
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {shift}) & 31)::BIGINT + 1, 1)"
@@ -146,4 +153,15 @@ best AS (SELECT word, count(*) AS n_near, first(CASE WHEN near_n >= 10 * n THEN
 path(word, stop, step) AS (SELECT word, word, 0 FROM words UNION ALL SELECT p.word, form, step + 1 FROM path p JOIN best b ON p.stop = b.word WHERE form IS NOT NULL),
 ends AS (SELECT word, arg_max(stop, step) AS root FROM path GROUP BY word)
 SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM words LEFT JOIN best USING (word) JOIN ends USING (word)""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.r, a.vec_id AS anchor_id, a.label, a.q, b.vec_id AS positive_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS positive_score
+  FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r WHERE a.vec_id % 50 = 0
+  QUALIFY row_number() OVER (PARTITION BY a.r ORDER BY list_dot_product(a.q, b.q) DESC, b.vec_id) <= 5),
+n AS (SELECT p.*, b.vec_id AS negative_id, CAST(list_dot_product(p.q, b.q) AS BIGINT) AS negative_score FROM p JOIN v b ON p.label <> b.label
+  WHERE 50 * positive_score <= 100 * CAST(list_dot_product(p.q, b.q) AS BIGINT) AND 100 * CAST(list_dot_product(p.q, b.q) AS BIGINT) <= 95 * positive_score),
+k AS (SELECT *, row_number() OVER (PARTITION BY r, positive_id ORDER BY negative_score DESC, negative_id) AS rank FROM n)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM k WHERE rank <= 3""",
 }
