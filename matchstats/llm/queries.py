@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchstats.llm import bpe, decontaminate, fingerprints, hard_negatives, licenses, ngram_join, spelling, substring_dedup, token_files, toxicity, url_filter, warc
+from matchstats.llm import bpe, decontaminate, fingerprints, hard_negatives, licenses, ngram_join, spelling, substring_dedup, suffix_dedup, token_files, toxicity, url_filter, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -79,7 +79,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op7_toxicity, op8_decontamination, op9_licenses, op10_url_filter, op11_spelling_variants, op12_hard_negatives)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_byte_bpe, op3_ngram_join, op4_fingerprints, op5_substring_dedup, op6_token_files, op7_toxicity, op8_decontamination, op9_licenses, op10_url_filter, op11_spelling_variants, op12_hard_negatives, op13_suffix_dedup)}
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {shift}) & 31)::BIGINT + 1, 1)"
