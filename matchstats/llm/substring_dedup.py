@@ -5,7 +5,8 @@ Every run of 13 words holds a 4-word anchor: the one with the smallest hash.  Eq
 1. anchors that occur in two different documents are found by a partially aggregated count,
 2. documents that have such anchors are cut into segments, the stretches of windows of one recurring anchor,
 3. segments are sharded by anchor; a shard confirms the windows that start in two documents, compiles them into an
-   automaton over word numbers, and streams its segments through it to locate every occurrence,
+   automaton, and streams its segments through it to locate every occurrence (words are 64-bit hashes; the automaton's
+   letters number those of the phrases from 1, so it takes no two of them for one),
 4. the places are gathered by document and its covered words are dropped.
 
 The segments of an anchor that has very many are cut anew by 10-word anchors, which tell the contexts of common words
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchstats.llm.decontaminate import TERM_BITS, term_map
 from matchstats.llm.shared import RAW, binaries, gram_hashes, lists, mix, raw_words_of, signed, steps, table
 
 WINDOW, ANCHOR, FINER = 13, 4, 10
@@ -45,23 +47,26 @@ def anchors(h: np.ndarray, sizes: np.ndarray, length: int = ANCHOR) -> tuple[np.
     return text[whole], at[whole], low[whole]
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id), once for each row of docs and anchor of its windows."""
+def anchor_rows(docs: DataFrame, bits=None) -> DataFrame:
+    """(anchor, doc_id), once for each row of docs and anchor of its windows; with a map of bits only anchors in it."""
 
     def run(batches):
+        known = bits.value if bits is not None else None
         for batch, h, sizes in steps(batches, kind=RAW):
             text, _, low = anchors(h, sizes)
             if len(low):
                 order = np.lexsort((low, text))
                 text, low = text[order], low[order]
                 new = np.concatenate([[True], (text[1:] != text[:-1]) | (low[1:] != low[:-1])])
+                if known is not None:
+                    new &= (known[(low & np.uint64((1 << TERM_BITS) - 1)) >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
                 yield pa.RecordBatch.from_arrays([pa.array(signed(low[new])), batch.column("doc_id").take(pa.array(text[new]))], ["anchor", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, doc_id {dict(docs.dtypes)['doc_id']}")
 
 
 def segment_rows(found: DataFrame) -> DataFrame:
-    """(anchor, doc_id, sig, at, words): the stretches of windows with one recurring anchor, as 32-bit word numbers.
+    """(anchor, doc_id, sig, at, words): the stretches of windows with one recurring anchor, as 64-bit word hashes.
 
     found has doc_id, sig, text and the document's recurring anchors.  A stretch has at most 64 windows.
     """
@@ -78,15 +83,15 @@ def segment_rows(found: DataFrame) -> DataFrame:
             if not len(low):
                 continue
             start, first, length, place = stretches(text, at, low, sizes)
-            words = (h[place] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            words = signed(h[place])
             take = pa.array(text[start])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(low[start])), batch.column("doc_id").take(take), batch.column("sig").take(take), pa.array(at[start].astype(np.int32)), lists(words, length, pa.int32())],
+                [pa.array(signed(low[start])), batch.column("doc_id").take(take), batch.column("sig").take(take), pa.array(at[start].astype(np.int32)), lists(words, length, pa.int64())],
                 ["anchor", "doc_id", "sig", "at", "words"],
             )
 
     kind = dict(found.dtypes)["doc_id"]
-    return found.select("doc_id", "sig", "text", "anchors").mapInArrow(run, f"anchor long, doc_id {kind}, sig long, at int, words array<int>")
+    return found.select("doc_id", "sig", "text", "anchors").mapInArrow(run, f"anchor long, doc_id {kind}, sig long, at int, words array<long>")
 
 
 def stretches(text: np.ndarray, at: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -116,11 +121,11 @@ def finer_segments(segments: DataFrame, kind: str) -> DataFrame:
             before = mix(np.asarray(batch.column("anchor"))[row[start]].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(mix(low[start] ^ before))), batch.column("doc_id").take(take), batch.column("sig").take(take),
-                 pa.array((np.asarray(batch.column("at"))[row[start]] + at[start]).astype(np.int32)), lists(flat[place], length, pa.int32())],
+                 pa.array((np.asarray(batch.column("at"))[row[start]] + at[start]).astype(np.int32)), lists(flat[place], length, pa.int64())],
                 ["anchor", "doc_id", "sig", "at", "words"],
             )
 
-    return segments.select("anchor", "doc_id", "sig", "at", "words").mapInArrow(run, f"anchor long, doc_id {kind}, sig long, at int, words array<int>")
+    return segments.select("anchor", "doc_id", "sig", "at", "words").mapInArrow(run, f"anchor long, doc_id {kind}, sig long, at int, words array<long>")
 
 
 def _pair(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -165,7 +170,7 @@ def confirm(words: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def compile_phrases(phrases: np.ndarray) -> ahocorasick.Automaton:
-    """An automaton over the phrases, whose letters are word numbers; a match tells the phrase's row."""
+    """An automaton over the phrases, rows of word numbers; a match tells the phrase's row."""
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for i, phrase in enumerate(phrases.tolist()):
         a.add_word(tuple(phrase), i)
@@ -180,9 +185,18 @@ def locate(words: list[np.ndarray], doc: np.ndarray, phrases: np.ndarray, low: n
     """
     if not len(phrases):
         return [[] for _ in words]
-    machine, low = compile_phrases(phrases), low.tolist()
+    letters, number = np.unique(phrases, return_inverse=True)
+    machine, low = compile_phrases(number.reshape(phrases.shape) + 1), low.tolist()
     holds = [True] * len(words) if holds is None else holds.tolist()
-    return [[end - WINDOW + 1 for end, i in machine.iter(tuple(w.tolist())) if low[i] < d] if h else [] for w, d, h in zip(words, doc.tolist(), holds)]
+    out: list[list[int]] = []
+    for w, d, h in zip(words, doc.tolist(), holds):
+        if not h:
+            out.append([])
+            continue
+        at = np.minimum(np.searchsorted(letters, w), len(letters) - 1)
+        w = np.where(letters[at] == w, at + 1, 0)  # 0: a word of no phrase
+        out.append([end - WINDOW + 1 for end, i in machine.iter(tuple(w.tolist())) if low[i] < d])
+    return out
 
 
 def _located(group: pa.Table, words: list[np.ndarray], doc: np.ndarray, *found: np.ndarray) -> pa.Table:
@@ -229,10 +243,10 @@ def seen_windows(segments: DataFrame, kind: str) -> DataFrame:
             _, first, number = np.unique(window_names(rows) ^ mix(anchor.astype(np.uint64)), return_index=True, return_inverse=True)
             low, high = extremes(number, doc, len(first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[first]), lists(rows[first].ravel(), np.full(len(first), WINDOW), pa.int32()), pa.array(salts[first]), pa.array(low), pa.array(high)], ["anchor", "phrase", "salts", "low", "high"]
+                [pa.array(anchor[first]), lists(rows[first].ravel(), np.full(len(first), WINDOW), pa.int64()), pa.array(salts[first]), pa.array(low), pa.array(high)], ["anchor", "phrase", "salts", "low", "high"]
             )
 
-    return segments.select("anchor", "salts", "doc_id", "words").mapInArrow(run, f"anchor long, phrase array<int>, salts int, low {kind}, high {kind}")
+    return segments.select("anchor", "salts", "doc_id", "words").mapInArrow(run, f"anchor long, phrase array<long>, salts int, low {kind}, high {kind}")
 
 
 def hot_places(segments: DataFrame, kind: str) -> DataFrame:
@@ -247,7 +261,7 @@ def hot_places(segments: DataFrame, kind: str) -> DataFrame:
 
     def run(key, left, right):
         found = _words(right, "phrase")
-        phrases = np.array(found) if found else np.zeros((0, WINDOW), np.int32)
+        phrases = np.array(found) if found else np.zeros((0, WINDOW), np.int64)
         return _located(left, _words(left), np.asarray(left.column("doc_id")), phrases, np.asarray(right.column("low")))
 
     return rows.groupBy("anchor", "salt").cogroup(phrases.groupBy("anchor", "salt")).applyInArrow(run, PLACES.format(kind=kind))
@@ -309,8 +323,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     # Only texts that occur twice meet here; a hot text's rows are split by the adaptive join.
     copy_ids = table(some.select("doc_id", "sig", "sig2").join(copies, ["sig", "sig2"]).where("doc_id > low").select("doc_id", "sig").distinct(), "copy-ids")
     own = anchor_rows(some)
-    recurring = table(own.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    hits = own.join(recurring.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    recurring = table(own.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    # A map of fixed size (8 MB) drops most other anchors before they are joined.
+    bits = docs.sparkSession.sparkContext.broadcast(term_map(recurring.select(F.col("anchor").alias("term"))))
+    hits = anchor_rows(some, bits).join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     flags = copy_ids.withColumn("copy", F.lit(True))
     # One row for each document that goes on; a list of anchors is no longer than its document.
     found = rows.drop("sig2").join(hits, "doc_id", "left").join(flags, ["doc_id", "sig"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
