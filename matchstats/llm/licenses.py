@@ -31,9 +31,11 @@ TAG_WORDS, TAG = "spdx license identifier", b"spdx-license-identifier:"
 #: Families of licence identifiers: an identifier is of a family if it is the name, or goes on with `-`, `+` or a version.
 FAMILIES = ("apache", "lgpl", "agpl", "gpl", "mit", "bsd", "mpl", "isc", "cc-by", "unlicense")
 _FAMILY = re.compile(rf"({'|'.join(FAMILIES)})(?:[-+].*|v?[0-9].*)?")
-#: Further identifiers without a hyphen.  Any identifier with one is taken as it is.
+#: Further identifiers without a hyphen, and with hyphens but without a version.
 PLAIN = frozenset("0bsd aal afmparse artistic beerware borceux curl eurosym ftl ijg info-zip intel json leptonica libpng libtiff naumen ncsa netcdf newsletr noweb ntp openssl plexus postgresql python ruby saxpath sendmail sleepycat sgi spl sugarcrm tcl vim vsl w3c watcom wtfpl x11 xfree86 xinetd xnet xpp zed zlib zpl".split())
-_HYPHENATED = re.compile(r"[a-z0-9][a-z0-9.]*(?:-[a-z0-9.+]+)+\+?")
+UNVERSIONED = frozenset("adobe-glyph adobe-utopia bitstream-vera gnu-all-permissive hpnd-sell-variant ibm-pibs intel-acpi linux-openib linux-syscall-note ms-lpl ms-pl ms-rl nist-pd nist-pd-fallback sax-pd standardml-nj tcp-wrappers unicode-tou".split())
+#: Any other hyphenated identifier has a part that begins with a version's digit, is an exception, or is marked as a reference.
+_HYPHENATED = re.compile(r"(?:licenseref|documentref)-[a-z0-9.-]+|[a-z0-9][a-z0-9.]*(?:-[a-z0-9.+]+)*-(?:[0-9][a-z0-9.+]*|exception)(?:-[a-z0-9.+]+)*\+?")
 #: An expression ends before these.
 STOPS = re.compile(r"\*/|-->|[;,\"'`\r\n]")
 PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "unlicense", "0bsd", "zlib"})
@@ -77,7 +79,7 @@ def family(identifier: str) -> str | None:
     """The label of an identifier: its family, or itself; None of a word that is no identifier."""
     if m := _FAMILY.fullmatch(identifier):
         return m[1]
-    return identifier if identifier in PLAIN or _HYPHENATED.fullmatch(identifier) else None
+    return identifier if identifier in PLAIN or identifier in UNVERSIONED or _HYPHENATED.fullmatch(identifier) else None
 
 
 def evaluate(order: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[bool, set[str]]:

@@ -261,7 +261,11 @@ def spans(text: bytes, p: np.ndarray) -> list[dict]:
             out[-1][1:] = [places[k][1], k]
         else:
             out.append([places[k][0], places[k][1], k])
-    return [{"start": len(text[:a].decode()), "stop": len(text[:b].decode())} for a, b, _ in out]
+    if not out:
+        return []
+    chars = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)  # those that begin up to each byte
+    before = lambda at: int(chars[at - 1]) if at else 0
+    return [{"start": before(a), "stop": before(b)} for a, b, _ in out]
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, names: tuple[str, str] = ("_score", "_spans")) -> DataFrame:
