@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cities taken out of a name before its last word is the nickname.
@@ -20,41 +20,64 @@ CODES = {
 }
 
 
+def _variants(teams: DataFrame) -> DataFrame:
+    """The teams once for each text that means them, as _key."""
+    full = F.lower(F.trim("full_name"))
+    variants = F.array(full, F.lower(F.trim("abbreviation")), F.regexp_replace(full, "^los angeles ", "la "), F.regexp_replace(full, "^la ", "los angeles "))
+    return teams.withColumn("_key", F.explode(F.array_distinct(variants)))
+
+
 def normalize_team(df: DataFrame, column: str, teams: DataFrame, out: str = "team_id") -> DataFrame:
     """Adds `out`: the team_id whose full name, abbreviation or "LA" / "Los Angeles" variant the name is, in any case and
     without outer blanks; null if there is none.  Of several teams the smallest id is taken."""
-    full = F.lower(F.trim("full_name"))
-    variants = F.array(full, F.lower(F.trim("abbreviation")), F.regexp_replace(full, "^los angeles ", "la "), F.regexp_replace(full, "^la ", "los angeles "))
-    lookup = teams.select(F.explode(F.array_distinct(variants)).alias("_key"), "team_id").groupBy("_key").agg(F.min("team_id").alias(out))
+    lookup = _variants(teams).groupBy("_key").agg(F.min("team_id").alias(out))
     return df.withColumn("_key", F.lower(F.trim(column))).join(lookup, "_key", "left").drop("_key")
 
 
 def grams(name: Column) -> Column:
-    """All runs of one to three characters of a text, and so the beginning of any text it contains, cut to three."""
+    """All runs of one to three characters of a text."""
     at = lambda k: F.when(F.length(name) >= k, F.transform(F.sequence(F.lit(1), F.length(name) - (k - 1)), lambda i: F.substring(name, i, F.lit(k))))
     return F.array_distinct(F.flatten(F.filter(F.array(*[at(k) for k in (1, 2, 3)]), lambda x: x.isNotNull())))
 
 
+def meetings(left: DataFrame, a: str, right: DataFrame, b: str, on: list[str] = []) -> DataFrame:  # noqa: B006
+    """(on, a, b, _held): the distinct texts of left and right (equal in `on`) that meet at a rare part, where _held is the
+    one that picked it and so may be held by the other.
+
+    A text that holds another has all its runs of three characters (or the whole of a shorter text).  So each text asks at that
+    one of its runs which the fewest texts of the other side have, and no common beginning brings all with all together.
+    """
+    some = lambda df, c, other: df.where(F.length(c) > 0).select(*on, F.col(c).alias("_text"), F.lit(other).alias("_left")).distinct()
+    parts = some(left, a, True).unionByName(some(right, b, False)).withColumn("_gram", F.explode(grams(F.col("_text"))))
+    counts = parts.groupBy(*on, "_gram").agg(F.count_if("_left").alias("_nl"), F.count_if(~F.col("_left")).alias("_nr"))
+    asked = parts.where(F.length("_gram") == F.least(F.length("_text"), F.lit(3))).join(counts, [*on, "_gram"])
+    asked = asked.withColumn("_n", F.when(F.col("_left"), F.col("_nr")).otherwise(F.col("_nl")))
+    rarest = asked.groupBy(*on, "_text", "_left").agg(F.min(F.struct("_n", "_gram")).alias("_r")).where("_r._n > 0")
+    rarest = rarest.select(*on, F.col("_r._gram").alias("_gram"), F.col("_text").alias("_held"), F.col("_left").alias("_from_left"))
+    met = rarest.join(parts, [*on, "_gram"]).where(F.col("_from_left") != F.col("_left"))
+    sides = F.when(F.col("_from_left"), F.struct(F.col("_held").alias(a), F.col("_text").alias(b))).otherwise(F.struct(F.col("_text").alias(a), F.col("_held").alias(b)))
+    return met.select(*on, "_held", sides.alias("_s")).select(*on, "_s.*", "_held")
+
+
 def contained(left: DataFrame, a: str, right: DataFrame, b: str, on: list[str] = []) -> DataFrame:  # noqa: B006
-    """The rows of left and right (equal in `on`) of which one's text, a or b, holds the other's.  Texts meet at the first
-    three characters of the shorter one, never all with all.  A pair may come twice; empty and null texts match nothing."""
-    begin = lambda c: F.substring(F.col(c), 1, 3)
-    some = lambda df, c: df.where(F.length(c) > 0)
-    inner = some(left, a).withColumn("_gram", begin(a)).join(some(right, b).withColumn("_gram", F.explode(grams(F.col(b)))), [*on, "_gram"]).where(F.contains(F.col(b), F.col(a)))
-    outer = some(left, a).withColumn("_gram", F.explode(grams(F.col(a)))).join(some(right, b).withColumn("_gram", begin(b)), [*on, "_gram"]).where(F.contains(F.col(a), F.col(b)))
-    return inner.unionByName(outer).drop("_gram")
+    """(on, a, b): the distinct texts of left and right (equal in `on`) of which one holds the other.  A pair may come twice;
+    empty and null texts match nothing."""
+    found = meetings(left, a, right, b, on)
+    return found.where(F.contains(F.when(F.col(a) == F.col("_held"), F.col(b)).otherwise(F.col(a)), F.col("_held"))).drop("_held")
 
 
 def resolve_names(df: DataFrame, column: str, teams: DataFrame) -> DataFrame:
     """Adds full_name and abbreviation of the team that a name means: by normalize_team(), else of a team whose full name
     holds the name or is held by it (the first full name by the alphabet); a name that means no team stands in both as it
     is.  Each distinct name is looked up once."""
-    known = teams.select("team_id", "full_name", "abbreviation")
-    own = df.select(F.col(column).alias("_name")).distinct().where("_name is not null")
-    exact = normalize_team(own, "_name", known, "_id").where("_id is not null").join(known, F.col("_id") == F.col("team_id")).select("_name", F.struct("full_name", "abbreviation").alias("_team"))
-    rest = own.join(exact, "_name", "left_anti").withColumn("_low", F.lower(F.trim("_name")))
-    near = contained(rest, "_low", known.withColumn("_full", F.lower(F.trim("full_name"))), "_full").groupBy("_name").agg(F.min(F.struct("full_name", "abbreviation")).alias("_team"))
-    out = df.join(exact.unionByName(near), df[column] == F.col("_name"), "left")
+    team = F.struct("full_name", "abbreviation")
+    own = df.select(F.col(column).alias("_name")).distinct().where("_name is not null").withColumn("_low", F.lower(F.trim("_name")))
+    lookup = _variants(teams.select("team_id", team.alias("_team"), "full_name", "abbreviation")).groupBy("_key").agg(F.min_by("_team", "team_id").alias("_exact"))
+    own = own.join(lookup.withColumnRenamed("_key", "_low"), "_low", "left")
+    full = teams.select(F.lower(F.trim("full_name")).alias("_full"), team.alias("_team")).groupBy("_full").agg(F.min("_team").alias("_team"))
+    near = contained(own.where("_exact is null"), "_low", full, "_full").join(full, "_full").groupBy("_low").agg(F.min("_team").alias("_near"))
+    means = own.join(near, "_low", "left").select("_name", F.coalesce("_exact", "_near").alias("_team"))
+    out = df.join(means, df[column] == F.col("_name"), "left")
     return out.select(*[df[c] for c in df.columns], *[F.coalesce(F.col(f"_team.{c}"), df[column]).alias(c) for c in ("full_name", "abbreviation")])
 
 
@@ -79,7 +102,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, on: str = "game_dat
     else the one of smallest id on the date whose names contain, or are contained in, both names.
 
     With `swapped` a row of right may also have the two teams the other way round, equal names before similar ones.  The
-    substring join runs only over left rows that the equality join missed, within a date and by parts of the home name.
+    substring join runs only over left rows that the equality join missed, within a date and by rare parts of the home name.
     """
     right = right.select(on, F.col("id").alias("right_id"), F.lower(F.trim("home")).alias("_h"), F.lower(F.trim("away")).alias("_a"))
     if swapped:
@@ -88,10 +111,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, on: str = "game_dat
     equal = left.join(right.withColumnsRenamed({"_h": "_lh", "_a": "_la"}), [on, "_lh", "_la"]).groupBy(key).agg(F.min("right_id").alias("right_id"))
     rest = left.join(equal, key, "left_anti")
     near = F.contains(F.col("_la"), F.col("_a")) | F.contains(F.col("_a"), F.col("_la"))
-    fuzzy = contained(rest.select(key, on, "_lh", "_la"), "_lh", right, "_h", [on]).where(near).groupBy(key).agg(F.min("right_id").alias("right_id"))
+    homes = contained(rest, "_lh", right, "_h", [on]).distinct()
+    fuzzy = rest.select(key, on, "_lh", "_la").join(homes, [on, "_lh"]).join(right, [on, "_h"]).where(near).groupBy(key).agg(F.min("right_id").alias("right_id"))
     return left.drop("_lh", "_la").join(equal.unionByName(fuzzy), key, "left")
 
-
-def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

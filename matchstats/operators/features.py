@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchstats.operators import elo, windows
 from matchstats.operators.matches import team_rows
+from matchstats.sources.folders import written
 
 SIDES = ("home", "away")
 _LAST = {
@@ -179,13 +180,20 @@ def training_set(features: DataFrame, burn_in: int = 30, decay: float = 0.001) -
 
 
 def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds row_index (from 0) in the given order, without a window over all rows: rows are counted by the first order
-    column, whose distinct values get running sums, and numbered within it."""
-    first = order[0]
-    counts = df.groupBy(first).agg(F.count("*").alias("_n"))
-    before = counts.select(first, (F.sum("_n").over(Window.orderBy(first)) - F.col("_n")).alias("_before"))  # a row for each date
-    w = Window.partitionBy(first).orderBy(*order[1:])
-    return df.withColumn("_rn", F.row_number().over(w)).join(before, first).withColumn("row_index", F.col("_before") + F.col("_rn") - 1).drop("_rn", "_before")
+    """Adds row_index (from 0) in the given order, of which no two rows may be equal, without a window over all rows.
+
+    Spark deals the rows to ranges of the order; each range is numbered for itself and starts where those before it end.  The
+    ranges are written first, so that counting and numbering see the same ones; their counts are a row each on the driver.
+    """
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = sorted(parts.groupBy("_part").agg(F.count("*")).collect())
+    starts, n = [], 0
+    for part, count in counts:
+        starts.append((part, n))
+        n += count
+    starts = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    rows = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return rows.join(F.broadcast(starts), "_part").withColumn("row_index", F.col("_start") + F.col("_rn") - 1).drop("_part", "_start", "_rn")  # a row for each range
 
 
 def time_folds(df: DataFrame, n_splits: int = 5, gap: int = 10) -> DataFrame:
@@ -251,9 +259,15 @@ _COMPARED = {
 COMPARED = [(category, label, home, away) for category, rows in _COMPARED.items() for home, away, label in rows]
 
 
+def decimal_text(c: Column, places: int, signed: bool = False) -> Column:
+    """A number with so many places, an exact half rounded to the even digit, with a sign if asked for."""
+    text = F.translate(F.format_number(c.cast("double"), places), ",", "")
+    return F.when(text.startswith("-"), text).otherwise(F.concat(F.lit("+"), text)) if signed else text
+
+
 def shown_value(c: Column, name: str) -> Column:
     """A value as the comparison table shows it, by the kind of feature that its name tells."""
-    places = lambda n, v=c: F.format_string(f"%.{n}f", v)
+    places = lambda n, v=c: decimal_text(v, n)
     has = lambda *parts: any(p in name for p in parts)
     if has("_pct", "prob"):
         text = F.when(c.between(0, 1), F.concat(places(1, c * 100), F.lit("%"))).when(c.between(0, 100), F.concat(places(1), F.lit("%"))).otherwise(places(1))
@@ -272,13 +286,15 @@ def shown_value(c: Column, name: str) -> Column:
 
 def feature_table(f: DataFrame) -> DataFrame:
     """A row for each game and compared feature: category, label, home_value, away_value, and home_shown and away_shown as
-    text (N/A where there is no value)."""
+    text (N/A where there is no value).  A row about both sides at once, which has no away column, shows its text twice."""
 
     def row(category: str, label: str, home: str, away: str | None) -> Column:
         value = lambda n: F.col(n).cast("double") if n and n in f.columns else F.lit(None).cast("double")
         h, a = value(home), value(away)
+        shown = shown_value(h, home)
         return F.struct(
-            F.lit(category).alias("category"), F.lit(label).alias("label"), h.alias("home_value"), a.alias("away_value"), shown_value(h, home).alias("home_shown"), shown_value(a, away or "").alias("away_shown")
+            F.lit(category).alias("category"), F.lit(label).alias("label"), h.alias("home_value"), a.alias("away_value"), shown.alias("home_shown"),
+            (shown_value(a, away) if away else shown).alias("away_shown"),
         )
 
     return f.select("game_id", F.explode(F.array(*[row(*r) for r in COMPARED])).alias("r")).select("game_id", "r.*")

@@ -63,18 +63,19 @@ def unsettled_report(pred: DataFrame, games: DataFrame) -> DataFrame:
 
 def lookup_predictions(keys: DataFrame, pred: DataFrame, teams: DataFrame) -> DataFrame:
     """The stored prediction of each (game_date, home, away) key, by full names, else by abbreviations, with its
-    features_json where predictions have it; odds fall back to round(1 / p, 2)."""
+    features_json where predictions have it; odds fall back to round(1 / p, 2).
+
+    The keys are turned into team ids, and only then meet the predictions.
+    """
     more = [c for c in ("features_json",) if c in pred.columns]
-    names = teams.select("team_id", "full_name", "abbreviation")
-    found = []
-    for k, by in enumerate(("full_name", "abbreviation")):
-        h = names.select(F.col("team_id").alias("home_id"), F.col(by).alias("home"))
-        a = names.select(F.col("team_id").alias("away_id"), F.col(by).alias("away"))
-        found.append(pred.join(h, "home_id").join(a, "away_id").select("game_date", "home", "away", F.struct("predicted_home_prob", "predicted_away_prob", "home_odds", "away_odds", "confidence", *more).alias(f"p{k}")))
-    out = keys
-    for f in found:
-        value = f.columns[-1]
-        out = out.join(f.groupBy("game_date", "home", "away").agg(F.min(value).alias(value)), ["game_date", "home", "away"], "left")
-    out = out.withColumn("p", F.coalesce("p0", "p1"))
+    texts = F.array(*[F.struct(F.lit(k).alias("by"), F.col(c).alias("text")) for k, c in enumerate(("full_name", "abbreviation"))])
+    known = teams.select("team_id", F.explode(texts).alias("t")).select("team_id", "t.*").where("text is not null")
+    named = keys.select("game_date", "home", "away").distinct()
+    named = named.join(known.select(F.col("text").alias("home"), "by", F.col("team_id").alias("home_id")), "home")
+    named = named.join(known.select(F.col("text").alias("away"), "by", F.col("team_id").alias("away_id")), ["away", "by"])
+    stored = pred.select("game_date", "home_id", "away_id", F.struct("predicted_home_prob", "predicted_away_prob", "home_odds", "away_odds", "confidence", *more).alias("p"))
+    found = named.join(stored, ["game_date", "home_id", "away_id"]).groupBy("game_date", "home", "away")
+    found = found.agg(*[F.min(F.when(F.col("by") == k, F.col("p"))).alias(f"p{k}") for k in (0, 1)]).withColumn("p", F.coalesce("p0", "p1"))
+    out = keys.join(found.drop("p0", "p1"), ["game_date", "home", "away"], "left")
     odds = lambda s: F.coalesce(F.col(f"p.{s}_odds"), F.when(F.col(f"p.predicted_{s}_prob") > 0, F.round(1 / F.col(f"p.predicted_{s}_prob"), 2)))
     return out.select(*keys.columns, F.col("p.confidence").alias("confidence"), odds("home").alias("home_odds"), odds("away").alias("away_odds"), *[F.col(f"p.{c}").alias(c) for c in more])

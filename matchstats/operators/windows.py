@@ -47,11 +47,17 @@ def asof_before(left: DataFrame, history: DataFrame, keys: list[str], date: str,
 
 def _before(asked: DataFrame, rows: DataFrame, keys: list[str], frame, name: str) -> DataFrame:
     """(keys, game_date, name) of each asked (keys, game_date): the column `name`, which frame(rows, by) adds, of the last of
-    the rows before the date."""
+    the rows before the date.
+
+    In each key the asked rows of a date stand before its games, so the last value so far is that of the dates before; it is
+    carried in one pass over sorted rows.
+    """
     both = rows.withColumn("_row", F.lit(True)).unionByName(asked.select(*keys, "game_date").withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    both = frame(both.repartition(*keys), [*keys, "_row"]).select(*keys, "game_date", "game_id", "_row", name)
-    out = both.withColumn(name, _last(name, keys, F.col("_row"))).where("not _row")
-    return out.groupBy(*keys, "game_date").agg(F.first(name).alias(name))
+    both = frame(both.repartition(*keys), [*keys, "_row"]).select(*keys, "game_date", "game_id", "_row", F.when(F.col("_row"), F.col(name)).alias(name))
+    w = Window.partitionBy(*keys).orderBy("game_date", "_row", "game_id")
+    again = (F.lag("game_date").over(w) == F.col("game_date")) & ~F.lag("_row").over(w)  # the date has been asked for
+    out = both.withColumns({name: F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_again": F.coalesce(again, F.lit(False))})
+    return out.where("not _row and not _again").select(*keys, "game_date", name)
 
 
 def possessions(prefix: str = "", other: str = "opp_") -> Column:

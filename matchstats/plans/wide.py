@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from matchstats.plans import analysis
 from matchstats.plans.core import SQL, elo_sql, games, history, query
 from matchstats.plans.views import exact, r6, view, with_views
 from matchstats.sources import documents, tables
+from matchstats.sources.folders import shared_folder, written
 
 _BASE = [f"last{n}_{f}" for n in (3, 5, 10) for f in ("win_pct", "ppg", "opp_ppg", "point_diff", "fg_pct", "fg3_pct", "reb", "ast", "tov", "offensive_rating", "defensive_rating", "net_rating", "pace", "three_point_rate", "opp_fg3_pct")]
 
@@ -137,9 +136,32 @@ def radar_values(spark, sf_dir):
     return features.radar_values(forms(spark, sf_dir))
 
 
-@query(with_views(" UNION ALL ".join(f"SELECT game_id, '{c}' AS category, '{label}' AS label, {r6(f'CAST({h} AS DOUBLE)', 'home_value')}, {r6(f'CAST({a} AS DOUBLE)' if a else 'CAST(NULL AS DOUBLE)', 'away_value')} FROM f" for c, label, h, a in features.COMPARED), "games", more=f"f AS ({FORMS})"))
+def _shown_sql(v: str, name: str) -> str:
+    """The text of a compared value, as DuckDB writes it."""
+    has = lambda *parts: any(p in name for p in parts)
+    one = f"printf('%.1f', {v})"
+    if has("_pct", "prob"):
+        text = f"CASE WHEN {v} BETWEEN 0 AND 1 THEN printf('%.1f', {v}*100) || '%' WHEN {v} BETWEEN 0 AND 100 THEN {one} || '%' ELSE {one} END"
+    elif has("rating", "pace"):
+        text = one
+    elif has("elo"):
+        text = f"printf('%.0f', {v})"
+    elif has("back_to_back"):
+        text = f"CASE WHEN {v} = 1 THEN 'Yes' ELSE 'No' END"
+    else:
+        text = one if has("ppg", "reb", "ast", "tov", "point_diff", "streak", "rest_days", "total_games") else f"printf('%.2f', {v})"
+    return f"CASE WHEN {v} IS NULL THEN 'N/A' ELSE {text} END"
+
+
+def _compared_sql(c: str, label: str, h: str, a: str | None) -> str:
+    value = lambda n: f"CAST({n or 'NULL'} AS DOUBLE)"
+    shown = _shown_sql(value(h), h)
+    return f"SELECT game_id, '{c}' AS category, '{label}' AS label, {r6(value(h), 'home_value')}, {r6(value(a), 'away_value')}, {shown} AS home_shown, {_shown_sql(value(a), a) if a else shown} AS away_shown FROM f"
+
+
+@query(with_views(" UNION ALL ".join(_compared_sql(*row) for row in features.COMPARED), "games", more=f"f AS ({FORMS})"))
 def feature_table(spark, sf_dir):
-    return features.feature_table(forms(spark, sf_dir)).drop("home_shown", "away_shown")
+    return features.feature_table(forms(spark, sf_dir))
 
 
 def _factors_sql() -> str:
@@ -148,20 +170,34 @@ def _factors_sql() -> str:
     edge = lambda n, s="": f"({s}({pick('last10_' + n)} - {other('last10_' + n)}))"
     rest = f"({pick('rest_days')} - {other('rest_days')})"
     form = lambda side: f"(0.35::DOUBLE*{side('last3_win_pct')} + 0.35::DOUBLE*{side('last5_win_pct')} + 0.3::DOUBLE*{side('last10_win_pct')})"
+    name = "(CASE WHEN home_pick THEN 'T' || away_team_id ELSE 'T' || home_team_id END)"
+    venue = "(CASE WHEN home_pick THEN home_team_home_win_pct ELSE away_team_road_win_pct END*100)"
+    fixed = lambda e, n: f"printf('%.{n}f', {e})"
+    net = f"({pick('last10_offensive_rating')} - {pick('last10_defensive_rating')})"
     rules = [
-        ("hot_streak", f"{pick('streak')} >= 2", f"{pick('streak')}*10 + {pick('last3_win_pct')}*50"), ("cold_opponent", f"{other('streak')} <= -2", f"abs({other('streak')})*10 + (100 - {other('last3_win_pct')}*100)*0.5::DOUBLE"),
-        ("rest", f"{rest} >= 1", f"CASE WHEN {other('rest_days')} = 0 THEN {rest}*25 + 20 ELSE {rest}*15 + 5 END"), ("offense", f"{edge('offensive_rating')} > 0", f"greatest({edge('offensive_rating')}*8, 5)"),
-        ("defense", f"{edge('defensive_rating', '-')} > 0", f"greatest({edge('defensive_rating', '-')}*8, 5)"), ("three_pt", f"{edge('fg3_pct')} > 0", f"greatest({edge('fg3_pct')}*100*6, 4)"),
-        ("split", "TRUE", "CASE WHEN home_pick THEN greatest((home_team_home_win_pct*100 - 40)*1.5::DOUBLE, 5) ELSE greatest(away_team_road_win_pct*100*1.2::DOUBLE, 5) END"), ("form", "TRUE", f"greatest(abs({form(pick)} - {form(other)})*100*1.2::DOUBLE, 8)"),
-        ("elo", "TRUE", "greatest(abs(home_elo - away_elo)*0.2::DOUBLE, 6)"), ("net_rating", "TRUE", f"greatest(abs({edge('offensive_rating')} - {edge('defensive_rating')})*3, 7)"),
+        ("hot_streak", f"{pick('streak')} >= 2", f"{pick('streak')}*10 + {pick('last3_win_pct')}*50", f"'🔥 ' || {pick('streak')} || 'W streak'"),
+        ("cold_opponent", f"{other('streak')} <= -2", f"abs({other('streak')})*10 + (100 - {other('last3_win_pct')}*100)*0.5::DOUBLE", f"'❄️ ' || {name} || ' ' || abs({other('streak')}) || 'L streak'"),
+        ("rest", f"{rest} >= 1", f"CASE WHEN {other('rest_days')} = 0 THEN {rest}*25 + 20 ELSE {rest}*15 + 5 END", f"CASE WHEN {other('rest_days')} = 0 THEN '😴 ' || {name} || ' on B2B' ELSE '⚡ +' || {rest} || ' days rest' END"),
+        ("offense", f"{edge('offensive_rating')} > 0", f"greatest({edge('offensive_rating')}*8, 5)", f"'🔥 +' || {fixed(edge('offensive_rating'), 1)} || ' OffRtg'"),
+        ("defense", f"{edge('defensive_rating', '-')} > 0", f"greatest({edge('defensive_rating', '-')}*8, 5)", f"'🛡️ +' || {fixed(edge('defensive_rating', '-'), 1)} || ' DefRtg edge'"),
+        ("three_pt", f"{edge('fg3_pct')} > 0", f"greatest({edge('fg3_pct')}*100*6, 4)", f"'🎯 +' || {fixed(edge('fg3_pct') + '*100', 1)} || '% from 3'"),
+        ("home_split", "home_pick", f"greatest(({venue} - 40)*1.5::DOUBLE, 5)", f"'🏠 ' || {fixed(venue, 0)} || '% home W%'"), ("road_split", "NOT home_pick", f"greatest({venue}*1.2::DOUBLE, 5)", f"'✈️ ' || {fixed(venue, 0)} || '% road W%'"),
+        ("form", "TRUE", f"greatest(abs({form(pick)} - {form(other)})*100*1.2::DOUBLE, 8)", f"'📈 L3: ' || {fixed(pick('last3_win_pct') + '*100', 0)} || '%'"),
+        ("elo", "TRUE", "greatest(abs(home_elo - away_elo)*0.2::DOUBLE, 6)", f"'📊 ELO ' || {fixed(pick('elo'), 0)}"),
+        ("net_rating", "TRUE", f"greatest(abs({edge('offensive_rating')} - {edge('defensive_rating')})*3, 7)", f"'⚔️ Net: ' || printf('%+.1f', {net})"),
     ]
-    rows = " UNION ALL ".join(f"SELECT game_id, {i} AS i, '{n}' AS category, round(CAST({e} AS DOUBLE), 6) AS strength FROM f WHERE {c}" for i, (n, c, e) in enumerate(rules))
-    return with_views(f"SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY strength DESC, i) AS rank, category, strength FROM ({rows}) QUALIFY rank <= 5", "games", more=f"f AS ({FORMS})")
+    rows = " UNION ALL ".join(f"SELECT game_id, {i} AS i, '{n}' AS category, round(CAST({e} AS DOUBLE), 6) AS strength, {t} AS summary FROM f WHERE {c}" for i, (n, c, e, t) in enumerate(rules))
+    return with_views(f"SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY strength DESC, i) AS rank, category, strength, summary FROM ({rows}) QUALIFY rank <= 5", "games", more=f"f AS (SELECT f.*, g.home_team_id, g.away_team_id FROM ({FORMS}) f JOIN games g USING (game_id))")
 
 
 @query(_factors_sql())
 def supporting_factors(spark, sf_dir):
-    return picks.supporting_factors(features.weighted_form(forms(spark, sf_dir)))
+    names = games(spark, sf_dir).select("game_id", *[F.concat(F.lit("T"), f"{s}_team_id").alias(f"{s}_team") for s in ("home", "away")])
+    return picks.supporting_factors(features.weighted_form(forms(spark, sf_dir)).join(names, "game_id"))
+
+
+#: Means of shares, which often end in a 5 at the seventh place.
+_LONG = {"home_opponent_win_pct": 9, "away_opponent_win_pct": 9}
 
 
 def _features_sql() -> str:
@@ -194,12 +230,12 @@ def _features_sql() -> str:
     made = {**_MOM, **_W, **_D, **_INTER, **_COUNTED, **{n: f"home_{c} - away_{c}" for n, c in difference.items()}, "pace_mismatch": "CAST(abs(home_last10_pace - away_last10_pace) > 5 AS BIGINT)"}
     whole = {*_COUNTED, *by_game["c"][1], "pace_mismatch", "rest_advantage", "schedule_density_diff", "h2h_total_games", "h2h_last3_home_wins", "away_road_trip_length", "away_long_road_trip"}
     whole |= {f"{s}_{n}" for s in ("home", "away") for n in ("rest_days", "back_to_back", "games_last_7d", "streak")}
-    show = [f"CAST({made.get(n, n)} AS BIGINT) AS {n}" if n in whole else r6(f"CAST({made.get(n, n)} AS DOUBLE)", n) for n in features.FEATURES]
+    show = [f"CAST({made.get(n, n)} AS BIGINT) AS {n}" if n in whole else r6(f"CAST({made.get(n, n)} AS DOUBLE)", n, _LONG.get(n, 6)) for n in features.FEATURES]
     wide = ", ".join(f"b_{a} AS MATERIALIZED {t}" for a, t in tables.items()) + f", f AS MATERIALIZED (SELECT {', '.join(columns)} FROM games g {' '.join(joins)})"
     return with_views(f"SELECT game_id, game_date, pool_id, home_win, {', '.join(show)} FROM f", "games", more=wide)
 
 
-@query(_features_sql())
+@query(_features_sql(), **_LONG)
 def build_features(spark, sf_dir):
     g = games(spark, sf_dir)
     extras = [context.player_features(g, analysis.team_player_stats(spark, sf_dir)), *[f(spark, sf_dir) for f in (analysis.travel_features, analysis.injury_features, analysis.market_features)]]
@@ -215,15 +251,15 @@ def align_features(spark, sf_dir):
 @query(_forms_sql(f"{r6('CASE WHEN game_id%10 = 0 THEN NULL ELSE home_elo END', 'home_elo')}, CASE WHEN game_id%10 = 0 THEN 0 ELSE 2 END AS n"))
 def features_json(spark, sf_dir):
     f = tables.features_to_json(forms(spark, sf_dir), ["home_elo", "away_elo"])
-    m = tables.features_from_json(F.when(F.col("game_id") % 10 == 0, F.when(F.col("game_id") % 20 == 0, "{broken")).otherwise(F.col("features_json")))
-    return f.select("game_id", F.try_element_at(m, F.lit("home_elo")).alias("home_elo"), F.size(m).alias("n"))
+    text = F.when(F.col("game_id") % 10 == 0, F.when(F.col("game_id") % 20 == 0, "{broken")).otherwise(F.col("features_json"))
+    return f.select("game_id", tables.feature_from_json(text, "home_elo").alias("home_elo"), F.size(tables.features_from_json(text)).alias("n"))
 
 
 @query(with_views("SELECT SEASON || '-' || lpad(CAST((CAST(SEASON AS INTEGER) + 1)%100 AS VARCHAR), 2, '0') AS SEASON, count(*) AS n, sum(PTS)::BIGINT AS pts, count(DISTINCT TEAM_ID) AS teams FROM team_logs GROUP BY ALL", "team_logs"))
 def read_team_logs(spark, sf_dir):
-    """All seasons (few), written to a folder each in the warehouse and read by the operator."""
+    """All seasons (few), written to a folder each and read by the operator."""
     logs = view(spark, sf_dir, "team_logs")
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/logs-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "logs")
     logs.withColumn("year", F.col("SEASON")).drop("SEASON").write.partitionBy("year").parquet(path)
     years = sorted(r["SEASON"] for r in logs.select("SEASON").distinct().collect())
     every = tables.read_team_logs(spark, {f"{y}-{(int(y) + 1) % 100:02d}": f"{path}/year={y}" for y in years})
@@ -279,11 +315,11 @@ def flatten_quotes(spark, sf_dir):
 
 @query(with_views(f"SELECT CAST(game_id AS VARCHAR) AS matchup, actual_winner AS pick, {r6('confidence')} FROM predictions", "predictions"))
 def append_log(spark, sf_dir):
-    """Two appends to a log of its own in the warehouse, read back."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/log-{uuid.uuid4().hex}"
+    """Two appends to a log of its own, the second of them repeated, read back."""
+    path = shared_folder(spark, "log")
     p = view(spark, sf_dir, "predictions").select("game_id", F.col("game_id").cast("string").alias("matchup"), F.col("actual_winner").alias("pick"), "confidence")
-    for k in (0, 1):
-        tables.append_log(p.where(F.col("game_id") % 2 == k).drop("game_id"), path)
+    for k in (0, 1, 1):
+        tables.append_log(p.where(F.col("game_id") % 2 == k).drop("game_id"), path, f"run-{k}")
     return tables.read_log(spark, path).select("matchup", "pick", "confidence")
 
 
@@ -352,7 +388,7 @@ def elo_freshness(spark, sf_dir):
 
 def _trained(spark, sf_dir):
     """All features of each game and a stack trained on them, with the operator's folds and learners."""
-    rows = build_features(spark, sf_dir).persist()
+    rows = written(build_features(spark, sf_dir), "features")
     return rows, model.train_stack(features.training_set(rows), features.FEATURES)
 
 

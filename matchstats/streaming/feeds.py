@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchstats.operators.elo import HISTORY, START, delta
@@ -22,46 +22,90 @@ def quota_stream(posts: DataFrame, late: str = "48 hours", limit: int = 17) -> D
     return n.select("account", F.col("window.end").alias("as_of"), "posts_24h", F.greatest(F.lit(0), limit - F.col("posts_24h")).alias("remaining"), age.alias("oldest_hours"))
 
 
-def stream_upsert_games(updates: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """Applies each micro-batch of results to the games that `read` gives and hands the new table to `write` with the
-    batch's number; a batch that is run again gives the same table."""
+def stream_upsert_games(updates: DataFrame, path: str, partition: str = "season") -> DataStreamWriter:
+    """Applies each micro-batch of results to the games stored as Parquet at path, partitioned by a column that updates have
+    too, and writes anew only the partitions that the batch touches.
+
+    A batch that is run again gives the same table.  Batches are logged beside it, at {path}-batches (number, updates).  An
+    update names the partition of its game; games don't change theirs.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        write(upsert_games(read(), batch), number)
+        batch.persist()
+        touched = [r[0] for r in batch.select(partition).distinct().collect()]  # a value for each partition
+        own = F.col(partition).isin([x for x in touched if x is not None])
+        own = own | F.col(partition).isNull() if None in touched else own
+        stored = batch.sparkSession.read.parquet(path).where(own)
+        upsert_games(stored, batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        log = batch.agg(F.lit(number).cast("long").alias("number"), F.count("*").alias("updates"))
+        log.write.mode("overwrite").parquet(f"{path}-batches/batch={number}")
+        batch.unpersist()
 
     return updates.writeStream.foreachBatch(apply)
 
 
-def stream_elo(games: DataFrame) -> DataFrame:
-    """Rating history of a stream of played games, state kept by pool: ratings, the last game, and the ids of all games.
+class _Ratings(StatefulProcessor):
+    """A pool's ratings by team, its last game, and the ids of its games by date, each an entry of its own in the state."""
 
-    Games of a micro-batch are played in (date, id) order; a replayed game is left out.  A new game that is not after the
-    pool's last one can't be rated any more: its two rows come out without ratings, to be counted or rated again in batch.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ratings = handle.getMapState("ratings", "team_id long", "elo double")
+        self.ids = handle.getMapState("ids", "game_date string", "game_ids array<long>")
+        self.last = handle.getValueState("last", "game_date string, game_id long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        date, game = self.last.get() if self.last.exists() else (None, None)
+        ratings: dict[int, float] = {}  # of the teams of this micro-batch
+        ids: dict[str, set[int]] = {}  # of its dates
+
+        def rating(team: int) -> float:
+            if team not in ratings:
+                ratings[team] = self.ratings.getValue((team,))[0] if self.ratings.containsKey((team,)) else START
+            return ratings[team]
+
+        def seen(day: str) -> set[int]:
+            if day not in ids:
+                ids[day] = set(self.ids.getValue((day,))[0]) if self.ids.containsKey((day,)) else set()
+            return ids[day]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        teams, values, date, game, seen = state.get if state.exists else ([], [], None, None, [])
-        ratings, seen = dict(zip(teams, values)), set(seen)
         batch = pd.concat(list(frames)).drop_duplicates("game_id").sort_values(["game_date", "game_id"], kind="stable")
         rows = []
         for g in batch.itertuples(index=False):
             day = str(g.game_date)
-            if g.game_id in seen:
+            if g.game_id in seen(day):
                 continue
-            seen.add(g.game_id)
-            if date is not None and (day, g.game_id) <= (date, game):
-                rows += [(g.pool_id, g.game_id, g.game_date, t, None, None) for t in (g.home_team_id, g.away_team_id)]
-                continue
-            h, a = ratings.get(g.home_team_id, START), ratings.get(g.away_team_id, START)
-            d = delta(h, a, g.home_score - g.away_score)
-            ratings[g.home_team_id], ratings[g.away_team_id] = h + d, a - d
-            rows += [(g.pool_id, g.game_id, g.game_date, g.home_team_id, h, h + d), (g.pool_id, g.game_id, g.game_date, g.away_team_id, a, a - d)]
-            date, game = day, g.game_id
-        state.update((list(ratings), list(ratings.values()), date, game, list(seen)))
+            seen(day).add(int(g.game_id))
+            late = date is not None and (day, g.game_id) <= (date, game)
+            h, a = (None, None) if late else (rating(g.home_team_id), rating(g.away_team_id))
+            d = None if late else delta(h, a, g.home_score - g.away_score)
+            for team, before, gain in ((g.home_team_id, h, d), (g.away_team_id, a, None if late else -d)):
+                rows.append((g.pool_id, g.game_id, g.game_date, team, before, None if late else before + gain))
+                if not late:
+                    ratings[team] = before + gain
+            if not late:
+                date, game = day, int(g.game_id)
+        for team, elo in ratings.items():
+            self.ratings.updateValue((int(team),), (float(elo),))
+        for day, own in ids.items():
+            self.ids.updateValue((day,), (sorted(own),))
+        if date is not None:
+            self.last.update((date, game))
         yield pd.DataFrame(rows, columns=["pool_id", "game_id", "game_date", "team_id", "elo_before", "elo_after"])
 
+
+def stream_elo(games: DataFrame) -> DataFrame:
+    """Rating history of a stream of played games.
+
+    The state is a map of ratings by team and one of game ids by date for each pool; a micro-batch reads and writes only the
+    entries of its own teams and dates.  Games of a micro-batch are played in (date, id) order; a replayed game is left out.  A
+    new game that is not after the pool's last one can't be rated any more: its two rows come out without ratings, to be
+    counted or rated again in batch.  Such state needs the RocksDB store, which is set for the session.
+    """
+    games.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     played = games.where("home_score is not null and away_score is not null").select("pool_id", "game_id", "game_date", "home_team_id", "away_team_id", "home_score", "away_score")
-    return played.groupBy("pool_id").applyInPandasWithState(run, HISTORY, "teams array<long>, ratings array<double>, game_date string, game_id long, seen array<long>", "append", GroupStateTimeout.NoTimeout)
+    return played.groupBy("pool_id").transformWithStateInPandas(statefulProcessor=_Ratings(), outputStructType=HISTORY, outputMode="Append", timeMode="None")
 
 
 def _cache(events: DataFrame, hours: float, late: str, schema: str, show: Callable[[tuple, list, tuple | None], list[tuple]]) -> DataFrame:
@@ -75,18 +119,18 @@ def _cache(events: DataFrame, hours: float, late: str, schema: str, show: Callab
         rows = sorted(((r.at, r.payload is None, r.payload) for f in frames for r in f.itertuples(index=False)), key=lambda r: r[:2])
         answers = []
         for at, is_read, payload in rows:
-            ms = int(at.timestamp() * 1000)
+            us = at.value // 1000
             if is_read:
-                answers.append((at, now[0] if now and now[1] <= ms < now[2] else None))
-            elif now is None or ms >= now[1]:  # a put replaces the one before
-                now = (payload, ms, ms + int(hours * 3_600_000))
+                answers.append((at, now[0] if now and now[1] <= us < now[2] else None))
+            elif now is None or us >= now[1]:  # a put replaces the one before
+                now = (payload, us, us + int(hours * 3_600_000_000))
         if now:
             state.update(now)
-            state.setTimeoutTimestamp(max(now[2], state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(-(-now[2] // 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(show(key, answers, now), columns=[c.split()[0] for c in schema.split(", ")])
 
     rows = events.select("cache", "key", "at", "payload").withWatermark("at", late)
-    return rows.groupBy("cache", "key").applyInPandasWithState(run, schema, "payload string, put_ms long, expires_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("cache", "key").applyInPandasWithState(run, schema, "payload string, put_us long, expires_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_ttl_cache(puts: DataFrame, hours: float = 24, late: str = "1 hour") -> DataFrame:
@@ -96,7 +140,7 @@ def stream_ttl_cache(puts: DataFrame, hours: float = 24, late: str = "1 hour") -
     not.  The state of a key goes once the watermark passes its expiry.
     """
     key = dict(puts.dtypes)["key"]
-    stamp = lambda ms: pd.Timestamp(ms, unit="ms")
+    stamp = lambda us: pd.Timestamp(us, unit="us")
     payload = F.coalesce(F.col("payload").cast("string"), F.lit("")) if "payload" in puts.columns else F.lit("")
     events = puts.select("cache", "key", F.col("cached_at").alias("at"), payload.alias("payload"))
     return _cache(events, hours, late, f"cache string, key {key}, payload string, cached_at timestamp, expires_at timestamp", lambda k, _, now: [(*k, now[0], stamp(now[1]), stamp(now[2]))])

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -177,9 +178,12 @@ def test_tables(spark, tmp_path):
     a.write.parquet(str(tmp_path / "a"))
     a.drop("PTS").write.parquet(str(tmp_path / "b"))
     assert sorted((r["SEASON"], r["PTS"]) for r in tables.read_team_logs(spark, {"x": str(tmp_path / "a"), "y": str(tmp_path / "b")}).fillna(0).collect()) == [("x", 2), ("y", 0)]
-    for _ in range(2):
-        tables.append_log(spark.createDataFrame([("m", 0.5)], "matchup string, confidence double"), str(tmp_path / "log"))
+    for run in ("a", "b", "b"):
+        tables.append_log(spark.createDataFrame([("m", 0.5)], "matchup string, confidence double"), str(tmp_path / "log"), run)
     assert tables.read_log(spark, str(tmp_path / "log")).count() == 2
+    df = spark.createDataFrame([('{"a":1.5,"b":2}',), ("{broken",), (None,), ('{"b":3}',)], "t string")
+    both = df.select(tables.feature_from_json("t", "a").alias("x"), F.try_element_at(tables.features_from_json("t"), F.lit("a")).alias("y")).collect()
+    assert [r["x"] for r in both] == [1.5, None, None, None] == [r["y"] for r in both]
 
 
 def _run(df, mode="append"):
@@ -198,14 +202,7 @@ def test_stream_elo_equals_batch(spark, tmp_path):
     assert got == pytest.approx({(r["game_id"], r["team_id"]): r["elo_after"] for r in elo.elo_history(g).collect()})
 
 
-def test_stream_upsert_cache_quota_settle(spark, tmp_path):
-    g = random_games(spark, 10)
-    u = spark.createDataFrame([(3, 101, 99)], "game_id long, home_score long, away_score long")
-    u.write.parquet(str(tmp_path / "u"))
-    seen = []
-    q = feeds.stream_upsert_games(spark.readStream.schema(u.schema).parquet(str(tmp_path / "u")), lambda: g, lambda df, n: seen.append({r["game_id"]: r["home_score"] for r in df.collect()})).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert seen[-1][3] == 101 and len(seen[-1]) == 10
+def test_stream_cache_quota_settle(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     puts = spark.createDataFrame([("c", 1, t), ("c", 1, t + dt.timedelta(hours=1)), ("c", 2, t)], "cache string, key long, cached_at timestamp")
     puts.write.parquet(str(tmp_path / "c"))
@@ -285,7 +282,7 @@ def test_feature_plan_has_few_shuffles(spark):
         plan = features.form_table(g, elo.elo_history(g))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("Exchange ") <= 12 and plan.count("FlatMapGroupsInPandas") == 1
+    assert plan.count("Exchange ") <= 12 and plan.count("MapInArrow") == 1
 
 
 def test_elo_features_from_current_ratings(spark):
@@ -363,3 +360,88 @@ def test_stream_elo_accounts_for_late_games(spark, tmp_path):
     assert [r["game_id"] for r in got if r["elo_after"] is None] == [late["game_id"]] * 2 and len(got) == 60
     want = {(r["game_id"], r["team_id"]): r["elo_after"] for r in elo.elo_history(g.where(f"game_id <> {late['game_id']}")).collect()}
     assert {(r["game_id"], r["team_id"]): r["elo_after"] for r in got if r["elo_after"] is not None} == pytest.approx(want)
+
+
+def test_stream_elo_continues_after_a_restart(spark, tmp_path):
+    """Three micro-batches, each in a query of its own over the same checkpoint."""
+    g = random_games(spark, 45).select("game_id", "game_date", "pool_id", "home_team_id", "away_team_id", "home_score", "away_score")
+    rows = sorted(g.collect(), key=lambda r: (r["game_date"], r["game_id"]))
+    for i, part in enumerate((rows[:15], rows[10:30], rows[30:] + rows[:2])):
+        spark.createDataFrame(part, g.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        stream = spark.readStream.schema(g.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        q = feeds.stream_elo(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 90
+    assert {(r["game_id"], r["team_id"]): r["elo_after"] for r in got} == pytest.approx({(r["game_id"], r["team_id"]): r["elo_after"] for r in elo.elo_history(g).collect()})
+
+
+def test_stream_upserts_rewrite_touched_partitions(spark, tmp_path):
+    g = random_games(spark, 12).withColumn("season", F.col("game_id") % 3)
+    path = str(tmp_path / "games")
+    g.write.partitionBy("season").parquet(path)
+    before = {f for f in os.listdir(f"{path}/season=2")}
+    updates = [(3, 101, 99, 0), (4, 88, 87, 1), (100, 70, 60, 0), (3, 102, 99, 0), (7, None, 9, 1)]
+    for i, u in enumerate(updates):
+        spark.createDataFrame([u], "game_id long, home_score long, away_score long, season long").coalesce(1).write.parquet(str(tmp_path / f"u/{i}"))
+    stream = spark.readStream.schema("game_id long, home_score long, away_score long, season long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "u"))
+    q = feeds.stream_upsert_games(stream, path).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["game_id"]: (r["home_score"], r["away_score"]) for r in spark.read.parquet(path).collect()}
+    want = {r["game_id"]: (r["home_score"], r["away_score"]) for r in g.collect()} | {3: (102, 99), 4: (88, 87), 100: (70, 60)}
+    assert got == want and set(os.listdir(f"{path}/season=2")) == before
+    assert spark.read.parquet(f"{path}-batches").agg(F.sum("updates")).first()[0] == 5
+
+
+def test_elo_history_streams_through_batches(spark):
+    """Pools of several Arrow batches, from stored ratings on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        g = random_games(spark, 90).withColumn("pool_id", F.col("home_team_id") % 1)
+        first, second = g.where("game_date < date '2024-01-12'"), g.where("game_date >= date '2024-01-12'")
+        whole = {(r["game_id"], r["team_id"]): r["elo_after"] for r in elo.elo_history(g).collect()}
+        old = elo.elo_history(first)
+        rest = elo.elo_history(second, elo.current_elo(old))
+        assert {(r["game_id"], r["team_id"]): r["elo_after"] for r in old.unionByName(rest).collect()} == pytest.approx(whole)
+        assert 0 < rest.count() < 180
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_names_with_a_common_beginning_do_not_all_meet(spark):
+    cities = [f"city {a}{b}{c} club" for a in "bcdfgh" for b in "aeiou" for c in "klmnrs"]
+    teams = spark.createDataFrame([(i, n, f"T{i}") for i, n in enumerate(cities)], "team_id long, full_name string, abbreviation string")
+    asked = spark.createDataFrame([(n[:8],) for n in cities] + [(n + " 1901",) for n in cities], "name string")
+    met = names.meetings(asked, "name", teams, "full_name").count()
+    assert met < len(cities) * 2 * len(cities) / 10
+    got = {r["name"]: r["full_name"] for r in names.resolve_names(asked, "name", teams).collect()}
+    assert got == {**{n[:8]: n for n in cities}, **{n + " 1901": n for n in cities}}
+
+
+def test_row_numbers_have_no_window_over_all_rows(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i % 3) for i in range(101)], "a long, b long").repartition(5)
+    out = features.row_numbers(df, ["b", "a"])
+    rows = sorted((r["b"], r["a"], r["row_index"]) for r in out.collect())
+    assert [r[2] for r in rows] == list(range(101))
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_regression_weighs_the_penalty_against_the_sum_of_losses(spark):
+    """The fitted coefficients minimise half their squares plus PENALTY times the weighted sum of losses."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(300, 3))
+    y, w = (x @ [1.0, -0.5, 0.2] + r.normal(size=300) > 0).astype(float), r.uniform(0.5, 1.5, 300)
+    df = spark.createDataFrame([(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x, y, w)], ["_x", "home_win", "sample_weight"])
+    fit = model.penalised(model.base_learners()["logistic"], float(w.sum())).fit(df)
+    b, c = np.zeros(3), 0.0
+    for _ in range(50):  # Newton's method
+        p = 1 / (1 + np.exp(-(x @ b + c)))
+        one = np.column_stack([x, np.ones(300)])
+        g = model.PENALTY * one.T @ (w * (p - y)) + np.append(b, 0)
+        h = model.PENALTY * (one * (w * p * (1 - p))[:, None]).T @ one + np.diag([1, 1, 1, 0])
+        step = np.linalg.solve(h, g)
+        b, c = b - step[:3], c - step[3]
+    assert fit.coefficients.toArray() == pytest.approx(b, abs=1e-4) and fit.intercept == pytest.approx(c, abs=1e-4)

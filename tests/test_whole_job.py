@@ -16,11 +16,10 @@ def test_model_queries_train_the_whole_stack(spark, monkeypatch):
     rows, _ = wide._trained(spark, SF)
     columns, names, more = asked[0]
     assert names == features.FEATURES and more == {} and set(names) <= set(columns) and {"train_stack", "score_games"} <= set(registry.QUERIES)
-    rows.unpersist()
     defaults = inspect.signature(TRAIN).parameters
     assert defaults["n_splits"].default == 5 and defaults["meta_steps"].default == 500
     own = model.base_learners()
-    assert [(own[n].getMaxIter(), own[n].getMaxDepth()) for n in ("boosted", "boosted_shallow")] == [(200, 5)] * 2
+    assert [(own[n].getMaxIter(), own[n].getMaxDepth()) for n in ("boosted", "boosted_second")] == [(200, 5)] * 2
     assert (own["forest"].getNumTrees(), own["forest"].getMaxDepth(), own["logistic"].getMaxIter()) == (200, 10, 1000)
 
 
