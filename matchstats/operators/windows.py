@@ -81,13 +81,36 @@ BOXED = "fga is not null and pts is not null"
 SPLIT = {"win_pct": "win", "ppg": "pts", "point_diff": "pts - opp_pts", "fg_pct": "fg_pct"}
 
 
-def _with_form(df: DataFrame, by: list[str], ns: tuple[int, ...]) -> DataFrame:
-    """Adds _form: the means of _FORM over the last n rows, for each n."""
+def _totals(terms: list[str], by: list[str]) -> Column:
+    """The sums and counts of some terms over all rows so far, as a struct: those of the last n rows are the difference to the
+    totals n rows before, so no row is summed twice, however many n there are."""
+    so_far = _order(by).rowsBetween(Window.unboundedPreceding, 0)
+    each = lambda i, e: (F.sum(F.expr(e).cast("double")).over(so_far).alias(f"s{i}"), F.count(F.expr(e)).over(so_far).alias(f"c{i}"))
+    return F.struct(*[c for i, e in enumerate(terms) for c in each(i, e)])
+
+
+def _mean_since(i: int, now: str, before: str) -> Column:
+    """The mean of term i between two totals; null without any."""
+    part = lambda k, x: F.coalesce(F.col(f"{x}.{k}{i}"), F.lit(0))
+    n = part("c", now) - part("c", before)
+    return F.when(n > 0, (part("s", now) - part("s", before)) / n)
+
+
+def _with_means(df: DataFrame, by: list[str], ns: tuple[int, ...], means: dict, name: str) -> DataFrame:
+    """Adds the struct `name` of the means (or quotients of two) of the last n rows, for each n, as last{n}_..."""
+    terms = list(dict.fromkeys(e for m in means.values() for e in ([m] if isinstance(m, str) else m)))
+    at = {e: i for i, e in enumerate(terms)}
+    df = df.withColumn("_now", _totals(terms, by)).withColumns({f"_ago{n}": F.lag("_now", n).over(_order(by)) for n in ns})
     columns = []
     for n in ns:
-        mean = lambda e: F.avg(F.expr(e)).over(_order(by).rowsBetween(-(n - 1), 0))  # noqa: B023, E731
-        columns += [(mean(e) if isinstance(e, str) else mean(e[0]) / mean(e[1])).alias(f"last{n}_{name}") for name, e in _FORM.items()]
-    return df.withColumn("_poss", possessions()).withColumn("_form", F.struct(*columns)).drop("_poss")
+        mean = lambda e: _mean_since(at[e], "_now", f"_ago{n}")  # noqa: B023, E731
+        columns += [(mean(m) if isinstance(m, str) else mean(m[0]) / mean(m[1])).alias(f"last{n}_{c}") for c, m in means.items()]
+    return df.withColumn(name, F.struct(*columns)).drop("_now", *[f"_ago{n}" for n in ns])
+
+
+def _with_form(df: DataFrame, by: list[str], ns: tuple[int, ...]) -> DataFrame:
+    """Adds _form: the means of _FORM over the last n rows, for each n."""
+    return _with_means(df.withColumn("_poss", possessions()), by, ns, _FORM, "_form").drop("_poss")
 
 
 def _form_columns(ns: tuple[int, ...]) -> dict[str, Column]:
@@ -104,8 +127,8 @@ def recent_form(t: DataFrame, ns: tuple[int, ...] = (3, 5, 10), dates: DataFrame
 
 
 def _with_split(df: DataFrame, by: list[str], n: int) -> DataFrame:
-    w = _order(by).rowsBetween(-(n - 1), 0)
-    return df.withColumn("_split", F.struct(*[F.avg(F.expr(e)).over(w).alias(c) for c, e in SPLIT.items()]))
+    df = _with_means(df, by, (n,), SPLIT, "_split")
+    return df.withColumn("_split", F.struct(*[F.col(f"_split.last{n}_{c}").alias(c) for c in SPLIT]))
 
 
 def _split_columns() -> dict[str, Column]:

@@ -75,6 +75,15 @@ def quota_stream(spark, sf_dir):
     return drained(feeds.quota_stream(streamed(posts, "stream-posts", "posted_at")), "stream-quota").withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
 
 
+@query(with_views("SELECT p.account, p.posted_at AS as_of, count(*) AS posts_24h, greatest(0, 17 - count(*)) AS remaining, " + r6("(floor(epoch(p.posted_at)) - floor(epoch(min(q.posted_at))))/3600", "oldest_hours")
+    + " FROM (SELECT DISTINCT account, posted_at FROM posts WHERE account IS NOT NULL) p JOIN posts q ON p.account = q.account AND q.posted_at <= p.posted_at AND q.posted_at >= p.posted_at - INTERVAL 24 HOUR GROUP BY p.account, p.posted_at", "posts"))
+def quota_changes(spark, sf_dir):
+    """The quota at every post; the rows of posts that grow old are in pytest."""
+    posts = view(spark, sf_dir, "posts").withColumn("posted_at", F.col("posted_at").cast("timestamp"))
+    rows = drained(feeds.quota_changes(streamed(posts, "stream-posts", "posted_at")), "stream-changes").where("at_post")
+    return rows.select("account", F.col("as_of").cast("timestamp_ntz").alias("as_of"), "posts_24h", "remaining", "oldest_hours")
+
+
 @query(with_views("SELECT p.game_id, g.home_score FROM predictions p JOIN games g ON g.game_id = p.game_id AND CAST(g.game_date AS TIMESTAMP) + INTERVAL 1 DAY BETWEEN p.prediction_date AND p.prediction_date + INTERVAL 30 DAY", "predictions"))
 def stream_settle(spark, sf_dir):
     """The settled predictions; pending ones come out as the watermark passes."""

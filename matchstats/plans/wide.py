@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from matchstats.operators import context, elo, features, model, picks
@@ -386,6 +389,12 @@ def elo_freshness(spark, sf_dir):
     return context.elo_freshness(elo.current_elo(history(spark, sf_dir)), games(spark, sf_dir), _AS_OF, 30)
 
 
+@lru_cache(maxsize=2)
+def _stack(session: str, sf_dir: str):
+    """The stack of a session's tables: both model queries ask for the same one, which is trained once."""
+    return _trained(SparkSession.active(), sf_dir)
+
+
 def _trained(spark, sf_dir):
     """All features of each game and a stack trained on them, with the operator's folds and learners."""
     rows = written(build_features(spark, sf_dir), "features")
@@ -395,12 +404,12 @@ def _trained(spark, sf_dir):
 @query()
 def train_stack(spark, sf_dir):
     """The out-of-fold accuracy, the temperature and the strongest factors of a trained stack."""
-    _, m = _trained(spark, sf_dir)
+    _, m = _stack(spark.sparkContext.applicationId, sf_dir)
     rows = [(n, float(s), d, float(m.fold_accuracy), float(m.temperature)) for n, s, d in model.top_factors(m)]
     return spark.createDataFrame(rows, "feature string, share double, direction string, fold_accuracy double, temperature double")
 
 
 @query()
 def score_games(spark, sf_dir):
-    rows, m = _trained(spark, sf_dir)
+    rows, m = _stack(spark.sparkContext.applicationId, sf_dir)
     return model.score(m, rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from matchstats.operators.elo import HISTORY, START, delta
 from matchstats.operators.upserts import upsert_games
 
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Microseconds of a day.
+_DAY = 86_400_000_000
+
 
 def quota_stream(posts: DataFrame, late: str = "48 hours", limit: int = 17) -> DataFrame:
     """Posts of each account in sliding windows of 24 hours every hour, how many remain, and the hours since the oldest of
@@ -22,6 +27,61 @@ def quota_stream(posts: DataFrame, late: str = "48 hours", limit: int = 17) -> D
     return n.select("account", F.col("window.end").alias("as_of"), "posts_24h", F.greatest(F.lit(0), limit - F.col("posts_24h")).alias("remaining"), age.alias("oldest_hours"))
 
 
+class _Quota(StatefulProcessor):
+    """An account's posts of the 24 hours before the watermark and those after it, as one list of microseconds, with a timer
+    for each post's 24 hours."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.posts = handle, handle.getValueState("posts", "at array<long>")
+
+    def close(self) -> None:
+        pass
+
+    def rows(self, key: tuple, times: list[int], posts: list[int], posted: bool) -> pd.DataFrame:
+        """The quota at some times, of which `posts` (sorted) has all earlier posts of a day."""
+        out = []
+        for t in times:
+            first, end = bisect_left(posts, t - _DAY), bisect_right(posts, t)
+            oldest = (t // 1_000_000 - posts[first] // 1_000_000) / 3600 if end > first else None
+            out.append((*key, pd.Timestamp(t, unit="us"), posted, end - first, max(0, self.limit - end + first), oldest))
+        frame = pd.DataFrame(out, columns=["account", "as_of", "at_post", "posts_24h", "remaining", "oldest_hours"])
+        return frame.astype({"oldest_hours": "float64"})
+
+    def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [t.value // 1000 for f in frames for t in f["posted_at"]]
+        posts = sorted([*(self.posts.get()[0] if self.posts.exists() else []), *new])
+        for t in set(new):
+            self.handle.registerTimer((t + _DAY) // 1000 + 1)
+        self.posts.update((posts,))
+        yield self.rows(key, sorted(set(new)), posts, True)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, posts = expiredTimerInfo.getExpiryTimeInMs() * 1000, list(self.posts.get()[0]) if self.posts.exists() else []
+        recent = posts[bisect_left(posts, now - _DAY) :]  # no later post can look further back
+        if recent:
+            self.posts.update((recent,))
+        else:
+            self.posts.clear()
+        yield self.rows(key, [now], recent, False)
+
+
+def quota_changes(posts: DataFrame, late: str = "48 hours", limit: int = 17) -> DataFrame:
+    """The rolling quota of each account wherever it changes: at each moment with posts (at_post), and once a post has become
+    more than 24 hours old: account, as_of, at_post, posts_24h, remaining, oldest_hours.
+
+    A post counts for 24 hours, the last moment included.  The state is the posts of 24 hours
+    before the watermark; a post that comes after later ones doesn't change their rows.  It needs the RocksDB store, which is set for the session.
+    """
+    posts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    kind = dict(posts.dtypes)["account"]
+    schema = f"account {kind}, as_of timestamp, at_post boolean, posts_24h long, remaining long, oldest_hours double"
+    rows = posts.select("account", "posted_at").where("account is not null and posted_at is not null").withWatermark("posted_at", late)
+    return rows.groupBy("account").transformWithStateInPandas(statefulProcessor=_Quota(limit), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
 def stream_upsert_games(updates: DataFrame, path: str, partition: str = "season") -> DataStreamWriter:
     """Applies each micro-batch of results to the games stored as Parquet at path, partitioned by a column that updates have
     too, and writes anew only the partitions that the batch touches.
@@ -55,7 +115,7 @@ class _Ratings(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         date, game = self.last.get() if self.last.exists() else (None, None)
         ratings: dict[int, float] = {}  # of the teams of this micro-batch
         ids: dict[str, set[int]] = {}  # of its dates
@@ -103,7 +163,7 @@ def stream_elo(games: DataFrame) -> DataFrame:
     new game that is not after the pool's last one can't be rated any more: its two rows come out without ratings, to be
     counted or rated again in batch.  Such state needs the RocksDB store, which is set for the session.
     """
-    games.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    games.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     played = games.where("home_score is not null and away_score is not null").select("pool_id", "game_id", "game_date", "home_team_id", "away_team_id", "home_score", "away_score")
     return played.groupBy("pool_id").transformWithStateInPandas(statefulProcessor=_Ratings(), outputStructType=HISTORY, outputMode="Append", timeMode="None")
 

@@ -445,3 +445,44 @@ def test_regression_weighs_the_penalty_against_the_sum_of_losses(spark):
         step = np.linalg.solve(h, g)
         b, c = b - step[:3], c - step[3]
     assert fit.coefficients.toArray() == pytest.approx(b, abs=1e-4) and fit.intercept == pytest.approx(c, abs=1e-4)
+
+
+def test_stack_trains_as_a_plain_loop_does(spark):
+    """Folds, weights and accuracy of fits side by side against one fit after another."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    r = random.Random(4)
+    rows = [(i, DAY + dt.timedelta(i // 2), r.random() * 4 - 2, r.random(), 0.5 + r.random()) for i in range(240)]
+    df = spark.createDataFrame([(i, d, int(a + r.gauss(0, 1) > 0), w, a, b) for i, d, a, b, w in rows], "game_id long, game_date date, home_win int, sample_weight double, a double, b double")
+    learners = {n: model.base_learners(steps=k)["logistic"] for n, k in (("first", 100), ("second", 2))}
+    for n, learner in learners.items():
+        learner.setProbabilityCol(f"_p_{n}").setRawPredictionCol(f"_r_{n}").setPredictionCol(f"_y_{n}")
+    stack = model.train_stack(df, ["a", "b"], 3, 5, learners, meta_steps=5)
+    folds, accuracy = features.time_folds(df, 3, 5), []
+    for k in range(3):
+        train, test = (df.join(folds.where((F.col("fold") == k) & (F.col("part") == p)).select("game_id"), "game_id") for p in ("train", "test"))
+        weight = train.agg(F.sum("sample_weight")).first()[0]
+        fit = Pipeline(stages=[*model.feature_pipeline(["a", "b"]), *(model.penalised(x, weight) for x in learners.values())]).fit(train)
+        out = fit.transform(test).select("home_win", ((vector_to_array("_p_first")[1] + vector_to_array("_p_second")[1]) / 2).alias("p")).collect()
+        accuracy.append(sum((x["p"] > 0.5) == x["home_win"] for x in out) / len(out))
+    assert stack.fold_accuracy == pytest.approx(sum(accuracy) / 3) and stack.fold_accuracy > 0.7
+    assert 0.1 <= stack.temperature <= 10 and len(stack.base.stages) == 4
+
+
+def test_quota_changes_at_posts_and_when_they_grow_old(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    hours = [0, 1, 1, 5, 24, 26, 30, 100, 200]
+    for i, part in enumerate((hours[:4], hours[4:7], hours[7:8], hours[8:])):
+        spark.createDataFrame([("a", t + dt.timedelta(hours=h)) for h in part], "account string, posted_at timestamp").coalesce(1).write.parquet(str(tmp_path / f"{i}"))
+    stream = spark.readStream.schema("account string, posted_at timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = _run(feeds.quota_changes(stream, "1 hour", 3)).collect()
+    hour = lambda r: (r["as_of"] - t).total_seconds() / 3600
+    at_posts = {hour(r): (r["posts_24h"], r["remaining"], r["oldest_hours"]) for r in got if r["at_post"]}
+    want = {}
+    for h in set(hours):
+        near = [x for x in hours if h - 24 <= x <= h]
+        want[float(h)] = (len(near), max(0, 3 - len(near)), float(h - min(near)))
+    assert at_posts == want
+    aged = {round(hour(r) - 24): r["posts_24h"] for r in got if not r["at_post"]}
+    assert aged == {h: sum(h + 24 + 1e-9 >= x > h for x in hours) for h in (0, 1, 5, 24, 26, 30, 100)}
