@@ -94,6 +94,14 @@ class Wanted:
             out |= (high >= a) & (low <= b)
         return out
 
+    def narrow(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Raises the lower ends by bounds alone: k candidates that are sure to lie in a range, with scores of at least the
+        k-th highest of their lower bounds."""
+        for i, (a, b) in enumerate(zip(self.low, self.high)):
+            sure = low[(low >= a) & (high <= b)]
+            if len(sure) >= self.k:
+                self.low[i] = max(a, math.floor(np.partition(sure, len(sure) - self.k)[len(sure) - self.k]))
+
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
         for i, (a, b) in enumerate(zip(self.low, self.high)):
             keep = (score >= a) & (score <= b)
@@ -121,16 +129,17 @@ def search(vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, anchors: np
             for step, i in enumerate(order):
                 row, up = block[i], parent[i]
                 if up == i:
-                    score = part @ a[row]
-                    low = high = score.astype(np.float64)
+                    score = (part @ a[row]).astype(np.float64)
                     slack = part_norm * (own[row] * 1e-12) + 1
-                    bounds[i] = low - slack, high + slack
+                    bounds[i] = score - slack, score + slack
                     scored += len(part)
                 else:
                     slack = part_norm * (edge[i] * (1 + 1e-9) + own[row] * 1e-12) + 1
                     bounds[i] = bounds[up][0] - slack, bounds[up][1] + slack
-                side = (part_labels == anchor_labels[row]) if same else (part_labels != anchor_labels[row])
-                need = np.flatnonzero(side & wanted[row].overlaps(*bounds[i]))
+                side = np.flatnonzero((part_labels == anchor_labels[row]) if same else (part_labels != anchor_labels[row]))
+                low, high = bounds[i][0][side], bounds[i][1][side]
+                wanted[row].narrow(low, high)
+                need = side[wanted[row].overlaps(low, high)]
                 if len(need):
                     score = part[need] @ a[row]
                     scored += len(need)
