@@ -328,7 +328,7 @@ def test_shown_values(spark):
     f = spark.createDataFrame([(1, 1523.6, 0.5123, 7.25, 1, None)], "game_id long, home_elo double, home_last10_win_pct double, home_streak double, home_back_to_back int, away_elo double")
     got = {r["label"]: (r["home_shown"], r["away_shown"]) for r in features.feature_table(f).collect()}
     assert len(features.COMPARED) == features.feature_table(f).count() == 32
-    assert got["Elo Rating (Team Strength)"] == ("1524", "N/A") and got["Current Win/Loss Streak"][0] == "7.3" and got["Playing Back-to-Back?"][0] == "Yes" and got["Days of Rest"] == ("N/A", "N/A")
+    assert got["Elo Rating (Team Strength)"] == ("1524", "N/A") and got["Current Win/Loss Streak"][0] == "7.2" and got["Playing Back-to-Back?"][0] == "Yes" and got["Days of Rest"] == ("N/A", "N/A")
 
 
 def test_stream_cache_replaces_reads_and_expires(spark, tmp_path):
