@@ -442,7 +442,7 @@ def test_shared_folder_and_clearing(spark, monkeypatch, tmp_path):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_toxicity_and_encoding_equal_their_operators(spark):
