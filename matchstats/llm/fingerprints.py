@@ -89,18 +89,19 @@ def with_next(docs: DataFrame, columns: dict[str, str], computed: dict[str, Colu
 
     Rows are put into quantile buckets of doc_id and each bucket's first row is copied to the bucket before it, so every
     bucket is a window of its own and the rows are shuffled once; `computed` columns are added behind that shuffle.  Equal
-    doc_ids are ordered by a hash of the text, null doc_ids come last.  doc_id must be a whole number.
+    doc_ids are ordered by a hash of the text, null doc_ids come last; many rows without a doc_id, or of one, have several
+    buckets, cut by that hash (rows that agree in the text too share one).  doc_id must be a whole number.
     """
-    bucket, n = ordered_buckets(docs, "doc_id", ROWS_EACH)
+    bucket, n = ordered_buckets(docs, "doc_id", ROWS_EACH, F.xxhash64("text"))
     _tie, _bucket, _b, _d, _t, _to, _guest = free(docs, "_tie", "_bucket", "_b", "_d", "_t", "_to", "_guest")
-    own = docs.withColumn(_tie, F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn(_bucket, bucket)
+    own = docs.withColumn(_tie, F.xxhash64("text")).withColumn(_bucket, bucket)
     # The first row of a bucket, as (doc_id, tie): some numbers for each bucket.
     firsts = own.groupBy(_bucket).agg(F.max(F.struct(F.col("doc_id").alias("d"), F.col(_tie).alias("t"))).alias("f"))
     order = Window.orderBy(F.col(_bucket).desc())
     to = F.coalesce(F.lag(_bucket).over(order), F.min(_bucket).over(Window.partitionBy()))
     firsts = table(firsts.select(F.col(_bucket).alias(_b), F.col("f.d").alias(_d), F.col("f.t").alias(_t), to.alias(_to)), "firsts")
     same = (own[_bucket] == firsts[_b]) & own["doc_id"].eqNullSafe(firsts[_d]) & (own[_tie] == firsts[_t])
-    # firsts has at most 100,000 rows of four numbers, whatever the input.
+    # firsts has some 100,000 rows of four numbers at most, whatever the input.
     guests = own.join(F.broadcast(firsts), same).select(*[c for c in own.columns if c != _bucket], F.col(_to).alias(_bucket)).dropDuplicates([_bucket])
     rows = own.withColumn(_guest, F.lit(False)).unionByName(guests.withColumn(_guest, F.lit(True)))
     rows = rows.repartition(_bucket).withColumns(computed)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -203,29 +205,39 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def ordered_buckets(df: DataFrame, key: str, rows_each: int, most: int = 100_000) -> tuple[Column, int]:
-    """An expression that numbers key's quantile ranges in ascending order (nulls in the first), and how many there are.
+def ordered_buckets(df: DataFrame, key: str, rows_each: int, tie: Column, most: int = 100_000) -> tuple[Column, int]:
+    """An expression that numbers ranges of (key, tie) in ascending order of key (nulls first), and how many there are.
 
-    The borders come from percentile_approx over all rows: some thousand numbers at most on the driver, never rows.
-    They are held in two levels, so that a row is compared with about 2 * sqrt(number) of them.  The key must be a column
-    of whole numbers.
+    The borders are quantiles of the key (percentile_approx over all rows: some thousand numbers at most on the driver,
+    never rows).  A key that is the border of several quantiles, and null, get that many ranges of their own, cut by the
+    tie, a 64-bit hash, so a hot key fills no range above the others.  Rows that agree in key and tie stay together.  The
+    borders are held in two levels, so that a row is compared with about 2 * sqrt(number) of them; beyond `most` quantiles
+    ranges hold more rows.  The key must be a column of whole numbers.
     """
     if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{key} must be a column of whole numbers, not {dict(df.dtypes)[key]}")
-    n = df.count()
-    parts = max(1, min(most, n // rows_each))
-    if parts == 1:
+    n, known = df.agg(F.count("*"), F.count(key)).first()
+    per = max(rows_each, n / most)
+    parts, null_parts = max(1, int(known / per)), max(1, int((n - known) / per))
+    if parts == null_parts == 1:
         return F.lit(0), 1
-    shares = [i / parts for i in range(1, parts)]
-    found = df.select(F.percentile_approx(key, shares, max(10_000, 4 * parts)).alias("q")).first()["q"] or []
-    borders = sorted(set(found))
-    width = max(1, int(len(borders) ** 0.5))
-    groups = [borders[i : i + width] for i in range(0, len(borders), width)]
-    col, num = F.col(key), lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
-    coarse = F.size(F.filter(num([g[0] for g in groups]), lambda b: b <= col))
-    fine = F.size(F.filter(F.element_at(F.array(*[num(g) for g in groups]), coarse), lambda b: b <= col))
-    number = F.when(col.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * width + fine)
-    return number.cast("int"), len(borders) + 1
+    found = []
+    if parts > 1:
+        found = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("q")).first()["q"]
+    start, cells = null_parts, []  # number of the range that starts at border b, and how many ranges are b's alone
+    for b, same in ((b, len([*group])) for b, group in groupby(sorted(found))):
+        start += 1
+        cells.append({"b": b, "own": same if same > 1 else 0, "start": start})
+        start += cells[-1]["own"]
+    width = max(1, int(len(cells) ** 0.5))
+    groups = [cells[i : i + width] for i in range(0, len(cells), width)]
+    col, kind = F.col(key), "array<struct<b: bigint, own: int, start: int>>"
+    cut = lambda k: F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * k), k - 1)
+    last = lambda xs: F.get(xs, F.size(F.filter(xs, lambda x: x["b"] <= col)) - 1)
+    coarse = F.size(F.filter(F.from_json(F.lit(json.dumps([g[0] for g in groups])), kind), lambda x: x["b"] <= col))
+    cell = last(F.get(F.from_json(F.lit(json.dumps(groups)), f"array<{kind}>"), coarse - 1))
+    placed = F.when(cell["own"].isNull(), null_parts).when((cell["own"] > 0) & (cell["b"] == col), cell["start"] + cut(cell["own"])).otherwise(cell["start"] + cell["own"])
+    return F.when(col.isNull(), cut(F.lit(null_parts))).otherwise(placed).cast("int"), start + 1
 
 
 def components(edges: DataFrame) -> DataFrame:

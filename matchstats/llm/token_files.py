@@ -23,6 +23,8 @@ HEADER = struct.Struct("<4sHHQQQ")  # magic, bits, zero, documents, ids, blocks
 BLOCK = 4096
 #: Documents of a file, about.
 ROWS_EACH = 2000
+#: Ids of a file at most (or one longer document).
+FILE_IDS = 8_000_000
 #: Characters of text of a task's step (or one longer text).
 STEP_CHARS = 2_000_000
 #: Cached pieces of text of a worker, and their ids.
@@ -302,13 +304,16 @@ def encoder_of(path: str) -> Encoder:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, rows_each: int = ROWS_EACH) -> DataFrame:
     """Encodes every whole text (null: empty), ends each with end_id, and writes the ids in ascending doc_id order.
 
-    Returns a row per file: bucket (ascending), path, documents, ids.  Files hold quantile ranges of doc_id (null first;
-    repeated rows side by side, in the order of their ids), so only ids packed into bytes are shuffled, never texts,
-    and no file depends on another.  Retried tasks write other names; only those in the returned table count.
+    Returns a row per file: bucket and part (ascending), path, documents, ids.  A bucket is a range of doc_id (null first);
+    repeated doc_ids stand side by side, in the order of their ids within a bucket, and where they fill several buckets,
+    these are cut by a hash of text and input partition, so even many copies of one row are spread.  A file is closed at
+    FILE_IDS ids, and the bucket goes on with the next part.  Only ids packed into bytes are shuffled, never texts, and no
+    file depends on another.  Retried tasks write other names; only those in the returned table count.  Only doc_id (a
+    whole number) and text are read, texts of any length; an empty table gives no files.
     """
     spark = docs.sparkSession
     bits = bits_for(max(vocabulary_size(tokenizer), (end_id or 0) + 1))
-    bucket, n = ordered_buckets(docs, "doc_id", rows_each)
+    bucket, n = ordered_buckets(docs, "doc_id", rows_each, F.xxhash64("text", F.spark_partition_id()))
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def encode(batches):
@@ -329,20 +334,20 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, r
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root)
-        now, doc_ids, ids = None, [], []
+        now, part, held, doc_ids, ids = None, 0, 0, [], []
 
         def close():
-            path = f"{folder}/{now:08d}-{uuid.uuid4().hex}.tok"
+            path = f"{folder}/{now:08d}-{part:06d}-{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(f"{root}/{path.rpartition('/')[2]}") as out:
                 docs_, ids_ = TokenFile.write(out, doc_ids, ids, bits)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()), "path": [path], "documents": [docs_], "ids": [ids_]})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()), "part": pa.array([part], pa.int32()), "path": [path], "documents": [docs_], "ids": [ids_]})
 
         for batch in batches:
             for b, d, packed, count in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "packed", "n"))):
-                if b != now and doc_ids:
+                if doc_ids and (b != now or held + count > FILE_IDS):
                     yield close()
-                    doc_ids, ids = [], []
-                now = b
+                    part, held, doc_ids, ids = part + 1 if b == now else 0, 0, [], []
+                now, held = b, held + count
                 doc_ids.append(d)
                 ids.append(unpack(packed, count, bits))
         if doc_ids:
@@ -351,7 +356,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, r
     kind = dict(docs.dtypes)["doc_id"]
     encoded = docs.select(bucket.alias("bucket"), "doc_id", "text").mapInArrow(encode, f"bucket int, doc_id {kind}, packed binary, n long")
     placed = encoded.repartition(min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
-    return table(placed.mapInArrow(write, "bucket int, path string, documents long, ids long"), "token-manifest")
+    return table(placed.mapInArrow(write, "bucket int, part int, path string, documents long, ids long"), "token-manifest")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -359,7 +364,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     A file's first start is a running sum over the few rows of the manifest; a task reads one file at a time.
     """
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def run(batches):
         for batch in batches:

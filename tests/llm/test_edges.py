@@ -4,6 +4,7 @@ import io
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -132,6 +133,61 @@ def test_ordered_keys_must_be_whole_numbers(spark):
                 run(df)
 
 
+@pytest.fixture
+def hot_ids(spark):
+    """Half of the rows have no doc_id, a quarter share one, the others have their own."""
+    r = random.Random(46)
+    rows = [(None if i % 2 else 700 if i % 4 else i, words(r, r.randrange(12), size=50) if i % 11 else None) for i in range(2400)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+
+
+def test_hot_ids_fill_several_buckets(spark, hot_ids):
+    rows, df = hot_ids
+    for n, tie in ((40, F.xxhash64("text", "doc_id")), (40, F.xxhash64("text", F.spark_partition_id())), (7, F.xxhash64("text", F.spark_partition_id()))):
+        bucket, most = shared.ordered_buckets(df, "doc_id", len(rows) // n, tie)
+        got = df.select(bucket.alias("b"), "doc_id").collect()
+        sizes = {}
+        for b, d in got:
+            sizes.setdefault(b, []).append((d is not None, d or 0))
+        assert 0 <= min(sizes) and max(sizes) < most <= 2 * n + 2
+        assert max(map(len, sizes.values())) < 6 * len(rows) // n  # a tenth of the texts are null and share their hash
+        order = [(min(v), max(v)) for _, v in sorted(sizes.items())]
+        assert all(a[1] <= b[0] for a, b in zip(order, order[1:]))
+
+
+def test_copies_of_one_row_are_spread(spark):
+    df = spark.range(0, 4000, 1, 16).selectExpr("if(id % 3 = 0, null, 5L) AS doc_id", "'same' AS text")
+    bucket, _ = shared.ordered_buckets(df, "doc_id", 250, F.xxhash64("text", F.spark_partition_id()))
+    assert max(r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()) < 2000
+
+
+def test_fingerprints_of_hot_ids(spark, hot_ids, monkeypatch):
+    """Every row meets one next row, in one ring over all buckets, by doc_id and hash of the text."""
+    rows, df = hot_ids
+    monkeypatch.setattr(fingerprints, "ROWS_EACH", 60)
+    got = fingerprints.with_next(df, {"text": "next_text", "doc_id": "next_id"}).collect()
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]]), reverse=True)
+    want = [(d, t, nt, nd) for (d, t), (nd, nt) in zip(order, order[1:] + order[:1])]
+    assert sorted(map(repr, want)) == sorted(repr((x["doc_id"], x["text"], x["next_text"], x["next_id"])) for x in got)
+
+
+def test_token_files_of_hot_ids(spark, hot_ids, monkeypatch):
+    rows, df = hot_ids
+    path = P.path("byte_bpe_50k.json")
+    whole = token_files.write_token_files(df, path, end_id=0, rows_each=60)
+    assert whole.agg(F.max("documents")).first()[0] < len(rows) // 4
+    monkeypatch.setattr(token_files, "FILE_IDS", 100)
+    files = token_files.write_token_files(df, path, end_id=0, rows_each=600)
+    assert files.agg(F.max("part")).first()[0] > 3 and files.agg(F.max("ids")).first()[0] <= 100
+    for f in (whole, files):
+        got = sorted(token_files.read_token_files(f).collect(), key=lambda r: r["start"])
+        assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+        assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+        crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert sorted(repr((r["doc_id"], r["ids_crc32"])) for r in got) == sorted(repr((d, crc([*token_files.load(path).encode(t or "", add_special_tokens=False).ids, 0]))) for d, t in rows)
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
