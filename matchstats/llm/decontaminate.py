@@ -20,7 +20,8 @@ WINDOW = 13
 #: Postings are stored of the terms whose bit is set in a map of 2^TERM_BITS bits (8 MB, whatever the benchmark's size): all
 #: terms of the benchmark and a few others.
 TERM_BITS = 26
-#: Parts of a term's rows where windows are weighed by their terms, so that common words are spread.
+#: Parts of a term's rows where windows are weighed by their terms, and where they look up a term's blocks, so that common
+#: words are spread.
 SALTS = 16
 #: Bytes of text of an index block.
 BLOCK_BYTES = 4_000_000
@@ -98,9 +99,10 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def match(keys: list[np.ndarray], slop: int = 0) -> np.ndarray:
-    """Start keys at which every list has a posting: the offset-adjusted lists are intersected from the shortest on.
+    """The keys that every list has, by the offset-adjusted lists, which are intersected from the shortest on.
 
-    Lists are sorted.  With a slop, a term may stand up to so many words from its place (proximity match).
+    Lists are sorted.  With a slop, a list may have another key up to so far away (proximity match), and the keys are the
+    shortest list's.
     """
     keys = sorted(keys, key=len)
     now = keys[0]
@@ -112,13 +114,26 @@ def match(keys: list[np.ndarray], slop: int = 0) -> np.ndarray:
     return now
 
 
+def places(keys: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """A row for each list of offset-adjusted keys: its key nearest to each start, of two as near the lower one, as a place
+    in the text."""
+    rows = []
+    for i, k in enumerate(keys):
+        right = np.minimum(np.searchsorted(k, starts), len(k) - 1)
+        left = np.maximum(right - 1, 0)
+        rows.append(np.where(np.abs(starts - k[left]) <= np.abs(k[right] - starts), k[left], k[right]) + i)
+    return np.stack(rows)
+
+
 def search(index: DataFrame, wins: DataFrame, slop: int = 0) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside matching windows), and items (the distinct item_ids, sorted).
 
     A window is tried in the blocks that hold both of its two rarest terms (by postings over the whole index); the
-    postings of a block and the windows to try there meet in one task.
+    postings of a block and the windows to try there meet in one task.  With a slop, the hit words are those found, each
+    nearest to its place, of windows whose words are found in one document.
     """
-    keys = index.where("term is not null").select("block", "term")
+    salted = F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt")
+    keys = index.where("term is not null").select("block", "term", salted)
     weights = index.where("term is not null").groupBy("term").agg(F.sum(F.size("docs")).alias("n"))
     weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     held = table(wins.select(F.monotonically_increasing_id().alias("w"), "item_id", "terms"), "windows")
@@ -126,7 +141,9 @@ def search(index: DataFrame, wins: DataFrame, slop: int = 0) -> DataFrame:
     ranked = ranked.groupBy("w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("r"))
     # A window with a term without postings occurs nowhere.  A window of one distinct term has it as both.
     rare = ranked.where("r[0].n > 0").select("w", F.col("r")[0]["term"].alias("term"), F.coalesce(F.get("r", F.lit(1))["term"], F.col("r")[0]["term"]).alias("second"))
-    tried = rare.join(keys, "term").select("w", "block", F.col("second").alias("term")).join(keys, ["block", "term"], "left_semi")
+    # A term of all blocks would be one key with as many rows: its blocks are dealt to SALTS parts, each window to all of them.
+    rare = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tried = rare.join(keys, ["term", "salt"]).select("w", "block", F.col("second").alias("term")).join(keys, ["block", "term"], "left_semi")
     tried = tried.select("w", "block").join(held, "w")
     item = dict(wins.dtypes)["item_id"]
     kind = dict(index.dtypes)["doc_ids"][6:-1]
@@ -151,9 +168,18 @@ def search(index: DataFrame, wins: DataFrame, slop: int = 0) -> DataFrame:
             own = [postings.get(t) for t in terms or ()]
             if not own or any(p is None for p in own):
                 continue
-            starts = match([p - i for i, p in enumerate(own)], slop)
-            np.add.at(hits, starts, 1)
-            np.add.at(hits, starts + len(own), -1)
+            adjusted = [p - i for i, p in enumerate(own)]
+            starts = match(adjusted, slop)
+            if slop:
+                spots = places(adjusted, starts)
+                one = np.searchsorted(first, spots, side="right") - 1
+                spots = spots[:, (one == one[:1]).all(axis=0)]
+                starts = spots[0]
+                np.add.at(hits, spots.ravel(), 1)
+                np.add.at(hits, spots.ravel() + 1, -1)
+            else:
+                np.add.at(hits, starts, 1)
+                np.add.at(hits, starts + len(own), -1)
             for d in np.unique(np.searchsorted(first, starts, side="right") - 1):
                 found[d].add(item_id)
         hit = np.concatenate([[0], np.cumsum(np.cumsum(hits) > 0)])

@@ -312,6 +312,22 @@ def test_decontamination_of_common_words(spark):
     assert rows_of(decontaminate.digest(decontaminate.contamination(df.repartition(5), b))) == brute_contamination(rows, items)
 
 
+def test_proximity_marks_the_words_found(spark, monkeypatch):
+    """Words up to one place away from where the window has them, also at the start of a document."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    item = [f"q{i}" for i in range(13)]
+    shifted = ["x", *item[:5], "gap", *item[5:], "y"]  # the last eight words stand one place further on
+    late = [*item[1:], "q0"]  # the first word stands behind the others
+    docs = [(1, " ".join(item)), (2, " ".join(shifted)), (3, " ".join(late)), (4, " ".join(["q0", "gap", *item[1:]])), (5, None), *[(100 + i, "q0 q12 " * 30) for i in range(20)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")
+    near = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.contamination(df, b, slop=1).collect()}
+    assert near[1] == near[2] == near[4] == (13, ["a"]) and near[3] == (0, []) and near[5] == (0, [])
+    assert all(near[100 + i] == (0, []) for i in range(20))
+    exact = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(df, b).collect()}
+    assert exact == {d: 13 if d == 1 else 0 for d, _ in docs}
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
