@@ -377,7 +377,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     leaves = buckets(reps, root_runs(recall, similarity, LEVELS), similarity)
     paths = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     paths = table(paths.join(reps.select("rep", "mh", "copies"), "rep"), "class-paths")
-    likely = table(flag(blocks(leaves).join(paths.select("rep", "paths", "mh"), "rep"), similarity), "likely")
+    # Spark sizes the block pairs as the leaves that they are exploded from, and would send them all to the driver.
+    likely = table(flag(blocks(leaves).join(paths.select("rep", "paths", "mh").hint("merge"), "rep"), similarity), "likely")
     needed = likely.select("rep").distinct().join(reps.select("rep", "a", "b", "doc_id"), "rep")
     # A doc_id may have several texts; those of other sets are passed over.
     sets = table(shingle_rows(docs.select("doc_id", "text").join(needed, "doc_id")).dropDuplicates(["rep"]), "shingles")

@@ -131,19 +131,21 @@ def near_pairs(words: DataFrame) -> DataFrame:
     right = table(key_rows(words, False), "reduced").select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
     # A map of fixed size drops the neighbours that no word reduces to; where it fills up, more are joined in vain.
     bits = words.sparkSession.sparkContext.broadcast(term_map(right.select(F.col("key").alias("term"))))
-    met = key_rows(words, True, bits).select("key", "word").join(right, "key").where(F.levenshtein("word", "near", 1) == 1)
+    # Spark takes the neighbourhoods to be as small as the words they come from, and would send them all to the driver.
+    met = key_rows(words, True, bits).select("key", "word").join(right.hint("merge"), "key").where(F.levenshtein("word", "near", 1) == 1)
     return met.select("word", "near", "near_n").distinct()  # either half may have brought a pair together
 
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) for the words that have a form: the last of the forms that follow from it.
 
-    A form occurs TIMES as often as its word, so chains are short and have no circles; each round doubles the steps.
+    A form occurs TIMES as often as its word, so chains are short and have no circles; each round doubles the steps.  Joins here
+    never broadcast, as a written table of a few MB is compressed and fills many times that on the driver.
     """
     now = table(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = table(now.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        new = table(now.join(further.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         if new.where("moved").isEmpty():
             return new.select("word", "root")
         now = new.select("word", "root")
@@ -159,7 +161,7 @@ def variants(docs: DataFrame) -> DataFrame:
     """
     words = table(vocabulary(docs), "vocabulary")
     best = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("best"))
-    known = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.m") >= TIMES * F.col("n"), F.col("best")).alias("best"))
+    known = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.m") >= TIMES * F.col("n"), F.col("best")).alias("best"))
     known = table(known.select("word", "n", "n_near", F.col("best.near").alias("form"), (-F.col("best.m")).alias("form_n")), "near")
-    found = known.join(roots(known.where("form is not null")), "word", "left")
+    found = known.join(roots(known.where("form is not null")).hint("merge"), "word", "left")
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

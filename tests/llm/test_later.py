@@ -105,6 +105,15 @@ def test_spelling_variants(spark, seed):
     assert spelling.variants(df.where("text = ''")).count() == 0 == spelling.variants(df.where("false")).count()
 
 
+def test_no_neighbourhood_is_broadcast(spark):
+    """A neighbourhood has some hundred times the rows of its words, whose size is all that Spark knows of it."""
+    words = shared.table(spark.createDataFrame([("analysis", 9), ("analyses", 2)], "word string, n long"), "words")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10_000_000
+    plan = spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in spelling.near_pairs(words).collect()} == {("analysis", "analyses", 2), ("analyses", "analysis", 9)}
+
+
 def test_spelling_sql(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert found(queries.op11_spelling_variants(spark, SF)) == sql_rows("op11_spelling_variants", documents=docs)
