@@ -486,3 +486,30 @@ def test_quota_changes_at_posts_and_when_they_grow_old(spark, tmp_path):
     assert at_posts == want
     aged = {round(hour(r) - 24): r["posts_24h"] for r in got if not r["at_post"]}
     assert aged == {h: sum(h + 24 + 1e-9 >= x > h for x in hours) for h in (0, 1, 5, 24, 26, 30, 100)}
+
+
+def test_a_team_feature_takes_one_shuffle_and_one_sort(spark):
+    """A task holds the rows of one sort, not of several at once, and no second row for each asked date."""
+    t = matches.team_rows(spark.createDataFrame(_days(), _GAME))
+    for df in (windows.streak(t), windows.road_trip(t), windows.venue_split(t), windows.recent_form(t, (3, 10))):
+        plan = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert (plan.count("Sort ["), plan.count("Exchange "), "Union" in plan) == (1, 1, False), plan
+
+
+def test_features_of_asked_dates(spark):
+    t = matches.team_rows(spark.createDataFrame(_days(), _GAME))
+    days = [dt.date(2024, 1, 2), dt.date(2024, 1, 3), dt.date(2025, 1, 1)]
+    asked = spark.createDataFrame([(1, d) for d in days for _ in range(2)], "team_id long, game_date date")
+    got = {r["game_date"]: r["last3_ppg"] for r in windows.recent_form(t, (3,), asked).collect()}
+    assert got == {days[0]: 100.0, days[1]: 105.0, days[2]: 105.0}
+
+
+_GAME = "pool_id long, game_id long, game_date date, home_team_id long, away_team_id long, home_score long, away_score long, " + ", ".join(f"{s}_{b} double" for s in ("home", "away") for b in matches.BOX)
+
+
+def _days():
+    """Two teams; on the first day one game, on the second two, on the third one without a box score."""
+    box = [1.0] * 2 * len(matches.BOX)
+    games = [(1, 1, 1, 2, 100, 90), (2, 2, 1, 2, 110, 120), (3, 2, 2, 1, 70, 105)]
+    rows = [(0, i, dt.date(2024, 1, d), h, a, x, y, *box) for i, d, h, a, x, y in games]
+    return [*rows, (0, 4, dt.date(2024, 1, 3), 1, 2, 10, 20, *[None] * len(box))]
