@@ -5,6 +5,8 @@ A query stops once all files are read (availableNow), so its rows can be compare
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from matchstats.plans.views import r6, view, with_views
 from matchstats.sources.folders import shared_folder
 from matchstats.streaming import feeds
 
-#: Micro-batches that a table comes in, and files of each.
-BATCHES, FILES = 3, 2
+#: Micro-batches that a table comes in, the fewest files of each, and rows of a file: a task reads a file, so that what it
+#: holds does not grow with the table.
+BATCHES, FILES, FILE_ROWS = 3, 2, 100_000
 
 
 def streamed(table: DataFrame, name: str, order: str | None = None) -> DataFrame:
@@ -28,10 +31,11 @@ def streamed(table: DataFrame, name: str, order: str | None = None) -> DataFrame
         number = sum((F.coalesce((at > F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
     else:
         number = F.pmod(F.xxhash64(*table.columns), F.lit(BATCHES))
+    files = max(FILES, math.ceil(table.count() / BATCHES / FILE_ROWS))
     marked = table.withColumn("_batch", number)
     for k in range(BATCHES):
-        marked.where(F.col("_batch") == k).drop("_batch").repartition(FILES).write.parquet(f"{path}/{k}")
-    return table.sparkSession.readStream.schema(table.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES).parquet(path)
+        marked.where(F.col("_batch") == k).drop("_batch").repartition(files).write.parquet(f"{path}/{k}")
+    return table.sparkSession.readStream.schema(table.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
