@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,69 +17,92 @@ from matchstats.operators.upserts import upsert_games
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Microseconds of a day.
 _DAY = 86_400_000_000
+#: Groups of accounts that keep their posts together.
+BUCKETS = 1024
 
 
 def quota_stream(posts: DataFrame, late: str = "48 hours", limit: int = 17) -> DataFrame:
     """Posts of each account in sliding windows of 24 hours every hour, how many remain, and the hours since the oldest of
-    them; later posts are dropped."""
+    them; later posts are dropped.  A post is in 24 windows, so the state is large and lies in the RocksDB store, which is set for the
+    session, not in the executors' memory."""
+    posts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     n = posts.withWatermark("posted_at", late).groupBy("account", F.window("posted_at", "24 hours", "1 hour")).agg(F.count("*").alias("posts_24h"), F.min("posted_at").alias("oldest"))
     age = (F.unix_timestamp("window.end") - F.unix_timestamp("oldest")) / 3600
     return n.select("account", F.col("window.end").alias("as_of"), "posts_24h", F.greatest(F.lit(0), limit - F.col("posts_24h")).alias("remaining"), age.alias("oldest_hours"))
 
 
 class _Quota(StatefulProcessor):
-    """An account's posts of the 24 hours before the watermark and those after it, as one list of microseconds, with a timer
-    for each post's 24 hours."""
+    """The posts of a bucket of accounts, those of the 24 hours before the watermark and those after it, as two lists sorted by
+    account and microsecond, with one timer for the next post to become older than 24 hours."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, kind: str):
+        self.limit, self.kind = limit, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.posts = handle, handle.getValueState("posts", "at array<long>")
+        self.handle, self.posts = handle, handle.getValueState("posts", f"accounts array<{self.kind}>, at array<long>")
 
     def close(self) -> None:
         pass
 
-    def rows(self, key: tuple, times: list[int], posts: list[int], posted: bool) -> pd.DataFrame:
-        """The quota at some times, of which `posts` (sorted) has all earlier posts of a day."""
-        out = []
-        for t in times:
-            first, end = bisect_left(posts, t - _DAY), bisect_right(posts, t)
-            oldest = (t // 1_000_000 - posts[first] // 1_000_000) / 3600 if end > first else None
-            out.append((*key, pd.Timestamp(t, unit="us"), posted, end - first, max(0, self.limit - end + first), oldest))
-        frame = pd.DataFrame(out, columns=["account", "as_of", "at_post", "posts_24h", "remaining", "oldest_hours"])
-        return frame.astype({"oldest_hours": "float64"})
+    def stored(self) -> pd.DataFrame:
+        accounts, at = self.posts.get() if self.posts.exists() else ((), ())
+        return pd.DataFrame({"account": pd.Series(list(accounts), dtype=object), "at": np.array(at, np.int64)})
+
+    def store(self, posts: pd.DataFrame) -> None:
+        """Keeps the posts and sets the timer for the oldest of them."""
+        if len(posts):
+            self.posts.update((posts["account"].tolist(), posts["at"].tolist()))
+            self.handle.registerTimer((int(posts["at"].min()) + _DAY) // 1000 + 1)
+        else:
+            self.posts.clear()
+
+    def rows(self, asked: pd.DataFrame, posts: pd.DataFrame, posted: bool) -> pd.DataFrame:
+        """The quota of accounts at some times (account, at), of which `posts` has all earlier posts of a day."""
+        code, _ = pd.factorize(pd.concat([posts["account"], asked["account"]]))
+        at, own, t, asks = posts["at"].to_numpy(np.int64), code[: len(posts)], asked["at"].to_numpy(np.int64), code[len(posts) :]
+        # Posts by account and time, as one number each.
+        times = np.unique(np.concatenate([at, t, t - _DAY]))
+        place = lambda account, x: account * len(times) + np.searchsorted(times, x)
+        key = place(own, at)
+        order = np.argsort(key, kind="stable")
+        first, end = np.searchsorted(key[order], place(asks, t - _DAY)), np.searchsorted(key[order], place(asks, t), side="right")
+        n = end - first
+        oldest = np.append(at[order], 0)[first]
+        hours = np.where(n > 0, (t // 1_000_000 - oldest // 1_000_000) / 3600, np.nan)
+        hours = pd.Series(hours, dtype="float64")
+        stamps = pd.Series(t.astype("datetime64[us]"))
+        return pd.DataFrame({"account": asked["account"].to_numpy(), "as_of": stamps, "at_post": posted, "posts_24h": n, "remaining": np.maximum(0, self.limit - n), "oldest_hours": hours})
 
     def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [t.value // 1000 for f in frames for t in f["posted_at"]]
-        posts = sorted([*(self.posts.get()[0] if self.posts.exists() else []), *new])
-        for t in set(new):
-            self.handle.registerTimer((t + _DAY) // 1000 + 1)
-        self.posts.update((posts,))
-        yield self.rows(key, sorted(set(new)), posts, True)
+        new = pd.concat([pd.DataFrame({"account": f["account"].astype(object), "at": f["posted_at"].astype("datetime64[us]").astype("int64")}) for f in frames])
+        posts = pd.concat([self.stored(), new], ignore_index=True)
+        self.store(posts)
+        yield self.rows(new.drop_duplicates().reset_index(drop=True), posts, True)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, posts = expiredTimerInfo.getExpiryTimeInMs() * 1000, list(self.posts.get()[0]) if self.posts.exists() else []
-        recent = posts[bisect_left(posts, now - _DAY) :]  # no later post can look further back
-        if recent:
-            self.posts.update((recent,))
-        else:
-            self.posts.clear()
-        yield self.rows(key, [now], recent, False)
+        """One row for each account and millisecond in which posts have become older than 24 hours, up to the watermark."""
+        now, posts = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self.stored()
+        due = (posts["at"] + _DAY) // 1000 + 1
+        aged = posts.assign(at=due * 1000)[due <= now].drop_duplicates().reset_index(drop=True)
+        if not len(aged):  # a timer set before an earlier post came
+            return
+        self.store(posts[due > now])
+        yield self.rows(aged, posts, False)
 
 
 def quota_changes(posts: DataFrame, late: str = "48 hours", limit: int = 17) -> DataFrame:
     """The rolling quota of each account wherever it changes: at each moment with posts (at_post), and once a post has become
     more than 24 hours old: account, as_of, at_post, posts_24h, remaining, oldest_hours.
 
-    A post counts for 24 hours, the last moment included.  The state is the posts of 24 hours
-    before the watermark; a post that comes after later ones doesn't change their rows.  It needs the RocksDB store, which is set for the session.
+    A post counts for 24 hours, the last moment included.  Accounts are dealt to BUCKETS groups, whose posts a task counts all at
+    once, with one timer a group, so that a micro-batch makes some calls for each group, not for each post.  The state is the posts of
+    24 hours before the watermark; a post that comes after later ones doesn't change their rows.  It needs the RocksDB store, which is set for the session.
     """
     posts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     kind = dict(posts.dtypes)["account"]
     schema = f"account {kind}, as_of timestamp, at_post boolean, posts_24h long, remaining long, oldest_hours double"
-    rows = posts.select("account", "posted_at").where("account is not null and posted_at is not null").withWatermark("posted_at", late)
-    return rows.groupBy("account").transformWithStateInPandas(statefulProcessor=_Quota(limit), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    rows = posts.select("account", "posted_at", F.pmod(F.xxhash64("account"), F.lit(BUCKETS)).alias("bucket")).where("account is not null and posted_at is not null").withWatermark("posted_at", late)
+    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Quota(limit, kind), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def stream_upsert_games(updates: DataFrame, path: str, partition: str = "season") -> DataStreamWriter:

@@ -1,15 +1,18 @@
 """Hand-made cases, properties, documents and streams."""
 
 import datetime as dt
+import glob
 import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from matchstats.functions import names, scalars
 from matchstats.operators import context, elo, features, matches, metrics, model, picks, settle, upserts, windows
+from matchstats.plans import streams
 from matchstats.sources import documents, tables
 from matchstats.streaming import feeds
 
@@ -513,3 +516,23 @@ def _days():
     games = [(1, 1, 1, 2, 100, 90), (2, 2, 1, 2, 110, 120), (3, 2, 2, 1, 70, 105)]
     rows = [(0, i, dt.date(2024, 1, d), h, a, x, y, *box) for i, d, h, a, x, y in games]
     return [*rows, (0, 4, dt.date(2024, 1, 3), 1, 2, 10, 20, *[None] * len(box))]
+
+
+def test_a_quota_group_counts_each_account_for_itself(spark, tmp_path):
+    """Calls of the state are per group of accounts; times far apart don't run into each other."""
+    t, far = dt.datetime(2024, 1, 1), dt.datetime(1970, 1, 2)
+    rows = [(i, t + dt.timedelta(hours=5 * i + h)) for i in range(40) for h in (0, 1, 1, 30)] + [(i, far) for i in range(3)]
+    spark.createDataFrame(rows, "account long, posted_at timestamp").coalesce(1).write.parquet(str(tmp_path / "p"))
+    frame = pd.DataFrame([(a, int((x - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))) for a, x in rows], columns=["account", "at"])
+    got = feeds._Quota(17, "bigint").rows(frame.drop_duplicates().reset_index(drop=True), frame, True)
+    want = {(a, x): sum(a == b and x - 86_400_000_000 <= y <= x for b, y in frame.itertuples(index=False)) for a, x in frame.itertuples(index=False)}
+    assert dict(zip(zip(got["account"], got["as_of"].astype("int64")), got["posts_24h"])) == want
+    assert _run(feeds.quota_changes(spark.readStream.schema("account long, posted_at timestamp").parquet(str(tmp_path / "p")), "1 hour", 3)).where("at_post").count() == len(set(rows))
+
+
+def test_streamed_files_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    seen = streams.streamed(spark.range(300), "grown")
+    assert seen.isStreaming
+    n = spark.read.option("recursiveFileLookup", True).parquet(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')[7:]}/*/grown-*")[0]).inputFiles()
+    assert len(n) == 30
