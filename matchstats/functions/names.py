@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchstats.sources.folders import written
+
 #: Cities taken out of a name before its last word is the nickname.
 CITIES = (
     "los angeles", "new york", "golden state", "oklahoma city", "san antonio", "new orleans", "portland", "phoenix", "miami", "boston", "chicago",
@@ -59,11 +61,51 @@ def meetings(left: DataFrame, a: str, right: DataFrame, b: str, on: list[str] =
     return met.select(*on, "_held", sides.alias("_s")).select(*on, "_s.*", "_held")
 
 
-def contained(left: DataFrame, a: str, right: DataFrame, b: str, on: list[str] = []) -> DataFrame:  # noqa: B006
+#: Texts of more characters are not taken apart into all their pieces.
+LONG = 64
+
+
+def _known(texts: DataFrame, column: str) -> tuple[int, int, str | None]:
+    """Lengths of the shortest and the longest text, and the characters that texts begin with (None: too many to list)."""
+    text = F.col(column)
+    begins = F.substring(text, F.lit(1), F.lit(1))
+    low, high, n = texts.where(F.length(text) > 0).agg(F.min(F.length(text)), F.max(F.length(text)), F.approx_count_distinct(begins)).first()
+    few = texts.where(F.length(text) > 0).select(begins).distinct().limit(501).collect() if low and n < 500 else []  # characters, at most 501
+    return low or 0, high or 0, "".join(r[0] for r in few) if 0 < len(few) <= 500 else None
+
+
+def pieces(text: Column, low: int, high: int, begins: str | None) -> Column:
+    """All distinct pieces of a text that have low to high characters and begin with one of the given ones."""
+    most = lambda i: F.least(F.lit(high), F.length(text) - i + 1)
+    own = lambda i: F.transform(F.sequence(F.lit(low), most(i)), lambda k: F.substring(text, i, k))
+    fits = lambda i: (most(i) >= low) & (F.lit(True) if begins is None else F.contains(F.lit(begins), F.substring(text, i, F.lit(1))))
+    starts = F.filter(F.sequence(F.lit(1), F.length(text)), fits)
+    return F.array_distinct(F.flatten(F.transform(starts, own)))
+
+
+def contained(left: DataFrame, a: str, right: DataFrame, b: str, on: list[str] = [], among: DataFrame | None = None) -> DataFrame:  # noqa: B006
     """(on, a, b): the distinct texts of left and right (equal in `on`) of which one holds the other.  A pair may come twice;
-    empty and null texts match nothing."""
-    found = meetings(left, a, right, b, on)
-    return found.where(F.contains(F.when(F.col(a) == F.col("_held"), F.col(b)).otherwise(F.col(a)), F.col("_held"))).drop("_held")
+    empty and null texts match nothing.
+
+    A text holds another if one of its pieces equals it, so pieces of the lengths and beginnings that the other side has are
+    joined with its texts, and nothing meets in vain.  Texts longer than LONG meet the others at rare parts.  `among`: rows that
+    are at hand and have all of left's texts, for its lengths and beginnings.
+    """
+    known = {a: _known(left if among is None else among, a), b: _known(right, b)}
+    texts = {c: df.where(F.length(c) > 0).select(*on, c).distinct() for df, c in ((left, a), (right, b))}
+    out = None
+    for holder, held in ((a, b), (b, a)):
+        low, high, begins = known[held]
+        if not low:
+            continue
+        some = texts[holder].where(F.length(holder) <= LONG)
+        met = some.withColumn(held, F.explode(pieces(F.col(holder), low, high, begins))).join(texts[held].hint("merge"), [*on, held]).select(*on, a, b)
+        out = met if out is None else out.unionByName(met)
+        if known[holder][1] > LONG:
+            sides = {c: texts[c].where(F.length(c) > LONG) if c == holder else texts[c] for c in (a, b)}
+            found = meetings(sides[a], a, sides[b], b, on)
+            out = out.unionByName(found.where(F.contains(F.when(F.col(a) == F.col("_held"), F.col(b)).otherwise(F.col(a)), F.col("_held"))).drop("_held"))
+    return texts[a].join(texts[b].where("false"), on) if on and out is None else texts[a].crossJoin(texts[b].where("false")) if out is None else out
 
 
 def resolve_names(df: DataFrame, column: str, teams: DataFrame) -> DataFrame:
@@ -75,7 +117,7 @@ def resolve_names(df: DataFrame, column: str, teams: DataFrame) -> DataFrame:
     lookup = _variants(teams.select("team_id", team.alias("_team"), "full_name", "abbreviation")).groupBy("_key").agg(F.min_by("_team", "team_id").alias("_exact"))
     own = own.join(lookup.withColumnRenamed("_key", "_low"), "_low", "left")
     full = teams.select(F.lower(F.trim("full_name")).alias("_full"), team.alias("_team")).groupBy("_full").agg(F.min("_team").alias("_team"))
-    near = contained(own.where("_exact is null"), "_low", full, "_full").join(full, "_full").groupBy("_low").agg(F.min("_team").alias("_near"))
+    near = contained(own.where("_exact is null"), "_low", full, "_full", [], own).join(full, "_full").groupBy("_low").agg(F.min("_team").alias("_near"))
     means = own.join(near, "_low", "left").select("_name", F.coalesce("_exact", "_near").alias("_team"))
     out = df.join(means, df[column] == F.col("_name"), "left")
     return out.select(*[df[c] for c in df.columns], *[F.coalesce(F.col(f"_team.{c}"), df[column]).alias(c) for c in ("full_name", "abbreviation")])
@@ -102,7 +144,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, on: str = "game_dat
     else the one of smallest id on the date whose names contain, or are contained in, both names.
 
     With `swapped` a row of right may also have the two teams the other way round, equal names before similar ones.  The
-    substring join runs only over left rows that the equality join missed, within a date and by rare parts of the home name.
+    substring join runs only over left rows that the equality join missed, within a date and by the rarer of the two names.
     """
     right = right.select(on, F.col("id").alias("right_id"), F.lower(F.trim("home")).alias("_h"), F.lower(F.trim("away")).alias("_a"))
     if swapped:
@@ -110,8 +152,16 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, on: str = "game_dat
     left = left.withColumns({"_lh": F.lower(F.trim("home")), "_la": F.lower(F.trim("away"))})
     equal = left.join(right.withColumnsRenamed({"_h": "_lh", "_a": "_la"}), [on, "_lh", "_la"]).groupBy(key).agg(F.min("right_id").alias("right_id"))
     rest = left.join(equal, key, "left_anti")
-    near = F.contains(F.col("_la"), F.col("_a")) | F.contains(F.col("_a"), F.col("_la"))
-    homes = contained(rest, "_lh", right, "_h", [on]).distinct()
-    fuzzy = rest.select(key, on, "_lh", "_la").join(homes, [on, "_lh"]).join(right, [on, "_h"]).where(near).groupBy(key).agg(F.min("right_id").alias("right_id"))
+    # A pair needs both names: each left row takes those of its names that fewer right rows share.
+    rows = written(rest.select(key, on, "_lh", "_la"), "names-asked")
+    asked, pairs = rows, {}
+    for own, other, size in (("_lh", "_h", "_nh"), ("_la", "_a", "_na")):
+        pairs[other] = written(contained(asked, own, right, other, [on], asked).distinct(), "name-pairs")
+        counts = right.groupBy(on, other).agg(F.count("*").alias("n"))
+        size_of = pairs[other].join(counts, [on, other]).groupBy(on, own).agg(F.sum("n").alias(size))
+        rows = rows.join(size_of, [on, own])  # without any for one name there is none for both
+    holds = lambda x, y: F.contains(x, y) | F.contains(y, x)
+    by_home = rows.where("_nh <= _na").join(pairs["_h"], [on, "_lh"]).join(right, [on, "_h"]).where(holds(F.col("_la"), F.col("_a")))
+    by_away = rows.where("_nh > _na").join(pairs["_a"], [on, "_la"]).join(right, [on, "_a"]).where(holds(F.col("_lh"), F.col("_h")))
+    fuzzy = by_home.select(key, "right_id").unionByName(by_away.select(key, "right_id")).groupBy(key).agg(F.min("right_id").alias("right_id"))
     return left.drop("_lh", "_la").join(equal.unionByName(fuzzy), key, "left")
-

@@ -536,3 +536,23 @@ def test_streamed_files_grow_with_the_table(spark, monkeypatch):
     assert seen.isStreaming
     n = spark.read.option("recursiveFileLookup", True).parquet(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')[7:]}/*/grown-*")[0]).inputFiles()
     assert len(n) == 30
+
+
+def test_names_meet_by_the_rarer_one(spark):
+    """Forty rows a date share a short home name; each right row meets only the row that has its away name, too."""
+    left = spark.createDataFrame([(i, dt.date(2024, 1, 1), "T", f"away {i} x") for i in range(100, 140)], "k long, game_date date, home string, away string")
+    right = spark.createDataFrame([(i, dt.date(2024, 1, 1), f"T{i}", f"away {i}") for i in range(100, 140)], "id long, game_date date, home string, away string")
+    got = names.fuzzy_match(left, right, "k")
+    assert {r["k"]: r["right_id"] for r in got.collect()} == {i: i for i in range(100, 140)}
+    low = lambda df, c, n: df.select("game_date", F.lower(F.trim(c)).alias(n))
+    # No pair is made but to match: before, the numbers' common parts met.
+    aways = names.contained(low(left, "away", "a"), "a", low(right, "away", "b"), "b", ["game_date"])
+    assert aways.count() == 40
+
+
+def test_long_texts_hold_short_ones(spark):
+    left = spark.createDataFrame([("x" * 70 + "team" + "y" * 70,), ("tea",), ("",), (None,)], "a string")
+    right = spark.createDataFrame([("team",), ("z" * 65 + "tea",), ("none",), ("",)], "b string")
+    got = {tuple(r) for r in names.contained(left, "a", right, "b").collect()}
+    assert got == {(a, b) for (a,) in left.collect() for (b,) in right.collect() if a and b and (a in b or b in a)} and len(got) == 3
+    assert names.contained(left, "a", right.where("false"), "b").count() == 0
