@@ -556,3 +556,29 @@ def test_long_texts_hold_short_ones(spark):
     got = {tuple(r) for r in names.contained(left, "a", right, "b").collect()}
     assert got == {(a, b) for (a,) in left.collect() for (b,) in right.collect() if a and b and (a in b or b in a)} and len(got) == 3
     assert names.contained(left, "a", right.where("false"), "b").count() == 0
+
+
+def test_schedule_strength_builds_no_lists_and_keeps_a_key(spark, monkeypatch):
+    """Lookups take one sort by team and no struct; opponents' figures meet without lists; dates without opponents have a key."""
+    g = random_games(spark, 60, seed=6)
+    t, h = matches.team_rows(g), elo.elo_history(g).localCheckpoint()
+    asked, own = [], windows.lookups
+    monkeypatch.setattr(windows, "lookups", lambda a, *rest: asked.append(a) or own(a, *rest))
+    out = windows.strength_of_schedule(t, h)
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "ObjectHashAggregate" not in plan and "collect_list" not in plan and "max_by" not in plan, plan
+    assert asked[0].where("team_id is null").count() == 0 and asked[0].where("pos is null").count() == t.select("team_id").distinct().count()
+    first = out.where("avg_opponent_elo = 1500 and opponent_win_pct = 0.5 and sos_adjusted_win_pct = 0.5")
+    assert first.join(t.groupBy("team_id").agg(F.min("game_date").alias("game_date")), ["team_id", "game_date"]).count() == asked[0].where("pos is null").count()
+
+
+def test_lookups_see_only_earlier_dates(spark):
+    g = random_games(spark, 80, seed=7)
+    t, h = matches.team_rows(g), elo.elo_history(g)
+    asked = t.select("team_id", "game_date", "game_id").unionByName(t.select("team_id", F.date_add("game_date", 1).alias("game_date"), F.lit(None).cast("long").alias("game_id")))
+    games, ratings = [r for r in t.collect() if r["win"] is not None], h.collect()
+    for r in windows.lookups(asked, t, h).collect():
+        won = [x["win"] for x in games if x["team_id"] == r["team_id"] and x["game_date"] < r["game_date"]]
+        rated = [(x["game_date"], x["game_id"], x["elo_after"]) for x in ratings if x["team_id"] == r["team_id"] and x["game_date"] < r["game_date"]]
+        here = [x["elo_before"] for x in ratings if (x["team_id"], x["game_id"]) == (r["team_id"], r["game_id"])]
+        assert (r["share"], r["elo"], r["elo_here"]) == (sum(won) / len(won) if won else None, max(rated)[2] if rated else None, here[0] if here else None)
