@@ -582,3 +582,12 @@ def test_lookups_see_only_earlier_dates(spark):
         rated = [(x["game_date"], x["game_id"], x["elo_after"]) for x in ratings if x["team_id"] == r["team_id"] and x["game_date"] < r["game_date"]]
         here = [x["elo_before"] for x in ratings if (x["team_id"], x["game_id"]) == (r["team_id"], r["game_id"])]
         assert (r["share"], r["elo"], r["elo_here"]) == (sum(won) / len(won) if won else None, max(rated)[2] if rated else None, here[0] if here else None)
+
+
+def test_a_fit_is_not_scattered_over_small_tasks(spark):
+    """65 MB of vectors are one task: a task of a fit sends on a histogram of every node, whatever rows it has."""
+    names = [f"f{i}" for i in range(203)]
+    rows = spark.range(40_000, numPartitions=8).select(F.lit(1).alias("home_win"), F.lit(1.0).alias("sample_weight"), *[(F.col("id") % (i + 2)).cast("double").alias(n) for i, n in enumerate(names)])
+    _, x, weight = model._vectors(rows, names)
+    assert (x.rdd.getNumPartitions(), x.count(), weight) == (1, 40_000, 40_000.0)
+    x.unpersist()
