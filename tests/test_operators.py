@@ -591,3 +591,45 @@ def test_a_fit_is_not_scattered_over_small_tasks(spark):
     _, x, weight = model._vectors(rows, names)
     assert (x.rdd.getNumPartitions(), x.count(), weight) == (1, 40_000, 40_000.0)
     x.unpersist()
+
+
+def _teams_and_lines(spark):
+    teams = [spark.createDataFrame([(k, 100.0 + k, k) for k in range(1, 6)], "team_id long, team_ppg_players double, active_players long"), spark.createDataFrame([(k, k % 3, k % 2) for k in range(2, 8)], "team_id long, injured_starters long, star_injured int")]
+    teams.append(spark.createDataFrame([(k, 30.0 + k, -100.0 + 5 * k, k % 4) for k in range(1, 5)], "team_id long, lat double, lon double, tz_offset int"))
+    return teams, [spark.createDataFrame([(k, 1.5 + k) for k in range(1, 200, 3)], "game_id long, market_spread double")]
+
+
+def test_closed_pools_give_the_same_table_in_one_shuffle(spark):
+    """All that is known of a pool meets in one shuffle of games (the ratings take another), not in shuffles of features; the rows
+    are those of the path by teams, for played and scheduled games, ties, games of one date and rows without figures."""
+    g = random_games(spark, 90, seed=11)
+    g = g.withColumns({c: F.when(F.col("game_id") % 9 != 0, F.when(F.col("game_id") % 13 == 0, 100).otherwise(F.col(c))) for c in ("home_score", "away_score")})
+    teams, extras = _teams_and_lines(spark)
+    got, want = features.form_table(g, None, extras, teams), features.form_table(g, elo.elo_history(g), extras, teams)
+    assert sorted(got.dtypes) == sorted(want.dtypes)
+    key = lambda df: {r["game_id"]: r.asDict() for r in df.collect()}
+    assert key(got) == key(want) and len(key(got)) == 90
+    assert got.where("home_lat is null").count() and got.where("market_spread is null").count()
+    plan = features.form_table(g)._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange ") == 2, plan
+
+
+def test_open_or_large_pools_go_by_teams(spark, monkeypatch):
+    g = random_games(spark, 60, seed=12)
+    crossed = g.withColumn("pool_id", F.col("game_id") % 2)
+    assert features.pools_are_closed(g) and not features.pools_are_closed(crossed)
+    key = lambda df: {r["game_id"]: r.asDict() for r in df.collect()}
+    assert key(features.form_table(crossed)) == key(features.form_table(crossed, elo.elo_history(crossed)))
+    assert not features.pools_are_closed(g.withColumn("pool_id", F.when(F.col("game_id") > 20, F.col("pool_id"))))
+    monkeypatch.setattr(features, "POOL_GAMES", 10)
+    assert not features.pools_are_closed(g) and not features.pools_are_closed(g.where("false"))
+
+
+def test_team_tables_equal_tables_of_games(spark):
+    g = random_games(spark, 50, seed=13)
+    teams, extras = _teams_and_lines(spark)
+    games = [context.player_features(g, teams[0]), context.injury_features(g, teams[1]), context.travel_features(g, teams[2])]
+    key = lambda df: {r["game_id"]: r.asDict() for r in df.collect()}
+    want = key(features.build_features(g, elo.elo_history(g), [*extras, *games]))
+    assert key(features.build_features(g, None, extras, teams=teams)) == want == key(features.build_features(g, elo.elo_history(g), extras, teams=teams))
+    assert len({r["away_travel_distance"] for r in want.values()}) > 3 and len({r["injury_differential"] for r in want.values()}) > 2
