@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchstats.operators.elo import HISTORY, START, delta
 from matchstats.operators.upserts import upsert_games
@@ -17,7 +16,7 @@ from matchstats.operators.upserts import upsert_games
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Microseconds of a day.
 _DAY = 86_400_000_000
-#: Groups of accounts that keep their posts together.
+#: Groups of accounts that keep their posts together, and of cache keys that keep their puts together.
 BUCKETS = 1024
 
 
@@ -191,29 +190,88 @@ def stream_elo(games: DataFrame) -> DataFrame:
     return played.groupBy("pool_id").transformWithStateInPandas(statefulProcessor=_Ratings(), outputStructType=HISTORY, outputMode="Append", timeMode="None")
 
 
-def _cache(events: DataFrame, hours: float, late: str, schema: str, show: Callable[[tuple, list, tuple | None], list[tuple]]) -> DataFrame:
-    """State by (cache, key): the latest put and when it expires.  `show` makes output rows of a micro-batch's answers."""
+class _Cache(StatefulProcessor):
+    """The latest puts of a bucket of keys, as lists, with one timer for the next of them to expire.  Either each read is answered,
+    or each key's put in force is shown after a micro-batch with puts of it."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.get if state.exists else None
-        rows = sorted(((r.at, r.payload is None, r.payload) for f in frames for r in f.itertuples(index=False)), key=lambda r: r[:2])
-        answers = []
-        for at, is_read, payload in rows:
-            us = at.value // 1000
-            if is_read:
-                answers.append((at, now[0] if now and now[1] <= us < now[2] else None))
-            elif now is None or us >= now[1]:  # a put replaces the one before
-                now = (payload, us, us + int(hours * 3_600_000_000))
-        if now:
-            state.update(now)
-            state.setTimeoutTimestamp(max(-(-now[2] // 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(show(key, answers, now), columns=[c.split()[0] for c in schema.split(", ")])
-
-    rows = events.select("cache", "key", "at", "payload").withWatermark("at", late)
-    return rows.groupBy("cache", "key").applyInPandasWithState(run, schema, "payload string, put_us long, expires_us long", "append", GroupStateTimeout.EventTimeTimeout)
+    _KEYS = ["cache", "key"]
+
+    def __init__(self, hours: float, reads: bool):
+        self.life, self.reads = int(hours * 3_600_000_000), reads
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.puts = handle.getValueState("puts", "caches array<string>, keys array<string>, payloads array<string>, at array<long>")
+
+    def close(self) -> None:
+        pass
+
+    def stored(self, watermark: int) -> pd.DataFrame:
+        """The puts that have not expired by the watermark, in milliseconds."""
+        caches, keys, payloads, at = self.puts.get() if self.puts.exists() else ((), (), (), ())
+        text = {n: pd.Series(list(x), dtype=object) for n, x in (("cache", caches), ("key", keys), ("payload", payloads))}
+        puts = pd.DataFrame({**text, "us": np.array(at, np.int64)})
+        return puts[puts["us"] + self.life > watermark * 1000]
+
+    def store(self, puts: pd.DataFrame) -> None:
+        """Keeps the puts and sets the timer for the oldest of them."""
+        if len(puts):
+            self.puts.update((puts["cache"].tolist(), puts["key"].tolist(), puts["payload"].tolist(), puts["us"].tolist()))
+            self.handle.registerTimer(-(-(int(puts["us"].min()) + self.life) // 1000))
+        else:
+            self.puts.clear()
+
+    def newest(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The latest put of each key; of puts of one time the later batch's, then that of the last payload."""
+        return rows.sort_values(["us", "batch", "payload"], kind="stable").drop_duplicates(self._KEYS, keep="last")
+
+    def handleInputRows(self, key: tuple, frames: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self.stored(timerValues.getCurrentWatermarkInMs()).assign(batch=0)
+        new = (f[["cache", "key", "payload"]].astype(object).assign(us=f["at"].astype("datetime64[us]").astype("int64"), batch=1) for f in frames)
+        if self.reads:
+            rows = pd.concat(list(new), ignore_index=True)
+            is_read = rows["payload"].isna()
+            puts = self.newest(pd.concat([before, rows[~is_read]], ignore_index=True))
+            yield self.answers(pd.concat([before, rows], ignore_index=True))
+        else:  # a key with many puts needs one row, not all of them
+            touched = before.iloc[:0]
+            for rows in new:
+                touched = self.newest(pd.concat([touched, rows], ignore_index=True))
+            puts = self.newest(pd.concat([before, touched], ignore_index=True))
+            shown = puts.merge(touched[self._KEYS], on=self._KEYS)
+            stamp = lambda us: us.to_numpy(np.int64).astype("datetime64[us]")
+            yield pd.DataFrame({**{c: shown[c] for c in (*self._KEYS, "payload")}, "cached_at": stamp(shown["us"]), "expires_at": stamp(shown["us"] + self.life)})
+        self.store(puts)
+
+    def answers(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Of each read (a row without a payload) what the latest put before it holds, puts that came before a later stored one
+        left out."""
+        group = rows.groupby(self._KEYS, dropna=False, sort=False).ngroup()
+        known = rows["us"].where(rows["batch"] == 0).groupby(group).transform("max")
+        read = rows["payload"].isna()
+        rows = rows.assign(group=group, read=read)[read | ~(rows["us"] < known)]
+        rows = rows.sort_values(["group", "us", "read", "batch", "payload"], kind="stable")
+        put = pd.Series(np.where(rows["read"], np.nan, np.arange(len(rows))), index=rows.index).groupby(rows["group"]).ffill()
+        has = put.notna().to_numpy() & rows["read"].to_numpy()
+        at, own, payloads = rows["us"].to_numpy(), put.fillna(0).to_numpy(np.int64), rows["payload"].to_numpy(object)
+        has &= at < at[own] + self.life
+        found = np.where(has, payloads[own], None)
+        stamps = pd.Series(at.astype("datetime64[us]"), index=rows.index)
+        return pd.DataFrame({**{c: rows[c] for c in self._KEYS}, "at": stamps, "payload": found})[rows["read"]]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.store(self.stored(max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())))
+        return iter(())
+
+
+def _cache(events: DataFrame, hours: float, late: str, reads: bool, schema: str) -> DataFrame:
+    """Keys are dealt to BUCKETS groups, whose puts a task goes through all at once, so that a micro-batch makes a call for each group,
+    not for each key.  Keys travel as text.  It needs the RocksDB store, which is set for the session."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    kinds = {c: k for c, k in events.dtypes if c in ("cache", "key")}
+    rows = events.where("at is not null").select(F.pmod(F.xxhash64("cache", "key"), F.lit(BUCKETS)).alias("bucket"), *[F.col(c).cast("string").alias(c) for c in kinds], "at", "payload").withWatermark("at", late)
+    out = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Cache(hours, reads), outputStructType=f"cache string, key string, {schema}", outputMode="Append", timeMode="EventTime")
+    return out.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
 
 
 def stream_ttl_cache(puts: DataFrame, hours: float = 24, late: str = "1 hour") -> DataFrame:
@@ -222,19 +280,16 @@ def stream_ttl_cache(puts: DataFrame, hours: float = 24, late: str = "1 hour") -
     puts: cache, key, cached_at and, if any, payload.  A put replaces the one before it; older puts that come later do
     not.  The state of a key goes once the watermark passes its expiry.
     """
-    key = dict(puts.dtypes)["key"]
-    stamp = lambda us: pd.Timestamp(us, unit="us")
     payload = F.coalesce(F.col("payload").cast("string"), F.lit("")) if "payload" in puts.columns else F.lit("")
     events = puts.select("cache", "key", F.col("cached_at").alias("at"), payload.alias("payload"))
-    return _cache(events, hours, late, f"cache string, key {key}, payload string, cached_at timestamp, expires_at timestamp", lambda k, _, now: [(*k, now[0], stamp(now[1]), stamp(now[2]))])
+    return _cache(events, hours, late, False, "payload string, cached_at timestamp, expires_at timestamp")
 
 
 def stream_cache_reads(events: DataFrame, hours: float = 24, late: str = "1 hour") -> DataFrame:
     """(cache, key, at, payload) for each read: what the key's latest put holds, null if there is none or it has expired
     (from the moment of its expiry on).  events: cache, key, at and payload, which is null in a read."""
-    key = dict(events.dtypes)["key"]
     rows = events.withColumn("payload", F.col("payload").cast("string"))
-    return _cache(rows, hours, late, f"cache string, key {key}, at timestamp, payload string", lambda k, answers, _: [(*k, at, p) for at, p in answers])
+    return _cache(rows, hours, late, True, "at timestamp, payload string")
 
 
 def stream_settle(pred: DataFrame, results: DataFrame, days: int = 30) -> DataFrame:

@@ -633,3 +633,35 @@ def test_team_tables_equal_tables_of_games(spark):
     want = key(features.build_features(g, elo.elo_history(g), [*extras, *games]))
     assert key(features.build_features(g, None, extras, teams=teams)) == want == key(features.build_features(g, elo.elo_history(g), extras, teams=teams))
     assert len({r["away_travel_distance"] for r in want.values()}) > 3 and len({r["injury_differential"] for r in want.values()}) > 2
+
+
+def test_cache_asks_a_group_of_keys_at_once(spark, tmp_path, monkeypatch):
+    """A micro-batch makes a call for each group of keys; answers (micro-batches that overlap) and puts in force (state that goes
+    between them) are those of a plain loop over each key's events, for equal times and null keys, too."""
+    monkeypatch.setattr(feeds, "BUCKETS", 3)
+    r, t = random.Random(5), dt.datetime(2024, 1, 1)
+    keys = [None, *range(2**53 + 1, 2**53 + 12)]
+    schema = "cache string, key long, at timestamp, payload string"
+    stream = lambda reads: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / f"{reads}"))
+    life, answers, shown = dt.timedelta(hours=24), [], []
+    for reads in (True, False):
+        now = {}
+        for b in range(3):
+            rows = [(r.choice("ab"), r.choice(keys), t + dt.timedelta(hours=30 * b + r.randrange(40 if reads else 29)), r.choice([None, "x", "y", "z"])) for _ in range(250 if reads else 60)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{reads}/{b}"))
+            touched = {}
+            for c, k, at, p in sorted(rows, key=lambda x: (x[2], x[3] is None, x[3] or "")):
+                if p is None:
+                    held = now.get((c, k))
+                    answers += [(c, k, at, held[0] if held and held[1] <= at < held[1] + life else None)] if reads else []
+                elif (c, k) not in now or at >= now[c, k][1]:
+                    now[c, k] = (p, at)
+                if p is not None:
+                    touched[c, k] = now[c, k]
+            shown += [] if reads else [(c, k, p, at, at + life) for (c, k), (p, at) in touched.items()]
+    order = lambda rows: sorted((tuple(map(str, x)) for x in rows))
+    assert order(_run(feeds.stream_cache_reads(stream(True), 24, "100 hours")).collect()) == order(answers)
+    puts = feeds.stream_ttl_cache(stream(False).where("payload is not null").withColumnRenamed("at", "cached_at"), 24)
+    assert order(_run(puts).collect()) == order(shown)
+    plan = puts._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "pmod(xxhash64(cache" in plan
